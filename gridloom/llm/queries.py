@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, rules
+from . import chat, mixing, packing, rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": chat.query,
+    "op4_simhash": simhash.query,
     "op5_mixing": mixing.query,
     "op7_quality_rules": rules.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
