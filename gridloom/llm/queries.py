@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, rules, simhash
+from . import chat, mixing, packing, pii, rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": chat.query,
+    "op2_pii": pii.query,
     "op4_simhash": simhash.query,
     "op5_mixing": mixing.query,
     "op7_quality_rules": rules.query,
