@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, rules, simhash
+from . import chat, mixing, packing, pii, rules, simhash, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": chat.query,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.query,
     "op5_mixing": mixing.query,
     "op7_quality_rules": rules.query,
+    "op8_embeddings": vectors.query,
+    "op9_urls": urls.query,
     "op10_packing": packing.query,
 }
 
