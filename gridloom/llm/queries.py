@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, quality, rules, simhash, urls, vectors
+from . import chat, mixing, packing, pii, quality, rules, simhash, suffixes, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": chat.query,
     "op2_pii": pii.query,
+    "op3_suffix_dedup": suffixes.query,
     "op4_simhash": simhash.query,
     "op5_mixing": mixing.query,
     "op6_quality": quality.query,
