@@ -141,7 +141,7 @@ def suppressed(dets: DataFrame, over: DataFrame, rounds: int = 64) -> DataFrame:
         rest = edges.join(lost, F.col("i") == F.col("k"), "left_anti").join(lost, F.col("j") == F.col("k"), "left_anti")
         # The heads' own edges lead only to lost ones and went with them.
         edges = rest.checkpoint()
-    return dets if gone is None else dets.join(gone, F.col("det_id") == F.col("k"), "left_anti")
+    return dets if gone is None else dets.join(gone.select(F.col("k").alias("det_id")), "det_id", "left_anti")
 
 
 def nms(dets: DataFrame, iou: float = GLOBAL_IOU) -> DataFrame:
