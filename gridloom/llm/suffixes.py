@@ -112,8 +112,8 @@ def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 # First exchange: which grams are found more than once.
 
 
-def candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """(ord, places): anchors whose gram's hash is found elsewhere too, by document and task."""
+def candidates(docs: DataFrame, parts: int) -> DataFrame:
+    """(ord, places), a row for each document: its anchors whose gram's hash is found elsewhere too."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -130,27 +130,19 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
             h, owner, pos = h[order], ids[of[order]], pos[order]
             new = np.append(True, h[1:] != h[:-1])
             again = ~new | np.append(~new[1:], False)
-            if again.any():
-                yield from by_document(owner[again], pos[again])
+            # What a slice itself has twice is settled; of all that it has, one of each hash goes on.
+            yield dealt((owner[again] % parts).astype(np.int64), -1, (h[:0], owner[again], pos[again], again[:0]))
             h, owner, pos, again = h[new], owner[new], pos[new], again[new]
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            pick = [order[cuts[b] : cuts[b + 1]] for b in full]
-            yield table(full, *([z[p].tobytes() for p in pick] for z in (h, owner, pos, again)))
-
-    def table(bucket, h, owner, pos, again) -> pa.RecordBatch:
-        return _rows({"bucket": (bucket, pa.int32()), "h": (h, pa.binary()), "ord": (owner, pa.binary()), "pos": (pos, pa.binary()), "again": (again, pa.binary())})
-
-    def by_document(owner: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows of the same shape: bucket below zero, a document each."""
-        order = np.argsort(owner, kind="stable")
-        owner, pos = owner[order], pos[order]
-        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        bounds = [*cuts, len(owner)]
-        n = len(cuts)
-        yield table([-1] * n, [None] * n, [owner[c].tobytes() for c in cuts], [pos[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], [None] * n)
+            yield dealt((h % np.uint64(parts)).astype(np.int64), 1, (h, owner, pos, again))
+
+    def dealt(to: np.ndarray, sign: int, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        """A row for each part; parts of documents are counted below zero."""
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(parts + 1))
+        full = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
+        pick = [order[cuts[k] : cuts[k + 1]] for k in full]
+        blobs = ([z[p].tobytes() if len(z) else b"" for p in pick] for z in columns)
+        return _rows({"part": ([k if sign > 0 else -1 - k for k in full], pa.int32())} | {c: (v, pa.binary()) for c, v in zip(("h", "ord", "pos", "again"), blobs, strict=True)})
 
     def meet(t: pa.Table) -> pa.Table:
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
@@ -159,21 +151,21 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         h = h[order]
         same = h[1:] == h[:-1]
         twice = np.append(False, same) | np.append(same, False)
-        keep = order[twice & ~again[order]]  # the task has told of the others
-        if not len(keep):
-            return pa.table({"ord": pa.array([], pa.int64()), "places": pa.array([], pa.binary())})
-        rows = next(iter(by_document(owner[keep], pos[keep])))
-        return pa.table({"ord": pa.array([int(np.frombuffer(x, np.int64)[0]) for x in rows.column("ord").to_pylist()], pa.int64()), "places": rows.column("pos")})
+        keep = order[twice & ~again[order]]  # the slice has told of the others
+        return pa.Table.from_batches([dealt((owner[keep] % parts).astype(np.int64), -1, (h[:0], owner[keep], pos[keep], again[:0]))])
 
-    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _rows({"ord": ([int(np.frombuffer(x, np.int64)[0]) for x in batch.column("ord").to_pylist()], pa.int64()), "places": (batch.column("pos").to_pylist(), pa.binary())})
+    def gather(t: pa.Table) -> pa.Table:
+        owner, pos = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("ord", "pos"))
+        order = np.argsort(owner, kind="stable")
+        owner, pos = owner[order], pos[order]
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+        bounds = [*cuts, len(owner)]
+        return pa.table({"ord": pa.array(owner[cuts], pa.int64()), "places": pa.array([pos[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())})
 
-    schema = "bucket int, h binary, ord binary, pos binary, again binary"
+    schema = "part int, h binary, ord binary, pos binary, again binary"
     all_ = save(docs.select("ord", "text").mapInArrow(local, schema), "suffix-grams")
-    met = all_.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "ord bigint, places binary")
-    own = all_.where("bucket < 0").select("ord", "pos").mapInArrow(here, "ord bigint, places binary")
-    out = save(met.unionByName(own), "suffix-places")
+    met = all_.where("part >= 0").groupBy("part").applyInArrow(meet, schema)
+    out = save(met.unionByName(all_.where("part < 0")).select("part", "ord", "pos").groupBy("part").applyInArrow(gather, "ord bigint, places binary"), "suffix-places")
     drop(all_)
     return out
 
@@ -214,10 +206,23 @@ def merged_intervals(owner: np.ndarray, text: np.ndarray, a: np.ndarray, b: np.n
 RUN = "n int, ord binary, text binary, pos binary, near binary, far binary, lcp binary, rest binary, some array<binary>"
 
 
-def _code(k: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The front coding of sorted distinct keys."""
-    lcp = np.append(0, (k[1:] != k[:-1]).argmax(axis=1)).astype(np.uint8) if len(k) > 1 else np.zeros(len(k), np.uint8)
-    return lcp, k[np.arange(KEY) >= lcp[:, None]].tobytes()
+def _prefixes(k: np.ndarray) -> np.ndarray:
+    """Of each sorted key with the one before; KEY for an equal one."""
+    differ = k[1:] != k[:-1]
+    return np.append(0, np.where(differ.any(axis=1), differ.argmax(axis=1), KEY)).astype(np.uint8)[: len(k)]
+
+
+def squeezed(data: bytes) -> bytes:
+    """The rests of a run's keys. Anchors of one text are near each other, so their keys share most of their bytes, far apart in the run."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=25, enable_ldm=False)).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(data)
 
 
 def _decode(lcp: np.ndarray, rest: bytes) -> list[bytes]:
@@ -239,8 +244,8 @@ def runs(docs: DataFrame, places: DataFrame) -> DataFrame:
             starts = np.concatenate([[0], stops[:-1]])
             ids, texts = batch.column("ord").to_numpy(), batch.column("tx").to_numpy()
             wanted = np.zeros(len(data) + 1, bool)
-            for s, e, blobs in zip(starts, stops, batch.column("places").to_pylist(), strict=True):
-                p = np.frombuffer(b"".join(blobs), np.int64)
+            for s, e, blob in zip(starts, stops, batch.column("places").to_pylist(), strict=True):
+                p = np.frombuffer(blob, np.int64)
                 wanted[p[p < e - s] + s] = True
             found = [tuple(z[wanted[x[0]]] for z in x) for x in anchors(data, stops)]
             if not found:
@@ -263,15 +268,12 @@ def runs(docs: DataFrame, places: DataFrame) -> DataFrame:
             # Different texts with one id may be level; each distinct one is kept, next to its equal key.
             keep = level & np.append(True, new[1:] | (text[1:] != text[:-1]))
             k, owner, text, pos, near, far = (z[keep] for z in (k, owner, text, pos, near, far))
-            equal = np.append(False, (k[1:] == k[:-1]).all(axis=1))
-            lcp, _ = _code(k)
-            lcp[equal] = KEY
-            rest = k[np.arange(KEY) >= lcp[:, None]].tobytes()
+            lcp = _prefixes(k)
+            rest = squeezed(k[np.arange(KEY) >= lcp[:, None]].tobytes())
             some = [k[i].tobytes() for i in np.linspace(0, len(k) - 1, min(len(k), 16)).astype(int)]
             yield _rows({"n": ([len(k)], pa.int32()), "ord": ([owner.tobytes()], pa.binary()), "text": ([text.tobytes()], pa.binary()), "pos": ([pos.tobytes()], pa.binary()), "near": ([near.tobytes()], pa.binary()), "far": ([far.tobytes()], pa.binary()), "lcp": ([lcp.tobytes()], pa.binary()), "rest": ([rest], pa.binary()), "some": ([some], pa.list_(pa.binary()))})
 
-    lists = places.groupBy("ord").agg(F.collect_list("places").alias("places"))  # at most a document's own places
-    return save(docs.select("ord", "tx", "text").join(lists, "ord").mapInArrow(run, RUN), "suffix-runs")
+    return save(docs.select("ord", "tx", "text").join(places, "ord").mapInArrow(run, RUN), "suffix-runs")
 
 
 def splitters(table: DataFrame, parts: int) -> list[bytes]:
@@ -288,7 +290,8 @@ def split(table: DataFrame, cuts: list[bytes]) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 lcp = np.frombuffer(row["lcp"], np.uint8)
-                k = _decode(lcp, row["rest"])
+                rest = unsqueezed(row["rest"])
+                k = _decode(lcp, rest)
                 ends = np.append(0, np.cumsum(KEY - lcp.astype(np.int64)))
                 bounds = [0, *(bisect.bisect_left(k, c) for c in cuts), len(k)]
                 out: dict[str, list] = {c: [] for c in ("part", "n", "ord", "text", "pos", "near", "far", "lcp", "rest")}
@@ -300,7 +303,7 @@ def split(table: DataFrame, cuts: list[bytes]) -> DataFrame:
                     for c, width in (("ord", 8), ("text", 8), ("pos", 8), ("near", 1), ("far", 1)):
                         out[c].append(row[c][a * width : b * width])
                     out["lcp"].append(b"\0" + row["lcp"][a + 1 : b])  # the first key of a run is whole
-                    out["rest"].append(k[a] + row["rest"][ends[a + 1] : ends[b]])
+                    out["rest"].append(squeezed(k[a] + rest[ends[a + 1] : ends[b]]))
                 types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
                 yield _rows({c: (v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
@@ -420,7 +423,7 @@ def repeats(parts: DataFrame, cuts: list[bytes]) -> DataFrame:
         part = t.column("part")[0].as_py()
         cols = {c: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ord", np.int64), ("text", np.int64), ("pos", np.int64), ("near", np.uint8), ("far", np.uint8), ("lcp", np.uint8))}
         base = np.append(0, np.cumsum([len(x) for x in cols["ord"]]))
-        lists = [(_decode(c, r), c.tolist()) for c, r in zip(cols["lcp"], t.column("rest").to_pylist(), strict=True)]
+        lists = [(_decode(c, unsqueezed(r)), c.tolist()) for c, r in zip(cols["lcp"], t.column("rest").to_pylist(), strict=True)]
         owner, text, pos, near, far = (np.concatenate(cols[c]) for c in ("ord", "text", "pos", "near", "far"))
         rank = np.empty(len(owner), np.int64)
         order = np.lexsort((pos, owner))
