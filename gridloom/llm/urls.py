@@ -1,6 +1,6 @@
 """URL filters: listed rules first, then a classifier over words segmented out of host names.
 
-Unigram probabilities of words come from the pages' own visible text and from the words that stand apart in host
+Unigram probabilities of words come from the pages' own visible text and from the words between hyphens in host
 names. A Viterbi pass splits every run of letters of a host into the likeliest words; path words are taken as they
 stand. Pages whose host holds a seed word count as unwanted, all others as wanted, and a multinomial naive Bayes over
 the tokens of both learns which other words go with them: its sign is the verdict where no rule fits.
@@ -55,10 +55,13 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
 
 
 def vocabulary(pages: DataFrame, located: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words in the pages' text and, apart, in host names."""
+    """Counts of the most frequent words in the pages' text and, between hyphens, in host names.
+
+    A name without a hyphen is what is to be split and teaches no word.
+    """
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ")
     in_text = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit("[a-z]+"), F.lit(0))).alias("word"), F.lit(1).alias("n"))
-    in_host = located.select(F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("word"), F.lit(APART).alias("n"))
+    in_host = located.select(F.explode(F.regexp_extract_all("host", F.lit("(?<=-)[a-z]+|[a-z]+(?=-)"), F.lit(0))).alias("word"), F.lit(APART).alias("n"))
     counts = in_text.unionByName(in_host).where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
     found = {r.word: r.n for r in top}
@@ -66,7 +69,7 @@ def vocabulary(pages: DataFrame, located: DataFrame) -> dict[str, int]:
 
 
 class Segmenter:
-    """The likeliest split of a run of letters, by the unigram counts; a letter that no word covers is unknown."""
+    """The likeliest split of a run of letters, by the unigram counts; letters that no word covers are one unknown word."""
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) + 1
@@ -83,7 +86,10 @@ class Segmenter:
         out, end = [], len(run)
         while end:
             a = best[end][1]
-            out.append(run[a:end] if run[a:end] in self.cost else OTHER)
+            if run[a:end] in self.cost:
+                out.append(run[a:end])
+            elif out[-1:] != [OTHER]:
+                out.append(OTHER)
             end = a
         return tuple(out[::-1])
 

@@ -1,0 +1,506 @@
+"""The corpus operators against brute force, and on the rows that break things."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import chat, components, mixing, packing, pii, quality, rules, simhash, store, suffixes, urls, vectors
+from gridloom.llm.queries import ORACLES, QUERIES
+from gridloom.llm.tokens import encoder
+
+from ..compare import SMALL, both, connect
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _counts string, spans string, h string, fp string"
+
+
+def docs(spark, rows):
+    """rows of (doc_id, text) or (doc_id, text, source), with extra columns whose names operators might use."""
+    full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or ""), "x", None, "h", "f") for r in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+LONG = "word " * 30_000
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "a"), (5, "one two three four"), (5, "one two three four"), (6, "one two three four"), (None, "one two three four"), (None, None), (7, LONG), (8, "x" * 50_000), (9, "é😀 \x01\x00 é")]
+
+
+def words_of(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_oracles(spark, name):
+    ours, theirs = both(spark, connect(), QUERIES[name], ORACLES[name])
+    assert ours == theirs
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op6_quality"}))
+def test_queries_return_every_row(spark, name):
+    out = QUERIES[name](spark, SMALL)
+    table = {"op8_embeddings": "embeddings", "op9_urls": "pages"}.get(name, "documents")
+    n = spark.read.parquet(f"{SMALL}/{table}.parquet").count()
+    assert out.count() >= n if name == "op10_packing" else out.count() == n
+
+
+# Shared parts.
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fresh_names():
+    assert store.fresh(["A", "a_"], "a") == "a__"
+
+
+# 1.
+
+
+def test_chat(spark):
+    t = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 2, "user", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, "user", None), (6, 0, "user", ""), (7, 0, None, "z"), (None, 0, "user", "q"), (8, None, "user", "n"), (9, 0, "user", "hi"), (9, 1, "assistant", "no")]
+    df = spark.createDataFrame(t, "conv_id long, turn int, role string, text string").withColumn("pos", F.lit(1))
+    got = {r.conv_id: (r.part, r.n_turns, r.text) for r in chat.collapse(df).collect()}
+    assert set(got) == {3, 4, 5, 7, None, 8, 6}
+    assert got[4] == (0, 2, "<|user|>\nhi<|end|>\n<|assistant|>\nno<|end|>\n")
+    assert chat.collapse(df.limit(0)).count() == 0
+
+
+def test_chat_long_conversation_in_parts(spark):
+    rows = [(1, k, "user", str(k)) for k in range(600)] + [(2, k, "user", str(k)) for k in range(599)]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).orderBy("part").collect()
+    assert [(r.conv_id, r.part, r.n_turns) for r in got] == [(1, 0, 600), (1, 1, 600), (1, 2, 600)]
+    assert "".join(r.text for r in got) == "".join(f"<|user|>\n{k}<|end|>\n" for k in range(600))
+
+
+# 2.
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
+    return sum(x - 9 if x > 9 else x for x in twice) % 10 == 0
+
+
+def base_spans(t):
+    def fine(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": kind != "ip" or all(int(x) < 256 for x in m.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, t) if fine(k, m.group()))
+
+
+PII = ["a@b.c_d@e.f x", "a@b.c.%x@y.z", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.0003.4", "4111 1111 1111 1111 and 4111-1111-1111-1111--4111111111111111", "+1 (555) 010-9999 +12 ", "1 " * 9000, "a." * 2000 + "@" + "b." * 2000 + "c", "\x01 a\x01b@c.d 1\x012 😀 q@w.e", "+" + "1" * 50, "x@-.-", "@a.b a@@b.c", "é@x.fr 1.2.3", "5" * 3000]
+
+
+def test_pii_base_spans(spark):
+    rows = [(100 + k, t) for k, t in enumerate(PII)] + ODD
+    got = pii.found(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id}
+    for i, t in rows:
+        if i:
+            want = base_spans(t or "")
+            assert by[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+            assert by[i].n_email == want.count("email:") and by[i].n_card == want.count("card:")
+            assert [s for s in by[i].spans.split(",") if s and not s.startswith("secret")] == [s for s in want.split(",") if s]
+
+
+def test_pii_adds_secrets_and_masks(spark):
+    rows = [(k, f'Some words here token = "{hashlib.sha1(str(k).encode()).hexdigest()}" and version {k % 9}.0 of it, on page {k}. Mail u{k}@m.example.org') for k in range(60)] + [(1000, None), (1001, "")]
+    df = docs(spark, rows)
+    got = {r.doc_id: r.n_secret for r in pii.found(df).collect()}
+    assert all(got[k] == 1 for k in range(60)) and got[1000] == 0
+    masked = pii.masked(df)
+    assert masked.columns == df.columns
+    text = {r.doc_id: r.text for r in masked.collect()}
+    assert text[5] == 'Some words here token = "[SECRET]" and version 5.0 of it, on page 5. Mail [EMAIL]' and text[1000] is None and text[1001] == ""
+
+
+def test_pii_masks_across_blocks(spark):
+    t = "é" * (pii.BLOCK - 4) + " a@b.example.org " + "z" * 3000 + " 1.2.3.4"
+    out = pii.masked(docs(spark, [(1, t)])).first().text
+    assert out == "é" * (pii.BLOCK - 4) + " [EMAIL] " + "z" * 3000 + " [IP]"
+    assert pii.found(docs(spark, [])).count() == 0 and pii.masked(docs(spark, [])).count() == 0
+
+
+def test_reliabilities():
+    belief = pii.reliabilities({"PPP-": 20, "P---": 3, "NNN-": 20_000, "N--N": 50})
+    assert belief["PPP-"] > 0.9 and belief["NNN-"] < 0.1 and belief["N--N"] < 0.1
+
+
+# 3.
+
+
+def repeats(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        runs = sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1]))
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def texts(seed, n):
+    r = np.random.default_rng(seed)
+    pool = ["".join(r.choice(list("abcde é"), size=int(r.integers(20, 400)))) for _ in range(12)]
+    return [(k, "".join(pool[j][int(r.integers(0, 15)) :] + str(r.integers(0, 3)) for j in r.integers(0, len(pool), int(r.integers(0, 6))))) for k in range(n)]
+
+
+@pytest.mark.parametrize("size", [150_000, 40])
+def test_suffixes(spark, monkeypatch, size):
+    monkeypatch.setattr(suffixes, "MERGE", size)
+    rows = texts(size, 60) + [(1001, "ab" * 300), (1002, "ab" * 200 + "c"), (1003, None), (1004, ""), (1005, "y" * 99), (1006, "y" * 900), (1007, "\0" * 300), (1008, "\0" * 120 + "q"), (None, "ab" * 60)]
+    got = sorted(map(tuple, suffixes.deduplicated(docs(spark, rows)).collect()), key=repr)
+    assert got == repeats(rows)
+
+
+def test_suffixes_repeated_rows(spark):
+    t = texts(3, 1)[0][1] + "z" * 50 + "".join(map(str, range(100)))
+    got = suffixes.deduplicated(docs(spark, [(1, t), (1, t), (2, t)])).orderBy("doc_id").collect()
+    assert [r.n_removed == r.n_bytes for r in got] == [False, False, True]
+    assert suffixes.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_loser_tree():
+    r = np.random.default_rng(1)
+    lists = []
+    for _ in range(7):
+        k = sorted({bytes(r.integers(97, 99, 6, dtype=np.uint8)) for _ in range(int(r.integers(0, 30)))})
+        lists.append((k, [0] + [suffixes.common(a, b) for a, b in zip(k, k[1:], strict=False)]))
+    got = [(lists[a][0][i], c) for a, i, c in suffixes.merge(lists)]
+    keys = [k for k, _ in got]
+    assert keys == sorted(k for x, _ in lists for k in x)
+    assert all(c == suffixes.common(a, b) for a, (b, c) in zip(keys, got[1:], strict=False))
+
+
+def test_agreeing_few_and_many_agree(monkeypatch):
+    r = np.random.default_rng(2)
+    raw = {bytes([97] * 32) + bytes(r.integers(97, 99, 68, dtype=np.uint8) * (r.random(68) < 0.1) + 97) + bytes(r.integers(97, 99, suffixes.BEFORE, dtype=np.uint8) * (r.random(suffixes.BEFORE) < 0.05) + 97) + bytes([100, suffixes.BEFORE]) for _ in range(40)}
+    k = sorted(raw)
+    lcp = [0] + [suffixes.common(a, b) for a, b in zip(k, k[1:], strict=False)]
+    rank = r.permutation(len(k))
+    near, far = np.zeros(len(k), np.uint8), np.full(len(k), suffixes.BEFORE, np.uint8)
+    flat = lambda out: {(i, d) for i, a, b in out for d in range(a, b + 1)}
+    many = flat(suffixes.agreeing(k, lcp, rank, near, far))
+    monkeypatch.setattr(suffixes, "FEW", 1000)
+    assert many == flat(suffixes.agreeing(k, lcp, rank, near, far)) and many
+
+
+# 4.
+
+
+def fingerprint(t):
+    from xxhash import xxh64_intdigest
+
+    w = ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words_of(t)]
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark):
+    base = " ".join(f"w{k}" for k in range(300))
+    rows = ODD + [(20, base), (21, base + " end"), (22, base.upper()), (23, base.replace("w7 ", "v "))] + [(30 + k, "") for k in range(3)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    fp = {i: fingerprint(t) for i, t in rows}
+    assert all(int(got[i].fingerprint, 16) == fp[i] for i in fp if i)
+    comp = {i: i for i in fp if i is not None}
+    for _ in comp:
+        for a in comp:
+            for b in comp:
+                if (fp[a] ^ fp[b]).bit_count() <= 2:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert {i: got[i].component_id for i in comp} == comp
+    assert simhash.near_duplicates(docs(spark, rows)).count() == len(rows) and simhash.near_duplicates(docs(spark, [])).count() == 0
+    kept = simhash.distinct_documents(docs(spark, rows))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(comp.values())) + Counter({None: 2}) and kept.columns == docs(spark, []).columns
+
+
+def test_balls_link_all_within_two_bits(spark):
+    r = np.random.default_rng(4)
+    fps = {int(x) for x in r.integers(-(2**63), 2**63 - 1, 20)}
+    fps |= {x ^ (1 << int(a)) ^ (1 << int(b)) for x in list(fps) for a, b in [r.integers(0, 63, 2)]} | {0, 1, 3, 7, -(2**63)}
+    found = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2
+    assert all(near(a, b) for a, b in found)
+    group = {x: x for x in fps}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in found:
+        group[root(a)] = root(b)
+    assert all(root(a) == root(b) for a in fps for b in fps if near(a, b))
+
+
+# 5.
+
+
+def test_mixing_edges(spark):
+    rows = [(k, "a b c d", "b" if k % 3 else None) for k in range(90)] + [(200, None, "a"), (201, "", "a"), (None, "x y", "c"), (300, "w " * 50, "d"), (301, "v " * 49, "e")]
+    out = mixing.mix(docs(spark, rows)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.taken in (0, r.size, 2 * r.size) and r.target <= 2 * r.source_size
+    assert sum({(r.source_size, r.target) for r in out} and {id(r): r.taken for r in out}.values()) == pytest.approx(1.5 * sum(r.size for r in out), rel=0.2)
+    again = mixing.mix(docs(spark, rows[::-1])).collect()
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, again), key=repr)
+    assert mixing.mix(docs(spark, [])).count() == 0
+    mixed = mixing.mixed_documents(docs(spark, rows))
+    assert mixed.columns == docs(spark, []).columns
+    assert Counter(r.doc_id for r in mixed.collect() if r.doc_id and r.doc_id < 200) == Counter({r.doc_id: r.taken // r.size for r in out if r.size and r.doc_id and r.doc_id < 200}) - Counter()
+
+
+# 6.
+
+
+def test_quality_heldout_accuracy(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    extra = docs(spark, ODD).select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10**9)
+    out = quality.scored(d.select("doc_id", "text").unionByName(extra), labels)
+    rows = out.join(labels, "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert np.mean([r.predicted == r.quality for r in held]) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out.collect()) and out.count() == 1000 + len(ODD)
+
+
+def test_quality_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.scored(docs(spark, ODD), none).collect()} == {0.5}
+    assert quality.scored(docs(spark, []), none).count() == 0
+
+
+def test_chunks_cover_whole_texts():
+    net = quality.Network()
+    tables = net.tables()
+    data = bytes(np.random.default_rng(0).integers(0, 256, 70_000, dtype=np.uint8))
+    one = net.chunks(data, tables)
+    w = net.p["w"]
+    x = np.frombuffer(data, np.uint8)
+    resp = sum(w[k][x[k : len(x) - quality.WIDTH + 1 + k]] for k in range(quality.WIDTH))
+    half = np.array([resp[a : a + quality.HALF].max(axis=0) for a in range(0, len(resp), quality.HALF)])
+    assert np.allclose(one, np.maximum(half[:-1], half[1:]), atol=1e-4)
+
+
+# 7.
+
+
+def test_counts_against_brute_force():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        t = "".join(r.choice(["a", "b", " ", "\n", "#", "é", "\t", "A!"], int(r.integers(0, 60))))
+        w = words_of(t)
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        hit = {i + j for i, x in enumerate(tri) if tri.count(x) > 1 for j in range(3)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if words_of(line):
+                dup += line in seen
+                seen.add(line)
+        assert rules.count(t)[:5] == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(hit))
+
+
+def test_rules(spark):
+    good = [(100 + k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(90)]
+    junk = [(1000 + k, " ".join(f"w{k}y{j}$$$" for j in range(60))) for k in range(40)]
+    labels = spark.createDataFrame([(k, 1) for k, _ in good] + [(k, 0) for k, _ in junk] + [(5, None), (None, 1), (99999, 0), (6, 7)], "doc_id long, quality int")
+    df = docs(spark, good + junk + ODD)
+    out = {r.doc_id: r for r in rules.judged(df, labels).collect()}
+    assert all(out[k].kept for k, _ in good) and not any(out[k].kept for k, _ in junk) and all(out[k].rule == 1 for k, _ in junk)
+    assert all(out[k].base_failed and not out[k].kept for k in (1, 2, 3, 4, 5, 7, 8))
+    kept = rules.kept_documents(df, labels)
+    assert {r.doc_id for r in kept.collect()} == {k for k, _ in good} and kept.columns == df.columns
+    assert rules.judged(df, labels.limit(0)).where("kept").count() == 130 and rules.judged(df.limit(0), labels).count() == 0
+
+
+# 8.
+
+
+def test_vectors(spark):
+    r = np.random.default_rng(8)
+    base = r.standard_normal((12, 16))
+    x = [(base[k % 12] + 0.12 * r.standard_normal(16)).astype(np.float32).tolist() for k in range(400)] + [base[0].astype(np.float32).tolist()] * 60
+    rows = [(k, v, 0) for k, v in enumerate(x)]
+    odd = [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [1.0, None], 0), (1004, [float("inf")] * 16, 0), (1005, [], 0), (1006, [0.0] * 16, 0), (None, x[0], 0), (1007, [1e30] + [0.0] * 15, 0), (1008, [1e-30] + [0.0] * 15, 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit(1))
+    got = {g.vec_id: g for g in vectors.near_duplicates(df).collect()}
+    m = np.array([*x, x[0], [1.0] + [0.0] * 15, [1.0] + [0.0] * 15])
+    ids = [*range(len(x)), None, 1007, 1008]
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    comp = np.arange(len(m))
+    for _ in range(50):
+        for i in range(len(m)):
+            comp[i] = min([comp[i], *comp[link[i]]])
+    least = {}
+    for i, c in enumerate(comp):
+        least[c] = min(least.get(c, 10**9), ids[i] if ids[i] is not None else 10**9)
+    for i, k in enumerate(ids):
+        assert (got[k].n_links, got[k].component_id) == (link[i].sum(), least[comp[i]])
+    assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k in range(1000, 1007)) and not got[None].kept
+    assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_forest_keeps_components():
+    r = np.random.default_rng(1)
+    for _ in range(30):
+        a = r.random((9, 8)) < 0.15
+        group = list(range(17))
+
+        def root(x, g=group):
+            while g[x] != x:
+                x = g[x]
+            return x
+
+        for i, o, column in vectors.forest(a):
+            group[root(i)] = root(o + 9 if column else o)
+        full = list(range(17))
+        for i, j in zip(*np.nonzero(a), strict=True):
+            full[root(i, full)] = root(j + 9, full)
+        assert all((root(p) == root(q)) == (root(p, full) == root(q, full)) for p in range(17) for q in range(17))
+
+
+# 9.
+
+
+def test_urls(spark):
+    rows = [(k, f"http://{h}/{p}", "<p>casino pills cheap bets garden house blue house</p>") for k, (h, p) in enumerate([("cheapcasino.org", "en/1"), ("bluehouse.org", "en/2"), ("garden.org", "fr/3")] * 30)]
+    odd = [(900, None, None), (901, "no scheme", ""), (902, "http://A.example.COM/en/x?q#f", None), (903, "http://www.example.com/en/", None), (904, "http://x.net/es/1", None), (905, "http://com", None), (906, "http://com/", None), (907, "x://a.b?c/d", None), (None, "http://a.org#/en/", None), (908, "://://z", None), (909, "http://" + "q" * 5000, None), (910, "http://notexample.com/en/", None)]
+    df = spark.createDataFrame(rows + odd, "page_id long, url string, html string").withColumn("tokens", F.lit("t"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(df).collect()}
+    assert got[900] == got[901] == ("", "", None, "allow") and got[902] == ("a.example.com", "/en/x", "example.com/en/", "block")
+    assert got[903][2:] == ("www.example.com/en/", "allow") and got[904][2:] == ("net/es/", "block") and got[905][2] is None and got[906][2:] == ("com/", "allow")
+    assert got[907][:2] == ("a.b", "") and got[None][:2] == ("a.org", "") and got[908][:2] == ("", "://z"[1:]) or got[908][0] in ("", ":")
+    assert got[910][2] == "com/"
+    assert all(got[k][3] == ("block" if k % 3 == 0 else "allow") for k in range(90))
+    assert urls.judged(df.limit(0)).count() == 0
+
+
+def test_segmentation():
+    seg = urls.Segmenter({"cheap": 50, "pills": 40, "he": 5, "a": 9})
+    assert seg.split("cheappills") == ("cheap", "pills") and seg.split("cheapzpills") == ("cheap", "?", "pills") and seg.split("") == ()
+
+
+# 10.
+
+
+def test_tokens_equal_the_library():
+    e = encoder(packing.vocabulary())
+    for t in ["Hello  world\n\n x's ", "é😀 ß\t\r\n", "", " ", "a" * 3000, "<|endoftext|> end", "12345 _$% \u00a0\u2003z", "don't I'LL"]:
+        assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids
+    assert e.fast is not None
+
+
+def check_bins(counts, bins):
+    used = Counter()
+    for items, n in bins:
+        assert 0 < sum(items) <= packing.CAPACITY and n > 0
+        for i in items:
+            used[i] += n
+    assert used == Counter({n: int(c) for n, c in enumerate(counts) if c})
+
+
+def test_plan_is_whole_and_tight():
+    r = np.random.default_rng(3)
+    for hi in (1024, 400, 1000, 60):
+        counts = np.zeros(1025, np.int64)
+        np.add.at(counts, r.integers(1, hi + 1, 3000), 1)
+        bins = packing.pack(counts)
+        check_bins(counts, bins)
+        bound = math.ceil((counts * np.arange(1025)).sum() / 1024)
+        assert bound <= sum(n for _, n in bins) <= bound * 1.03 + counts[513:].sum() * (hi > 900) * 0.1 + 1
+
+
+def test_reduction_is_optimal_on_small_instances():
+    def best(items, cap):
+        items = sorted(items, reverse=True)
+        low = [len(items)]
+
+        def go(i, rooms):
+            if len(rooms) >= low[0]:
+                return
+            if i == len(items):
+                low[0] = len(rooms)
+                return
+            for j in {r: j for j, r in enumerate(rooms) if r >= items[i]}.values():
+                go(i + 1, rooms[:j] + [rooms[j] - items[i]] + rooms[j + 1 :])
+            go(i + 1, [*rooms, cap - items[i]])
+
+        go(0, [])
+        return low[0]
+
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        items = r.integers(1, 21, int(r.integers(1, 10))).tolist()
+        counts = np.bincount(items, minlength=21).astype(np.int64)
+        rest = counts.copy()
+        fixed = packing.reduce(rest, 20)
+        left = [n for n in range(21) for _ in range(int(rest[n]))]
+        assert sum(n for _, n in fixed) + (best(left, 20) if left else 0) == best(items, 20)
+
+
+def test_packing(spark):
+    rows = ODD + [(100 + k, "lorem ipsum " * (k * 37 % 900)) for k in range(40)]
+    out = packing.packed(docs(spark, rows)).collect()
+    e = encoder(packing.vocabulary())
+    fill, pieces = {}, {}
+    for r in out:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append(r)
+    for spots in fill.values():
+        at = 0
+        for o, n in sorted(spots):
+            assert o == at
+            at += n
+        assert at <= 1024
+    for i, t in rows[11:]:
+        ids = [*e.ids(t or "").tolist(), 2]
+        own = sorted(pieces[i], key=lambda r: r.piece)
+        assert sum(r.length for r in own) == len(ids) and [r.piece for r in own] == list(range(len(own)))
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        assert all(r.length == 1024 for r in own[1:])
+    assert packing.packed(docs(spark, [])).count() == 0
+
+
+# The pipeline.
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    now, at = d, {}
+    for name, stage in p.STAGES[:-1]:
+        now = store.save(stage(spark, now, SMALL), name)
+        at[name] = now
+        assert now.columns == d.columns
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    kept = {r.doc_id for r in rules.judged(d, labels).where("kept").collect()}
+    assert set(ids(at["quality_rules"])) == kept
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(at["quality_rules"]).collect()}
+    assert ids(at["simhash"]) == Counter(set(groups.values()))
+    assert ids(at["pii"]) == ids(at["simhash"]) and not any(base_spans(r.text) for r in at["pii"].collect())
+    taken = {r.doc_id: r.taken // r.size for r in mixing.mix(at["pii"]).collect()}
+    assert ids(at["mixing"]) == +Counter(taken)
+    out = p.run(spark, SMALL)
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and ids(out.where("piece = 0")) == ids(at["mixing"])
