@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..params import GLOBAL_IOU
@@ -74,45 +78,53 @@ def pairs(dets: DataFrame, cell: float = CELL) -> DataFrame:
     return both.where(first & meet & once).select("image_id", "cls", F.col("a_det_id").alias("i"), F.col("b_det_id").alias("j"), F.col("a_corners").alias("ci"), F.col("b_corners").alias("cj"))
 
 
-def _edges(ring: Column) -> Column:
-    return F.arrays_zip(ring.alias("p"), F.concat(F.slice(ring, 2, 4), F.slice(ring, 1, 1)).alias("q"))
-
-
-def _inside(ring: Column, p: Column) -> Column:
-    side = lambda a, b: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"]) >= 0
-    return side(ring[0], ring[1]) & side(ring[1], ring[2]) & side(ring[2], ring[3]) & side(ring[3], ring[0])
-
-
-def shared_points(a: Column, b: Column) -> Column:
-    """The corners of each of two convex rings inside the other, and where their edges cross."""
-    found = []
-    for p, q in ((a, b), (b, a)):
-        found.append(F.filter(p, (lambda q: lambda v: _inside(q, v))(q)))
-    for i in range(4):
-        for j in range(4):
-            p1, p2, q1, q2 = a[i], a[(i + 1) % 4], b[j], b[(j + 1) % 4]
-            dx, dy, ex, ey = p2["x"] - p1["x"], p2["y"] - p1["y"], q2["x"] - q1["x"], q2["y"] - q1["y"]
-            den = dx * ey - dy * ex
-            t = F.when(F.abs(den) > 1e-10, ((q1["x"] - p1["x"]) * ey - (q1["y"] - p1["y"]) * ex) / den)
-            u = F.when(F.abs(den) > 1e-10, ((q1["x"] - p1["x"]) * dy - (q1["y"] - p1["y"]) * dx) / den)
-            cross = (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-            found.append(F.when(cross, F.array(F.struct((p1["x"] + t * dx).alias("x"), (p1["y"] + t * dy).alias("y")))).otherwise(F.array().cast("array<struct<x: double, y: double>>")))
-    return F.concat(*found)
+def overlap_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of convex rings (n, 4, 2), corners in order: the ring around the corners of each inside the other and
+    the crossings of their edges, in order of angle; under three points there is none."""
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    inside = lambda p, q: (cross((np.roll(q, -1, axis=1) - q)[:, None], p[:, :, None] - q[:, None]) >= 0).all(axis=2)
+    d, e = (np.roll(a, -1, axis=1) - a)[:, :, None], (np.roll(b, -1, axis=1) - b)[:, None]
+    gap, den = b[:, None] - a[:, :, None], cross(d, e)
+    met = np.abs(den) > 1e-10
+    safe = np.where(met, den, 1.0)
+    t, u = cross(gap, e) / safe, cross(gap, d) / safe
+    met &= (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    n = len(a)
+    pts = np.concatenate([a, b, (a[:, :, None] + t[..., None] * d).reshape(n, 16, 2)], axis=1)
+    ok = np.concatenate([inside(a, b), inside(b, a), met.reshape(n, 16)], axis=1)
+    count = ok.sum(axis=1)
+    mid = (pts * ok[..., None]).sum(axis=1) / np.maximum(count, 1)[:, None]
+    off = pts - mid[:, None]
+    order = np.argsort(np.where(ok, np.arctan2(off[..., 1], off[..., 0]), np.inf), axis=1, kind="stable")
+    ring = np.take_along_axis(off, order[..., None], axis=1)
+    # Places beyond the last point repeat the first, which adds nothing.
+    ring = np.where((np.arange(24) < count[:, None])[..., None], ring, ring[:, :1])
+    return np.where(count >= 3, np.abs(cross(ring, np.roll(ring, -1, axis=1)).sum(axis=1)) / 2, 0.0)
+
+
+def ring_areas(a: np.ndarray) -> np.ndarray:
+    nxt = np.roll(a, -1, axis=1)
+    return np.abs((a[..., 0] * nxt[..., 1] - a[..., 1] * nxt[..., 0]).sum(axis=1)) / 2
 
 
 def with_iou(found: DataFrame) -> DataFrame:
-    """pairs() with inter and iou: the ring around the shared points, in order of angle; under three points it is empty."""
-    pts = found.withColumn("pts", shared_points(F.col("ci"), F.col("cj")))
-    n = F.size("pts")
-    mean = lambda k: F.aggregate("pts", F.lit(0.0), lambda s, p: s + p[k]) / n
-    mid = pts.withColumns({"mx": F.when(n > 0, mean("x")), "my": F.when(n > 0, mean("y"))})
-    ring = F.array_sort(F.transform("pts", lambda p: F.struct(F.atan2(p["y"] - F.col("my"), p["x"] - F.col("mx")).alias("a"), p["x"].alias("x"), p["y"].alias("y"))))
-    ringed = mid.withColumn("ring", F.when(n >= 3, ring))
-    sized = ringed.withColumns({"inter": F.coalesce(area(F.col("ring")), F.lit(0.0)), "ai": area(F.col("ci")), "aj": area(F.col("cj"))})
-    union = F.col("ai") + F.col("aj") - F.col("inter")
-    # Exploding an array of one keeps a filter on iou above these steps: pushed below, it would repeat all of them.
-    iou = F.when(union > 0, F.col("inter") / union).otherwise(0.0)
-    return sized.select("image_id", "cls", "i", "j", "ci", "cj", "inter", F.explode(F.array(iou)).alias("iou"))
+    """pairs() with inter and iou in place of the corners, whole batches at a time."""
+    keep = ["image_id", "cls", "i", "j"]
+
+    def rings(column: pa.Array) -> np.ndarray:
+        flat = column.flatten()
+        return np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in "xy"], axis=-1).reshape(-1, 4, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = rings(batch.column("ci")), rings(batch.column("cj"))
+            inter = overlap_areas(a, b)
+            union = ring_areas(a) + ring_areas(b) - inter
+            iou = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(inter), pa.array(iou)], names=[*keep, "inter", "iou"])
+
+    kinds = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in keep)
+    return found.select(*keep, "ci", "cj").mapInArrow(run, kinds + ", inter double, iou double")
 
 
 def suppressed(dets: DataFrame, over: DataFrame, rounds: int = 64) -> DataFrame:
