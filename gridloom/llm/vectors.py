@@ -45,10 +45,15 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, save(each.withColumn("node", F.monotonically_increasing_id()), "ego-points")
 
 
-def _units(batch: pa.RecordBatch, width: int) -> np.ndarray:
+def _raw(batch: pa.RecordBatch, width: int) -> np.ndarray:
     out = np.zeros((batch.num_rows, width))
     for i, v in enumerate(batch.column("v").to_pylist()):
         out[i, : len(v)] = v
+    return out
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    out = raw.astype(float)
     out /= np.abs(out).max(axis=1, keepdims=True)  # else squares may be beyond the range
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
@@ -60,7 +65,7 @@ def rotation(points: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, first = np.zeros((width, width)), np.zeros(width)
         for batch in batches:
-            x = _units(batch, width)
+            x = _units(_raw(batch, width))
             total += x.T @ x
             first += x.sum(axis=0)
         values = np.concatenate([total[at], first])
@@ -77,24 +82,28 @@ def rotation(points: DataFrame, width: int) -> np.ndarray:
     return np.linalg.eigh(cov - np.outer(mean, mean))[1][:, ::-1].copy()
 
 
-def blocks(points: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """(block, lo, hi, nodes, weights, x, y): the points in grid order, BLOCK at a time; block counts up along the order."""
+def blocks(points: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFrame:
+    """(block, lo, hi, nodes, weights, x, y): the points in grid order, BLOCK at a time; block counts up along the order.
+
+    x: the vectors as they came, in numpy's type kind; y: their leading axes.
+    """
     width = len(axes)
     lead = min(AXES, width)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = _units(batch, width) @ axes
-            c = np.floor(y[:, :lead] / eps).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *(pa.array(c[:, k]) for k in range(lead)), pa.array([r.tobytes() for r in _units(batch, width)], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary())], names=["node", "n", *(f"c{k}" for k in range(lead)), "x", "y"])
+            raw = _raw(batch, width)
+            y = (_units(raw) @ axes)[:, :lead]
+            c = np.floor(y / eps).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *(pa.array(c[:, k]) for k in range(lead)), pa.array([r.tobytes() for r in raw.astype(kind)], pa.binary()), pa.array([r.tobytes() for r in y], pa.binary())], names=["node", "n", *(f"c{k}" for k in range(lead)), "x", "y"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, kept = TaskContext.get().partitionId(), 0, []
 
         def flush(table: pa.Table) -> pa.RecordBatch:
             nonlocal seq
-            y = np.frombuffer(b"".join(table.column("y").to_pylist())).reshape(-1, width)
-            row = [task, seq, y[:, :lead].min(axis=0).tolist(), y[:, :lead].max(axis=0).tolist(), table.column("node").to_numpy().tobytes(), table.column("n").to_numpy().tobytes(), b"".join(table.column("x").to_pylist()), y.tobytes()]
+            y = np.frombuffer(b"".join(table.column("y").to_pylist())).reshape(-1, lead)
+            row = [task, seq, y.min(axis=0).tolist(), y.max(axis=0).tolist(), table.column("node").to_numpy().tobytes(), table.column("n").to_numpy().tobytes(), b"".join(table.column("x").to_pylist()), y.tobytes()]
             seq += 1
             types = (pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["task", "seq", "lo", "hi", "nodes", "weights", "x", "y"])
@@ -140,20 +149,27 @@ def block_pairs(headers: DataFrame, count: int, eps: float) -> DataFrame:
 
 
 def near(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, cosine: float, eps: float) -> np.ndarray:
-    """Which rows of x are within the cosine of which rows of u; y and v are both, rotated."""
+    """Which rows of x are within the cosine of which rows of u; y and v are their leading axes.
+
+    Products are taken in single precision first; those within its error of the threshold again in double.
+    """
     out = np.zeros((len(x), len(u)), bool)
+    x4, u4 = x.astype(np.float32), u.astype(np.float32)
+    unsure = 4e-7 * (x.shape[1] + 8)
 
     def go(a: int, b: int, c: int, d: int) -> None:
-        lead = min(AXES, y.shape[1])
-        p, q = y[a:b, :lead], v[c:d, :lead]
+        p, q = y[a:b], v[c:d]
         gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
         if (gap * gap).sum() > eps * eps + 1e-9:
             return
         if b - a <= LEAF and d - c <= LEAF:
-            dots = x[a:b] @ u[c:d].T
+            dots = x4[a:b] @ u4[c:d].T
             out[a:b, c:d] = dots >= cosine
-            for i, j in zip(*np.nonzero(np.abs(dots - cosine) < CLOSE), strict=True):
-                out[a + i, c + j] = math.fsum(x[a + i] * u[c + j]) >= cosine
+            i, j = np.nonzero(np.abs(dots - np.float32(cosine)) < unsure)
+            exact = np.einsum("ij,ij->i", x[a + i], u[c + j])
+            out[a + i, c + j] = exact >= cosine
+            for k in np.flatnonzero(np.abs(exact - cosine) < CLOSE):
+                out[a + i[k], c + j[k]] = math.fsum(x[a + i[k]] * u[c + j[k]]) >= cosine
             return
         m, n = (a + b) // 2 if b - a > LEAF else b, (c + d) // 2 if d - c > LEAF else d
         for s, t in ((a, m), (m, b)):
@@ -183,7 +199,7 @@ def forest(links: np.ndarray) -> list[tuple[int, int, bool]]:
     return out
 
 
-def joined(table: DataFrame, pairs: DataFrame, width: int, cosine: float, eps: float) -> DataFrame:
+def joined(table: DataFrame, pairs: DataFrame, width: int, kind: str, cosine: float, eps: float) -> DataFrame:
     """(a, b, n): b null: a has n more links; else a and b are in one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +208,7 @@ def joined(table: DataFrame, pairs: DataFrame, width: int, cosine: float, eps: f
             for r in range(batch.num_rows):
                 i, j = (batch.column(k)[r].as_py() for k in ("i", "j"))
                 get = lambda k, t, r=r: np.frombuffer(batch.column(k)[r].as_buffer(), t)  # noqa: B023, E731
-                other = (get("nodes", np.int64), get("weights", np.int64), get("x", np.float64).reshape(-1, width), get("y", np.float64).reshape(-1, width))
+                other = (get("nodes", np.int64), get("weights", np.int64), _units(get("x", kind).reshape(-1, width)), get("y", np.float64).reshape(-1, min(AXES, width)))
                 if i == j:
                     own, at = tuple(np.array(z) for z in other), i
                 if at != i:
@@ -218,10 +234,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows, points = classes(vectors.select("vec_id", "embedding"))
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
     width = points.agg(F.max(F.size("v"))).first()[0] or 1
-    table = blocks(points, rotation(points, width), eps)
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    table = blocks(points, rotation(points, width), eps, kind)
     count = table.count()
     pairs = save(block_pairs(table.select("block", "lo", "hi"), count, eps), "ego-pairs")
-    found = save(joined(table, pairs, width, cosine, eps), "ego-links")
+    found = save(joined(table, pairs, width, kind, cosine, eps), "ego-links")
     free(vectors.sparkSession)
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
