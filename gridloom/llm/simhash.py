@@ -57,7 +57,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between the distinct fingerprints fp that together connect all within RADIUS = 2 bits of each other."""
-    balls = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i"))
+    # Fingerprints are few bytes until each becomes 65 rows: so they are dealt out first, whatever their size says, and
+    # by another key, or the dealing they have, in few tasks, would do.
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+    balls = dealt.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("i"))
     balls = balls.select(F.expr("if(i < 0, fp, fp ^ shiftleft(1L, i))").alias("v"), F.expr("if(i < 0, 0L, shiftleft(1L, i))").alias("bit"), F.expr("if(i < 0, 1, 0)").alias("own"))
     met = balls.groupBy("v").agg(F.bit_or("bit").alias("bits"), F.max("own").alias("own")).where("bit_count(bits) + own > 1")
     sets = met.select(F.expr("concat(if(own = 1, array(v), array()), transform(filter(sequence(0, 63), i -> bits & shiftleft(1L, i) != 0), i -> v ^ shiftleft(1L, i)))").alias("near"))
