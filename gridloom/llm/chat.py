@@ -6,8 +6,8 @@ two 32-bit lanes; the whole hash of every conversation is anti-joined with the h
 conversations keep the least id, and what is left is maximal and gets rendered.
 
 Sums are taken within blocks of turns first and then over the blocks, so a conversation with a third of all rows is
-scanned by many tasks. It is rendered in parts, one for each block of BLOCK turn numbers; joined in order of part
-they are the whole conversation, and a conversation of fewer turns is one row.
+scanned by many tasks. It is rendered in parts of BLOCK rows, whatever their turn numbers, so that no part outgrows a
+task; joined in order of part they are the whole conversation, and one of no more rows is one row.
 
 Defined cases: a null role or text differs from an empty one and renders as empty; turns sort by number, nulls first,
 ties by role and text; rows with a null conversation id form one conversation; an empty table gives no rows.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Turn numbers in one part.
+#: Turn numbers in a block of sums, and rows in a rendered part.
 BLOCK = 256
 
 
@@ -57,12 +57,12 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame, keep: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, text): the kept conversations, a row for each block of turns."""
+    """(conv_id, part, n_turns, text): the kept conversations, a row for each BLOCK of their rows."""
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    rows = _positions(turns).select("conv_id", "blk", "pos", line.alias("line")).alias("t").join(keep.alias("k"), F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")))
-    parts = rows.groupBy("t.conv_id", "blk", "n_turns").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
-    first = Window.partitionBy("conv_id").orderBy("blk")
-    return parts.select("conv_id", (F.row_number().over(first) - 1).cast("int").alias("part"), "n_turns", F.array_join(F.col("lines.line"), "").alias("text"))
+    part = F.floor((F.col("pos") - 1) / BLOCK).cast("int")
+    rows = _positions(turns).select("conv_id", "pos", part.alias("part"), line.alias("line")).alias("t").join(keep.alias("k"), F.col("t.conv_id").eqNullSafe(F.col("k.conv_id")))
+    parts = rows.groupBy("t.conv_id", "part", "n_turns").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
+    return parts.select("conv_id", "part", "n_turns", F.array_join(F.col("lines.line"), "").alias("text"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -75,14 +75,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, CAST(floor(coalesce(turn, -1) / 256) AS BIGINT) AS blk,
+WITH t AS (SELECT conv_id, role, text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM conversations),
 p AS (SELECT conv_id, pos, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY pos) AS turns FROM t),
 n AS (SELECT conv_id, max(pos) AS n_turns FROM t GROUP BY conv_id),
 whole AS (SELECT p.conv_id, p.turns, n.n_turns FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.pos = n.n_turns),
 proper AS (SELECT DISTINCT p.turns FROM p JOIN n ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.pos < n.n_turns),
 kept AS (SELECT min(conv_id) AS conv_id, n_turns FROM whole WHERE turns NOT IN (SELECT turns FROM proper) GROUP BY turns, n_turns)
-SELECT t.conv_id, CAST(dense_rank() OVER (PARTITION BY t.conv_id ORDER BY t.blk) - 1 AS INTEGER) AS part, CAST(k.n_turns AS BIGINT) AS n_turns,
+SELECT t.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, CAST(k.n_turns AS BIGINT) AS n_turns,
   string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY pos) AS text
-FROM t JOIN kept k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY t.conv_id, t.blk, k.n_turns
+FROM t JOIN kept k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY t.conv_id, (pos - 1) // 256, k.n_turns
 """

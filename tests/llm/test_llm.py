@@ -80,6 +80,13 @@ def test_chat_long_conversation_in_parts(spark):
     assert "".join(r.text for r in got) == "".join(f"<|user|>\n{k}<|end|>\n" for k in range(600))
 
 
+def test_chat_parts_are_bounded_when_turns_tie(spark):
+    rows = [(None, None, "user", f"{k:04}") for k in range(520)]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).orderBy("part").collect()
+    assert [(r.conv_id, r.part, r.n_turns, r.text.count("<|end|>")) for r in got] == [(None, 0, 520, 256), (None, 1, 520, 256), (None, 2, 520, 8)]
+    assert "".join(r.text for r in got) == "".join(f"<|user|>\n{k:04}<|end|>\n" for k in range(520))
+
+
 # 2.
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
