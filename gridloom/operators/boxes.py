@@ -127,6 +127,16 @@ def with_iou(found: DataFrame) -> DataFrame:
     return found.select(*keep, "ci", "cj").mapInArrow(run, kinds + ", inter double, iou double")
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Raise unless the session names a shared folder for checkpoints; a local master gets one of its own."""
+    if not spark.sparkContext.getConf().contains("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+
+
 def suppressed(dets: DataFrame, over: DataFrame, rounds: int = 64) -> DataFrame:
     """dets without those that a kept one suppresses. over (image_id, cls, i, j): i goes before j and would suppress it.
 
@@ -134,13 +144,7 @@ def suppressed(dets: DataFrame, over: DataFrame, rounds: int = 64) -> DataFrame:
     settles a box of every chain at least, all images at once, and no group of boxes is ever gathered. The rounds end
     when all are settled; the plan is cut at each by a checkpoint, where the session has a folder for it.
     """
-    spark = dets.sparkSession
-    if not spark.sparkContext.getConf().contains("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    with_checkpoints(dets.sparkSession)
     edges = over.select("i", "j").checkpoint()
     gone = None
     while True:
@@ -180,13 +184,13 @@ def class_counts(dets: DataFrame) -> DataFrame:
     return dets.groupBy("image_id", "class_name").agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
 
 
-def features(dets: DataFrame, transform: tuple[float, ...], source_file: str = "") -> DataFrame:
-    """A row for each GeoJSON feature: (image_id, id, ring, properties); transform: a, b, c, d, e, f.
+def features(dets: DataFrame, transform: tuple[float, ...] | str, source_file: str | Column = "") -> DataFrame:
+    """A row for each GeoJSON feature: (image_id, id, ring, properties); transform: a, b, c, d, e, f, or a column of such arrays.
 
     Pixels are placed by their centres. The ring is counter-clockwise and closed. Ids follow confidence.
     """
-    a, b, c, d, e, f = map(float, transform)
-    geo = lambda x, y: (F.lit(c) + F.lit(a) * (x + 0.5) + F.lit(b) * (y + 0.5), F.lit(f) + F.lit(d) * (x + 0.5) + F.lit(e) * (y + 0.5))
+    a, b, c, d, e, f = (F.col(transform)[k] for k in range(6)) if isinstance(transform, str) else (F.lit(float(v)) for v in transform)
+    geo = lambda x, y: (c + a * (x + 0.5) + b * (y + 0.5), f + d * (x + 0.5) + e * (y + 0.5))
     point = lambda p: F.array(*geo(p["x"], p["y"]))
     ring = F.transform(F.reverse("corners"), point)
     order = Window.partitionBy("image_id").orderBy(F.desc("confidence"), "det_id")
@@ -194,7 +198,7 @@ def features(dets: DataFrame, transform: tuple[float, ...], source_file: str = "
     r = lambda x, n: F.floor((F.col(x) if isinstance(x, str) else x) * F.lit(10.0**n) + 0.5) / F.lit(10.0**n)
     props = F.struct(
         F.col("cls").alias("class_id"), "class_name", r("confidence", 4).alias("confidence"), r(lon, 6).alias("center_lon"), r(lat, 6).alias("center_lat"), r("width", 2).alias("width_px"), r("height", 2).alias("height_px"),
-        r("angle", 4).alias("angle_rad"), r(F.degrees("angle"), 2).alias("angle_deg"), F.lit(source_file).alias("source_file"),
+        r("angle", 4).alias("angle_rad"), r(F.degrees("angle"), 2).alias("angle_deg"), (F.lit(source_file) if isinstance(source_file, str) else source_file).alias("source_file"),
     )
     return with_corners(dets).select("image_id", (F.row_number().over(order) - 1).alias("id"), F.concat(ring, F.slice(ring, 1, 1)).alias("ring"), props.alias("properties"))
 

@@ -64,5 +64,7 @@ def detect(windows: DataFrame, factory: Callable[[], Detector], p: Detect = Dete
     if factory is None:
         raise DetectionFailed("no detector")
     raw = boxes.filtered(detected(tiles.padded(windows, p.tile), factory, p), p.class_ids(), p.confidence)
+    # Written once: the merge reads them several times, and a detector is dear.
+    boxes.with_checkpoints(windows.sparkSession)
     # Unique over all images, and in an image by window and by place in the window.
-    return boxes.merged(raw.withColumn("det_id", F.struct("tile_id", "k", "image_id")), p.iou)
+    return boxes.merged(raw.withColumn("det_id", F.struct("tile_id", "k", "image_id")).checkpoint(), p.iou)

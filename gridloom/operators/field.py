@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Nearest points that count; a point nearer than EXACT to a node gives it its own value; nodes to a side.
@@ -49,16 +51,40 @@ def resized(coarse: DataFrame, nodes: tuple[int, int], height: int, width: int,
     return sampled(grid.withColumns({"sy": src("y", ny, height), "sx": src("x", nx, width)}), coarse.select(F.col("i").alias("y"), F.col("j").alias("x"), *values), ny, nx, values)
 
 
-def sampled(at: DataFrame, image: DataFrame, height: int, width: int, values: tuple[str, ...]) -> DataFrame:
-    """(y, x, values) of image (y, x, values) at (sy, sx), bilinear, the edge replicated: an equi-join with the four neighbours, then a sum."""
+#: Half the width of each kernel; the parameter of cubic convolution.
+KERNELS = {"bilinear": 1, "cubic": 2, "lanczos": 3}
+SHARPNESS = -0.5
+
+
+def _weight(t: Column, kernel: str) -> Column:
+    """The kernel at distance t, which is within its half width."""
+    if kernel == "cubic":
+        t, a = F.abs(t), SHARPNESS
+        return F.when(t <= 1, ((a + 2) * t - (a + 3)) * t * t + 1).otherwise(((a * t - 5 * a) * t + 8 * a) * t - 4 * a)
+    sinc = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(v * math.pi) / F.when(v != 0, v * math.pi))
+    return sinc(t) * sinc(t / KERNELS[kernel])
+
+
+def taps(f: Column, kernel: str = "bilinear") -> list[tuple[int, Column]]:
+    """(steps from the place below, weight) of the places along an axis that count at a fraction f beyond it."""
+    if kernel == "bilinear":
+        return [(0, 1 - f), (1, f)]
+    half = KERNELS[kernel]
+    return [(k, _weight(f - k, kernel)) for k in range(1 - half, half + 1)]
+
+
+def sampled(at: DataFrame, image: DataFrame, height: int, width: int, values: tuple[str, ...], kernel: str = "bilinear") -> DataFrame:
+    """(y, x, values) of image (y, x, values) at (sy, sx), the edge replicated: an equi-join with the neighbours that the kernel weighs, then a sum."""
     clamp = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int")
     y0, x0 = F.floor("sy"), F.floor("sx")
     fy, fx = F.col("sy") - y0, F.col("sx") - x0
     corner = lambda dy, dx, w: F.struct(clamp(y0 + dy, height).alias("ny"), clamp(x0 + dx, width).alias("nx"), w.alias("w"))
-    four = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
-    laid = at.select("y", "x", F.explode(four).alias("c")).where("c.w > 0").select("y", "x", "c.*")
+    near = F.array(*(corner(dy, dx, wy * wx) for dy, wy in taps(fy, kernel) for dx, wx in taps(fx, kernel)))
+    laid = at.select("y", "x", F.explode(near).alias("c")).where("c.w != 0").select("y", "x", "c.*")
     joined = laid.join(image.select(F.col("y").alias("ny"), F.col("x").alias("nx"), *values), ["ny", "nx"])
-    return joined.groupBy("y", "x").agg(*(F.sum(F.col("w") * F.col(v)).alias(v) for v in values))
+    # The weights of the last kernel sum to nearly one only.
+    total = lambda v: F.sum(F.col("w") * F.col(v)) / F.sum("w") if kernel == "lanczos" else F.sum(F.col("w") * F.col(v))
+    return joined.groupBy("y", "x").agg(*(total(v).alias(v) for v in values))
 
 
 def translated(image: DataFrame, d_row: float, d_col: float, height: int, width: int, values: tuple[str, ...]) -> DataFrame:

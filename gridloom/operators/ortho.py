@@ -89,7 +89,7 @@ def rectified(image: DataFrame, at: DataFrame, height: int, width: int, values:
         near = inside.select("y", "x", F.rint("sy").cast("int").alias("ny"), F.rint("sx").cast("int").alias("nx"))
         found = near.join(image.select(F.col("y").alias("ny"), F.col("x").alias("nx"), *values), ["ny", "nx"]).select("y", "x", *values)
     else:
-        found = sampled(inside, image, height, width, values)
+        found = sampled(inside, image, height, width, values, resampling)
     return at.select("y", "x").join(found, ["y", "x"], "left").select("y", "x", *(F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values))
 
 

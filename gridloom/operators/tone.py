@@ -28,12 +28,19 @@ def _bands(df: DataFrame) -> None:
 
 def normalised(df: DataFrame, dtype: str = "uint8") -> DataFrame:
     _bands(df)
-    return _with_range(df, dtype).withColumns({b: tone.normalise(F.col(b), dtype, F.col("lo"), F.col("hi")) for b in BANDS})
+    to_unit = lambda c: tone.normalise(c, dtype, F.col("lo"), F.col("hi"))
+    return _with_range(df, dtype).withColumns({b: to_unit(F.col(b)) for b in BANDS} | _extra(df, dtype, to_unit))
 
 
 def denormalised(df: DataFrame, dtype: str = "uint8", rescale: bool = False) -> DataFrame:
     span = (F.col("lo"), F.col("hi")) if rescale and "lo" in df.columns else None
-    return df.withColumns({b: tone.denormalise(F.col(b), dtype, span) for b in BANDS}).drop("lo", "hi")
+    back = lambda c: tone.denormalise(c, dtype, span)
+    return df.withColumns({b: back(F.col(b)) for b in BANDS} | _extra(df, dtype, back)).drop("lo", "hi")
+
+
+def _extra(df: DataFrame, dtype: str, f) -> dict:
+    """The bands after the third go there and back with the others; for types with a fixed depth that changes nothing."""
+    return {"extra": F.transform("extra", f)} if "extra" in df.columns and dtype not in tone.DEPTHS else {}
 
 
 def enhance(df: DataFrame, p: Enhance = Enhance(), dtype: str = "uint8", rescale: bool = False) -> DataFrame:  # noqa: B008

@@ -79,5 +79,5 @@ class Ortho:
         _within(OrthoFailed, height=(self.height, 0, None))
         if self.resolution is not None and not self.resolution > 0:
             raise OrthoFailed(f"resolution must be above 0: {self.resolution}")
-        if self.resampling not in ("nearest", "bilinear"):
+        if self.resampling not in ("nearest", "bilinear", "cubic", "lanczos"):
             raise OrthoFailed(f"unknown resampling: {self.resampling}")

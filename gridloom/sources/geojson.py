@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, functions as F
 def collections(features: DataFrame, counts: DataFrame, scenes: DataFrame | None = None, elapsed: float | None = None) -> DataFrame:
     """(image_id, geojson): features of operators.boxes.features() by id, class counts by confidence, and metadata.
 
-    A collection is one document by its nature; its features are at most its image's detections.
+    A collection is one document by its nature; its features are at most its image's detections. With scenes, an image
+    without detections has an empty collection.
     """
     feature = F.struct(F.col("id").alias("_id"), F.struct(F.lit("Feature").alias("type"), "id", F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")).alias("geometry"), "properties").alias("f"))
     each = features.groupBy("image_id").agg(F.array_sort(F.collect_list(feature)).alias("fs"), F.count("*").alias("n"))
     named = counts.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("best")).alias("b"), "class_name", "n"))).alias("cs"))
     joined = each.join(named, "image_id", "left")
-    meta = [F.col("n").alias("total_detections"), F.map_from_entries(F.transform("cs", lambda c: F.struct(c["class_name"], c["n"]))).alias("class_counts")]
+    meta = [F.coalesce("n", F.lit(0)).alias("total_detections"), F.map_from_entries(F.coalesce(F.transform("cs", lambda c: F.struct(c["class_name"], c["n"])), F.array().cast("array<struct<class_name: string, n: bigint>>"))).alias("class_counts")]
     if elapsed is not None:
         meta.append(F.lit(round(elapsed, 1)).alias("elapsed_seconds"))
     if scenes is not None:
-        joined = joined.join(scenes.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height")), "image_id")
+        joined = joined.join(scenes.select("image_id", F.col("width").alias("image_width"), F.col("height").alias("image_height")), "image_id", "right")
         meta += [F.col("image_width"), F.col("image_height")]
-    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.col("fs.f").alias("features"), F.struct(*meta).alias("metadata"))
+    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.coalesce("fs.f", F.array()).alias("features"), F.struct(*meta).alias("metadata"))
     return joined.select("image_id", F.to_json(doc).alias("geojson"))
 
 

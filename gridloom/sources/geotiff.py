@@ -8,14 +8,17 @@ deflate are read, with the horizontal predictor; LZW strips are written.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import InvalidImage
+from ..params import LEAST_SIDE, OVERLAP, TILE
 
 #: Field types as (code, bytes), and tags by name.
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
@@ -244,13 +247,77 @@ def pixels(parts: DataFrame, names: tuple[str, ...] = ("r", "g", "b")) -> DataFr
                 if len(a) < len(names):
                     raise InvalidImage(f"{r['image_id']} has {len(a)} bands, not {len(names)}")
                 y, x = np.indices(a.shape[1:], np.int32)
-                extra = a[len(names) :].reshape(len(a) - len(names), -1).T
+                extra = a[len(names) :].reshape(len(a) - len(names), y.size).T
                 cols = [pa.array([r["image_id"]] * y.size), pa.array(y.ravel() + r["row_off"], pa.int32()), pa.array(x.ravel() + r["col_off"], pa.int32()), *(pa.array(a[k].ravel()) for k in range(len(names))), pa.array(list(extra), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["image_id", "y", "x", *names, "extra"])
 
     return parts.mapInArrow(run, schema)
 
 
+def windows(spark: SparkSession, paths: list[str] | str, tile: int = TILE, overlap: float = OVERLAP, cover_edges: bool = False) -> DataFrame:
+    """(image_id, tile_id, row_off, col_off, tile_width, tile_height, data): the windows of operators.tiles.windows(), as detectors take them.
+
+    data is 3 x tile_height x tile_width of uint8; only a window's own parts of the bands it shows are unpacked.
+    """
+    from ..operators.tiles import stride
+
+    step, least = stride(tile, overlap), 0 if cover_edges else LEAST_SIDE * tile
+    schema = "image_id string, tile_id int, row_off int, col_off int, tile_width int, tile_height int, data binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                t = Tiff(r["content"])
+                places = [(i, j) for i in range(0, t.height, step) for j in range(0, t.width, step)]
+                for n, (i, j) in enumerate(places):
+                    h, w = min(tile, t.height - i), min(tile, t.width - j)
+                    if min(h, w) >= least:
+                        yield _rows(schema, [(r["path"], n, i, j, w, h, _bytes(t.read(i, j, h, w, [*range(min(3, t.bands))])).tobytes())])
+
+    return _files(spark, paths).mapInArrow(run, schema)
+
+
+def _bytes(a: np.ndarray) -> np.ndarray:
+    """Three bands of 8 bits from one, two or three: one stands for all, a third is empty; other types are stretched."""
+    if len(a) < 3:
+        a = np.concatenate([a, np.zeros_like(a[:1])]) if len(a) == 2 else np.repeat(a, 3, axis=0)
+    if a.dtype == np.uint8:
+        return a
+    if a.dtype == np.uint16:
+        return (a >> 8).astype(np.uint8)
+    low, high = float(a.min()), float(a.max())
+    return ((a.astype(float) - low) / (high - low) * 255).astype(np.uint8) if high > low else np.zeros(a.shape, np.uint8)
+
+
+def assembled(px: DataFrame, info: DataFrame, names: tuple[str, ...] = ("r", "g", "b"), size: int = 512) -> DataFrame:
+    """chunks() again from pixels (image_id, y, x, names and, if any, extra); info: width, height and dtype of each image.
+
+    A group is a window, so of size x size rows at most; places without a pixel are 0.
+    """
+    import pandas as pd
+
+    extra = "extra" in px.columns
+    cell = lambda c: F.floor(F.col(c) / size).cast("int")
+    placed = px.select("image_id", cell("y").alias("chunk_row"), cell("x").alias("chunk_col"), "y", "x", *names, *(["extra"] if extra else []))
+    placed = placed.join(info.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("dtype").alias("_t")), "image_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        i, j = int(first["chunk_row"]) * size, int(first["chunk_col"]) * size
+        h, w = min(size, int(first["_h"]) - i), min(size, int(first["_w"]) - j)
+        more = np.stack(pdf["extra"].to_numpy()) if extra else np.empty((len(pdf), 0))
+        out = np.zeros((len(names) + more.shape[1], h, w), first["_t"])
+        y, x = pdf["y"].to_numpy() - i, pdf["x"].to_numpy() - j
+        for k, n in enumerate(names):
+            out[k, y, x] = pdf[n].to_numpy()
+        for k in range(more.shape[1]):
+            out[len(names) + k, y, x] = more[:, k]
+        row = (first["image_id"], int(first["chunk_row"]), int(first["chunk_col"]), i, j, w, h, first["_t"], len(out), out.tobytes())
+        return pd.DataFrame([row], columns=[f.split(" ")[0] for f in CHUNKS.split(", ")])
+
+    return placed.groupBy("image_id", "chunk_row", "chunk_col").applyInPandas(run, CHUNKS)
+
+
 def files(parts: DataFrame, info: DataFrame, compress: bool = True) -> DataFrame:
     """(image_id, data): a GeoTIFF for each image, from chunks and scenes. A file is one task's, as its size is limited."""
     import pandas as pd
@@ -265,15 +332,25 @@ def files(parts: DataFrame, info: DataFrame, compress: bool = True) -> DataFrame
     return parts.join(info.select("image_id", "transform", "crs"), "image_id").groupBy("image_id").applyInPandas(run, "image_id string, data binary")
 
 
-def write(out: DataFrame, folder: str, name: dict[str, str] | None = None) -> list[str]:
-    """Write (image_id, data) as files, one at a time, wherever Spark can write."""
-    spark, done = out.sparkSession, []
-    conf = spark._jsc.hadoopConfiguration()
-    for r in out.toLocalIterator():
-        target = f"{folder.rstrip('/')}/{(name or {}).get(r.image_id) or r.image_id.rsplit('/', 1)[-1]}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        stream = path.getFileSystem(conf).create(path, True)
-        stream.write(bytes(r.data))
-        stream.close()
-        done.append(target)
-    return done
+def write(out: DataFrame, folder: str) -> list[str]:
+    """Write (image_id, data) as files, named by a column name or as the images are; the paths.
+
+    Each task writes its own files through pyarrow, to a folder that all machines share or to a store that it knows. A
+    file gets its name when it is whole, so that a task that is lost leaves none behind, and one that is run again
+    replaces it.
+    """
+    name = F.col("name") if "name" in out.columns else F.substring_index("image_id", "/", -1)
+    target = F.concat(F.lit(folder.rstrip("/") + "/"), name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                store, path = pa.fs.FileSystem.from_uri(r["target"])
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as f:
+                    f.write(r["data"])
+                store.move(part, path)
+                yield pa.RecordBatch.from_arrays([pa.array([r["target"]])], names=["target"])
+
+    return sorted(r.target for r in out.select(target.alias("target"), "data").mapInArrow(run, "target string").collect())

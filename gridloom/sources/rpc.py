@@ -49,6 +49,14 @@ def vector(text: Column) -> Column:
     return F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.cast("double"))
 
 
+def from_array(scenes: DataFrame) -> DataFrame:
+    """scenes (image_id, rpc), rpc as GeoTIFF's tag for it holds 92 numbers: two errors, five offsets, five scales, four vectors."""
+    order = ("LINE", "SAMP", "LAT", "LONG", "HEIGHT")
+    at = {f"{k}_{what}": 2 + 5 * j + i for j, what in enumerate(("OFF", "SCALE")) for i, k in enumerate(order)}
+    rows = scenes.where(F.size("rpc") >= 92)
+    return checked(rows.select("image_id", *(F.col("rpc")[at[k]].alias(k.lower()) for k in SCALARS), *(F.slice("rpc", 13 + 20 * j, 20).alias(v.lower()) for j, v in enumerate(VECTORS))))
+
+
 def from_tags(tags: DataFrame) -> DataFrame:
     """tags (image_id, tags map<string, string>), keys as in text files, each vector in one."""
     scalar = [F.element_at("tags", k).cast("double").alias(k.lower()) for k in SCALARS]

@@ -267,7 +267,7 @@ def test_geotiff_round_trip(spark, tmp_path, dtype):
     assert parts.count() == 9 and geotiff.chunks(spark, str(tmp_path / "a.tif"), 64, [2]).first().bands == 1
     px = geotiff.pixels(parts).where("y = 65 and x = 88").first()
     assert (px.r, px.extra[0]) == (float(a[0, 65, 88]), float(a[3, 65, 88]))
-    out = geotiff.write(geotiff.files(parts, info), str(tmp_path / "out"), None)
+    out = geotiff.write(geotiff.files(parts, info), str(tmp_path / "out"))
     assert (geotiff.Tiff(open(out[0], "rb").read()).read(0, 0, 70, 90) == a).all()
 
 
