@@ -485,6 +485,22 @@ def _(spark, sf):
     return _round(field.remapped(px, shift, _height(spark, sf), 100, ("r",)), ("r",), 6)
 
 
+def _cubic(t: str) -> str:
+    t = f"abs({t})"
+    return f"(CASE WHEN {t} <= 1 THEN (1.5e0 * {t} - 2.5e0) * {t} * {t} + 1e0 ELSE ((-0.5e0 * {t} + 2.5e0) * {t} - 4e0) * {t} + 2e0 END)"
+
+
+_cubic_taps = f"""(SELECT y, x, CAST(least(greatest(floor(sy) + ky, 0), {_tall} - 1) AS INTEGER) AS ny, CAST(least(greatest(floor(sx) + kx, 0), 99) AS INTEGER) AS nx, {_cubic('sy - floor(sy) - ky')} * {_cubic('sx - floor(sx) - kx')} AS w
+  FROM (SELECT y, x, y - 1.3e0 AS sy, x + 2.4e0 AS sx FROM ({tables.PIXELS})) CROSS JOIN range(-1, 3) a(ky) CROSS JOIN range(-1, 3) b(kx))"""
+
+
+@register("resample_cubic", f"SELECT t.y, t.x, {_r('sum(t.w * p.r)', 6)} AS r FROM {_cubic_taps} t JOIN ({tables.PIXELS}) p ON p.y = t.ny AND p.x = t.nx GROUP BY t.y, t.x")
+def _(spark, sf):
+    px = tables.pixels(spark, sf)
+    at = px.select("y", "x", (F.col("y") - 1.3).alias("sy"), (F.col("x") + 2.4).alias("sx"))
+    return _round(field.sampled(at, px, _height(spark, sf), 100, ("r",), "cubic"), ("r",), 6)
+
+
 # Ground.
 
 _keys = [*rpc.SCALARS, *(f"{v}_{i}" for v in rpc.VECTORS for i in range(1, 21))]
