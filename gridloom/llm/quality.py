@@ -11,7 +11,8 @@ whole texts. Labels, language, source and id are no inputs.
 
 Defined cases: a null text is an empty one, and an empty text is one chunk of padding; a null id is not held out;
 labels other than 0 and 1 are ignored; without labels of both classes every score is the share of label 1, or 1/2
-without any; repeated rows score alike.
+without any; repeated rows score alike, and
+rows that share an id teach as one, that with the least text.
 """
 
 from __future__ import annotations
@@ -157,7 +158,8 @@ def sampled(docs: DataFrame, labels: DataFrame) -> list:
     chosen = free.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     need = HALF * (PIECES * 16)  # the pieces of a document come from a stretch of this many characters from a hashed place
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - need + 1, F.lit(1))).cast("int")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), at + 1, F.lit(need)).alias("text")).collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), at + 1, F.lit(need)).alias("text"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # an id that repeats is one row
     return sorted(rows, key=lambda x: (x.doc_id, x.quality, x.text))
 
 

@@ -9,7 +9,7 @@ The statistics are counted over whole texts. The list is learned from at most SA
 least hash of their id.
 
 Defined cases: a null text is an empty one; a text without words fails the base; labels other than 0 and 1 and labels
-without a document are ignored; without labels the list is empty and only the base rejects.
+without a document are ignored; rows that share an id teach as one, that with the least statistics; without labels the list is empty and only the base rejects.
 """
 
 from __future__ import annotations
@@ -178,7 +178,8 @@ def sampled(labels: DataFrame) -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, c: str) -> list[Rule]:
     """docs: doc_id and the struct of counts c."""
     x = features(c)
-    rows = docs.join(sampled(labels), "doc_id").where(~base_failed(c)).select("doc_id", "quality", *(v.alias(k) for k, v in x.items())).collect()
+    known = docs.join(sampled(labels), "doc_id").where(~base_failed(c)).select("doc_id", "quality", F.struct(*(v.alias(k) for k, v in x.items())).alias("x"))
+    rows = known.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "quality", "x.*").collect()  # an id that repeats is one row
     rows.sort(key=lambda r: (r.doc_id, r.quality, tuple(r)))
     if not rows:
         return []

@@ -324,6 +324,13 @@ def test_counts_against_brute_force():
         assert rules.count(t)[:5] == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(hit))
 
 
+def test_an_id_that_repeats_teaches_once(spark):
+    df = docs(spark, [(1, f"text {k}") for k in range(40)] + [(4, "other")])
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [(r.doc_id, r.text) for r in quality.sampled(df.select("doc_id", "text"), labels)] == [(1, "text 0"), (4, "other")]
+    assert rules.judged(df, labels).count() == 41
+
+
 def test_rules(spark):
     good = [(100 + k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(90)]
     junk = [(1000 + k, " ".join(f"w{k}y{j}$$$" for j in range(60))) for k in range(40)]
