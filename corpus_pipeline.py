@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import mixing, packing, pii, rules, simhash
+from gridloom.llm import mixing, packing, pii, rules, similar
 from gridloom.llm.store import save
 
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.distinct_documents(docs)
+    """One document of each group of near duplicates: five-word shingles, similar by 0.8 at least."""
+    return similar.distinct_documents(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

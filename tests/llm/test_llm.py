@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, components, mixing, packing, pii, quality, rules, simhash, store, suffixes, urls, vectors
+from gridloom.llm import chat, components, mixing, packing, pii, quality, rules, simhash, similar, store, suffixes, urls, vectors
 from gridloom.llm.queries import ORACLES, QUERIES
 from gridloom.llm.tokens import encoder
 
@@ -237,6 +237,46 @@ def test_simhash(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(set(comp.values())) + Counter({None: 2}) and kept.columns == docs(spark, []).columns
 
 
+def test_pipeline_links_by_similarity_of_five_words(spark):
+    import corpus_pipeline as p
+
+    r = np.random.default_rng(7)
+    texts = []
+    for k in range(40):
+        words = [f"w{x}" for x in r.integers(0, 5000, 120)]
+        texts.append(words)
+        for changes in (1, 2, 3, 4):  # 5 shingles each: from 0.92 to 0.7
+            at = r.choice(np.arange(10, 110, 12), changes, replace=False)
+            texts.append([f"v{k}" if i in at else w for i, w in enumerate(words)])
+    line = [f"b{k}" for k in range(40)]
+    texts += [line + [f"u{r.integers(0, 10**6)}" for _ in range(n)] for n in [2, 4, 6, 9, *range(10, 60, 2)] for _ in range(2)]
+    hub = [f"h{x}" for x in range(300)]
+    texts += [[*hub[:x], "z", *hub[x + 1 :]] for x in range(0, 60, 2)]
+    texts += [t.split() for _, t in ODD if t] + [[], [], ["one", "Two", "three", "four"]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in ([w.lower() for w in t] for t in texts)]
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if comp[a] != comp[b] and like(sets[a], sets[b]):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    assert len(set(comp)) < len(rows) - 100
+    d = docs(spark, rows)
+    kept = p.near_duplicates(spark, d, SMALL)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(comp)) and kept.columns == d.columns
+    assert p.near_duplicates(spark, docs(spark, []), SMALL).count() == 0
+
+
+def test_similar_documents_by_id_and_text(spark):
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join([*base, "end"]), "one text", "another text", "without an id", "Without an id"]
+    kept = similar.distinct_documents(docs(spark, list(zip([1, 1, 1, 1, None, None], texts, strict=True)) + [(2, texts[2]), (None, texts[3])])).collect()
+    assert len(kept) == 4 and Counter(r.doc_id for r in kept) == {1: 3, None: 1}
+    assert {"one text", "another text"} < {r.text for r in kept}
+
+
 def test_balls_link_all_within_two_bits(spark):
     r = np.random.default_rng(4)
     fps = {int(x) for x in r.integers(-(2**63), 2**63 - 1, 20)}
