@@ -87,12 +87,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with its own columns: that of the least id. A row without an id stays."""
-    table = save(fingerprints(docs, id_col, text_col), "simhash-fps")
-    name = fresh(docs.columns, "_kept")
-    kept = table.join(grouped(table), "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
-    own = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col])
-    return own.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component, with its own columns: that of the least id and, of its texts, the least hash. A row without an id stays."""
+    name, own_digest = fresh(docs.columns, "_kept"), fresh(docs.columns, "_digest")
+    named = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("doc_id"), F.col(text_col).alias("text"))
+    table = save(fingerprints(named), "simhash-fps")
+    kept = table.where("doc_id.id is not null").join(grouped(table), "fp").groupBy("component_id").agg(F.min("doc_id").alias(name)).select(name)
+    own = docs.where(F.col(id_col).isNotNull()).withColumn(own_digest, F.xxhash64(text_col))
+    own = own.join(kept, (F.col(id_col) == F.col(f"{name}.id")) & (F.col(own_digest) == F.col(f"{name}.digest")), "left_semi").dropDuplicates([id_col, own_digest])
+    return own.drop(own_digest).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -237,6 +237,12 @@ def test_simhash(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(set(comp.values())) + Counter({None: 2}) and kept.columns == docs(spark, []).columns
 
 
+def test_distinct_documents_of_an_id_with_other_texts(spark):
+    rows = [(1, "one text"), (1, "another text here"), (1, "One Text"), (2, "another text here"), (3, "a third")]
+    kept = Counter((r.doc_id, r.text.lower()) for r in simhash.distinct_documents(docs(spark, rows)).collect())
+    assert kept == {(1, "one text"): 1, (1, "another text here"): 1, (3, "a third"): 1}
+
+
 def test_pipeline_links_by_similarity_of_five_words(spark):
     import corpus_pipeline as p
 
