@@ -1,17 +1,21 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
-Base spans (e-mail, ip, card, phone) follow fixed patterns. Every other run of printable
-characters with a digit is a candidate on which labelers vote: formats by regex, word lists in front of it, its
-context, its length and its mixture of characters. Expectation-maximisation (Dawid and Skene's, for two classes) estimates what each labeler's vote is
+Base spans (e-mail, ip, card, phone) follow fixed patterns. Every other run of printable ASCII characters with a digit
+is a candidate, and so is one without a digit that a cue such as `password` gives a value to. Labelers vote on each:
+formats by regex, lists of known token prefixes and of words in front of it, its context, its length and its mixture
+of characters. Expectation-maximisation (Dawid and Skene's, for two classes) estimates what each labeler's vote is
 worth from how votes go together; the posteriors train a logistic span classifier over features of the candidate,
 which decides which candidates are added as spans of the kind `secret`. Both models are fitted on counts of whole
 vote and feature patterns over all candidates, of which there are at most a few thousand kinds, so the driver's share
 doesn't grow with the corpus.
 
-No pattern here repeats a group, so no text is long enough to exhaust a stack, and none rescans a run it has passed.
+The candidates of a text are searched once; what is found is saved, fitted on and decided upon. No pattern repeats a
+group, so no text is long enough to exhaust a stack; matches within a run of characters begin at its start or where
+the last one ended, so the time is linear in the text.
 
 Defined cases: a null text is an empty one and has no spans; a null id is carried through; repeated rows are judged
-each; an empty table, or one without candidates, has no model and adds nothing.
+each; an empty table, or one without candidates, has no model and adds nothing; where no candidate is taken to be
+private, as in a table of one harmless number, nothing is added; texts of any length are masked by blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import fresh, save
@@ -31,11 +36,18 @@ ADDED = "secret"
 PRIVATE = "token secret password passwd pwd api key bearer auth credential ssn iban passport account tel phone mobile call fax mail card visa"
 HARMLESS = "page chapter section version volume vol figure table year line item number"
 
+#: Prefixes by which issuers mark their tokens, and the cues whose value is a candidate without a digit too.
+PREFIXES = "AKIA ASIA AIza eyJ ghp_ gho_ ghs_ glpat- sk_ sk- pk_ xoxb- xoxp-"
+CUES = "password passwd pwd passphrase secret token api_key apikey api-key"
+
 #: From which probability a candidate is a span.
 SURE = 0.9
 LEFT = 24
-BLOCK = 1024
+#: Characters in a block and blocks in a stretch of a text to be masked; matches in a run of sums.
+BLOCK, BLOCKS = 1024, 64
 RUN = 128
+#: Votes that a labeler starts with, for the right class and for the wrong one.
+RIGHT, WRONG = 20.0, 2.0
 
 
 def _prepared(text: Column, inside: str, separators: str) -> Column:
@@ -44,13 +56,17 @@ def _prepared(text: Column, inside: str, separators: str) -> Column:
 
 
 LOCAL, HOST = r"A-Za-z0-9._%+\x01-", "A-Za-z0-9-"
+_CUE = "(?i:" + "|".join(CUES.split()) + ")"
+#: A value without a digit: after `cue = ` or `cue: "`, or in one run with it.
+_APART = rf"(?<=[=:]\s)(?:(?<=(?i:[a-z])[\"']?\s?=\s)|(?=[\"']))(?<={_CUE}[\"']?\s?[=:]\s)(?=[!-~]{{8}})"
+_JOINED = rf"(?=[A-Za-z_\"'-]++=[!-~]{{8}})(?=[A-Za-z_\"'-]{{0,32}}?{_CUE}[\"']?=)"
 #: By kind: what the text must hold, its preparation, its pattern there. \G: a match may begin where the last ended.
 PATTERNS: dict[str, tuple] = {
     "email": (lambda t: F.contains(t, F.lit("@")), lambda t: _prepared(t, HOST, "."), rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@(?=[{HOST}]++\x01)[{HOST}\x01]++".replace(HOST + r"\x01", r"A-Za-z0-9\x01-")),
     "ip": (lambda t: F.rlike(t, F.lit(r"[0-9]\.[0-9]")), lambda t: t, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (lambda t: F.rlike(t, F.lit("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")), lambda t: _prepared(t, "0-9", " -"), r"[0-9][0-9\x01]++"),
     "phone": (lambda t: F.rlike(t, F.lit(r"\+[0-9]")), lambda t: t, r"\+[0-9][ ().0-9-]+[0-9]"),
-    ADDED: (lambda t: F.rlike(t, F.lit("[0-9]")), lambda t: t, r"(?<![!-~])(?=[!-/:-~]*+[0-9])[!-~]++"),
+    ADDED: (lambda t: F.rlike(t, F.lit(rf"[0-9]|{_CUE}[\"']?\s?[=:]")), lambda t: t, rf"(?<![!-~])(?:(?=[!-/:-~]*+[0-9])|{_APART}|{_JOINED})[!-~]++"),
 }
 
 
@@ -79,17 +95,36 @@ VALID = {
 }
 
 
+def _bound(x: Column, f) -> Column:
+    """f(x), where x is worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _apart(own: Column, others: Column, start: Column, width: int | None, end: Column) -> Column:
+    """Those of the spans own, which start from start to end, that overlap none of the others; by stretches, blocks and pairs."""
+    if width == 1:
+        return F.filter(own, lambda c: ~F.exists(others, lambda y: (y["s"] < c["e"]) & (y["e"] > c["s"])))
+    step = BLOCK * BLOCKS if width is None else BLOCK
+
+    def part(lo: Column) -> Column:
+        mine = F.filter(own, lambda c: (c["s"] >= lo) & (c["s"] < lo + step))
+        near = lambda some: _bound(F.array_max(F.transform(some, lambda c: c["e"])), lambda top: F.filter(others, lambda y: (y["e"] > lo) & (y["s"] < top)))
+        return _bound(mine, lambda some: _bound(near(some), lambda ys: _apart(some, ys, lo, step if width is None else 1, lo + step)))
+
+    return F.flatten(F.transform(F.sequence(start, F.greatest(start, end - 1), F.lit(step)), part))
+
+
 def _placed(gaps: Column, found: Column) -> Column:
-    """[(s, e, m, left)] of the matches found, given the texts between them: running sums by runs of RUN matches."""
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m"), F.right(g, F.lit(LEFT)).alias("left")))
+    """[(s, e, m, left)] of the matches found, given what is between them: running sums by runs of RUN matches."""
+    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g["n"].alias("g"), F.length(m).alias("n"), m.alias("m"), g["left"].alias("left")))
     item = "struct<s: int, e: int, m: string, left: string>"
 
     def add(acc: Column, x: Column) -> Column:
         s, e = acc["at"] + x["g"], acc["at"] + x["g"] + x["n"]
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["left"].alias("left")))).alias("out"))
 
-    run = lambda b: F.aggregate(F.slice(both, b, RUN), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out")), add)
-    runs = F.transform(F.sequence(F.lit(1), F.size(found), F.lit(RUN)), run)
+    run = lambda all_: lambda b: F.aggregate(F.slice(all_, b, RUN), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out")), add)
+    runs = _bound(both, lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(RUN)), run(all_)))
 
     def shift(acc: Column, r: Column) -> Column:
         moved = F.transform(r["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e"), x["m"].alias("m"), x["left"].alias("left")))
@@ -110,7 +145,9 @@ def with_spans(docs: DataFrame, text_col: str, cols: dict[str, str]) -> DataFram
     steps = docs.withColumns({temps[k, "text"]: F.when(gate(text), prepare(text)) for k, (gate, prepare, _) in PATTERNS.items()})
     steps = steps.withColumns({temps[k, "found"]: F.regexp_extract_all(temps[k, "text"], F.lit(p), F.lit(0)) for k, (_, _, p) in PATTERNS.items()})
     some = lambda k: F.size(temps[k, "found"]) > 0
-    steps = steps.withColumns({temps[k, "gaps"]: F.when(some(k), F.split(temps[k, "text"], p, -1)) for k, (_, _, p) in PATTERNS.items()})
+    # Of the texts between matches only lengths and ends stay.
+    gap = lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(LEFT)).alias("left"))
+    steps = steps.withColumns({temps[k, "gaps"]: F.when(some(k), F.transform(F.split(temps[k, "text"], p, -1), gap)) for k, (_, _, p) in PATTERNS.items()}).drop(*(temps[k, "text"] for k in PATTERNS))
     empty = F.array().cast("array<struct<s: int, e: int, m: string, left: string>>")
     valid = lambda k: lambda x: VALID[k](x["m"])
     spans = {cols[k]: F.coalesce(F.when(some(k), F.filter(_placed(F.col(temps[k, "gaps"]), F.col(temps[k, "found"])), valid(k))), empty) for k in PATTERNS}
@@ -130,7 +167,7 @@ def _core(x: Column) -> Column:
     core = F.regexp_extract(x["m"], r"[A-Za-z0-9+](?:.*[A-Za-z0-9])?", 0)
     # What stands before the value in the same run, as in key=value, belongs to its context.
     key = F.length(F.regexp_extract(core, r"^[A-Za-z_]+[=:][\"']?(?=[^=:]{6})", 0))
-    return F.struct((x["s"] + lead + key).alias("s"), (x["s"] + lead + F.length(core)).alias("e"), F.substring(core, key + 1, F.length(core)).alias("m"), F.lower(F.concat(x["left"], F.substring(x["m"], F.lit(1), lead + key))).alias("left"))
+    return F.struct((x["s"] + lead + key).alias("s"), (x["s"] + lead + F.length(core)).alias("e"), F.substring(core, key + 1, F.length(core)).alias("m"), F.lower(F.right(F.concat(x["left"], F.substring(x["m"], F.lit(1), lead + key)), F.lit(2 * LEFT))).alias("left"))
 
 
 def _bucket(x: Column, cuts: tuple) -> Column:
@@ -147,11 +184,12 @@ def _votes(c: Column) -> Column:
     n, digits = F.length(c["m"]), F.length(F.regexp_replace(c["m"], "[^0-9]", ""))
     mixed = c["m"].rlike("[A-Za-z]") & c["m"].rlike("[0-9]")
     return F.concat(
-        vote(c["m"].rlike("^[0-9a-f]{24,}$|^[0-9A-F]{24,}$|^[A-Za-z]{2,4}[_-]?[A-Za-z0-9_-]{16,}$"), c["m"].rlike("^[0-9]{1,5}$")),
+        vote(c["m"].rlike("^[0-9a-f]{24,}$|^[0-9A-F]{24,}$|^[A-Za-z]{2,4}[_-]?[A-Za-z0-9_-]{16,}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), c["m"].rlike("^[0-9]{1,5}$")),
+        vote(c["m"].rlike("^(?:" + "|".join(PREFIXES.split()) + ")"), F.lit(False)),
         vote(c["left"].rlike(_any(PRIVATE)), c["left"].rlike(_any(HARMLESS))),
         vote(c["left"].rlike(r"[=:][\s\"'(]*$"), c["left"].rlike(r"[a-zà-ÿ]\s*$") & (n < 8)),
         vote((n >= 16) & mixed & (digits >= 4), (n <= 6)),
-        vote(c["m"].rlike("(?:[0-9]+[A-Za-z]+){3}"), ~mixed),
+        vote(F.regexp_count(c["m"], F.lit("(?<=[0-9])[A-Za-z]")) >= 3, ~c["m"].rlike("[A-Za-z]")),
     )
 
 
@@ -172,9 +210,10 @@ def judged_candidates(docs: DataFrame, text_col: str, cols: dict[str, str]) -> D
     spans = with_spans(docs, text_col, cols)
     slim = {cols[k]: F.transform(cols[k], lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"))) for k in KINDS}
     cores = spans.withColumns(slim | {cols[ADDED]: F.transform(cols[ADDED], _core)})
-    base = [F.col(cols[k]) for k in KINDS]
-    apart = lambda c: reduce(lambda a, b: a & b, (~F.exists(k, lambda y: (y["s"] < c["e"]) & (y["e"] > c["s"])) for k in base))
-    judged = F.transform(F.filter(cols[ADDED], lambda c: (c["e"] > c["s"]) & apart(c)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _votes(c).alias("votes"), _features(c).alias("x")))
+    base = F.concat(*(F.col(cols[k]) for k in KINDS))
+    fine = F.filter(cols[ADDED], lambda c: c["e"] > c["s"])
+    apart = F.when((F.size(base) == 0) | (F.size(cols[ADDED]) == 0), fine).otherwise(_bound(base, lambda ys: _bound(fine, lambda cs: _apart(cs, ys, F.lit(0), None, F.length(text_col)))))
+    judged = F.transform(apart, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), _votes(c).alias("votes"), _features(c).alias("x")))
     return cores.withColumn(cols[ADDED], judged)
 
 
@@ -184,46 +223,55 @@ def judged_candidates(docs: DataFrame, text_col: str, cols: dict[str, str]) -> D
 def reliabilities(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """The probability of each vote pattern's candidates to be private, by expectation-maximisation from the majority.
 
-    A tenth of all candidates is added as votes for the right class, a hundredth for the wrong one: a labeler is taken to
-    be better than chance, so that no single pattern, however frequent, can swap the classes.
+    A labeler starts with RIGHT votes for the right class and WRONG ones for the other, however many candidates there
+    are, and no estimate may fall below chance: a vote never counts for the class it speaks against.
     """
     belief = {v: (v.count("P") + 0.5) / (v.count("P") + v.count("N") + 1) for v in counts}
-    width = max(map(len, counts), default=0)
-    total = sum(counts.values())
     for _ in range(rounds):
-        prior = (sum(counts[v] * b for v, b in belief.items()) + 1) / (total + 2)
-        says = []
-        for k in range(width):
-            table = {(s, y): (0.1 if (s, y) in (("P", 1), ("N", 0)) else 0.01) * total for s in "PN-" for y in (0, 1)}
-            for v, n in counts.items():
-                table[v[k], 1] += n * belief[v]
-                table[v[k], 0] += n * (1 - belief[v])
-            sums = [sum(table[s, y] for s in "PN-") for y in (0, 1)]
-            says.append({key: x / sums[key[1]] for key, x in table.items()})
+        prior, says = estimates(counts, belief)
         # Abstaining says something about coverage, not about the candidate.
-        odds = {v: math.log(min(prior, 0.5) / (1 - min(prior, 0.5))) + sum(math.log(says[k][s, 1] / says[k][s, 0]) for k, s in enumerate(v) if s != "-") for v in counts}
+        odds = {v: math.log(min(prior, 0.5) / (1 - min(prior, 0.5))) + sum(says[k][s] for k, s in enumerate(v) if s != "-") for v in counts}
         belief = {v: 1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for v, o in odds.items()}
     return belief
 
 
-def classifier(rows: list[tuple[tuple[int, ...], float, int]], rounds: int = 1500, rate: float = 4.0, shrink: float = 1e-4) -> dict:
-    """Logistic weights {(feature, bucket): w, None: bias} from (buckets, soft label, count); both classes weigh alike."""
-    w = {(f, b): 0.0 for f, n in FEATURES.items() for b in range(n)} | {None: 0.0}
-    yes, all_ = sum(y * n for _, y, n in rows) + 1e-9, sum(n for *_, n in rows)
-    no = all_ - yes + 2e-9
+def estimates(counts: dict[str, int], belief: dict[str, float]) -> tuple[float, list[dict[str, float]]]:
+    """The share of private candidates and, for each labeler, the log odds that its P and its N speak for private."""
+    total = sum(counts.values())
+    prior = (sum(counts[v] * b for v, b in belief.items()) + 1) / (total + 2)
+    out = []
+    for k in range(max(map(len, counts), default=0)):
+        table = {(s, y): RIGHT if (s, y) in (("P", 1), ("N", 0)) else WRONG for s in "PN" for y in (0, 1)}
+        for v, n in counts.items():
+            if v[k] != "-":
+                table[v[k], 1] += n * belief[v]
+                table[v[k], 0] += n * (1 - belief[v])
+        share = {(s, y): table[s, y] / (table["P", y] + table["N", y]) for s in "PN" for y in (0, 1)}
+        log = {s: math.log(share[s, 1] / share[s, 0]) for s in "PN"}
+        out.append({"P": max(log["P"], 0.0), "N": min(log["N"], 0.0)})
+    return prior, out
+
+
+def classifier(rows: list[tuple[tuple[int, ...], float, int]], rounds: int = 4000, rate: float = 1.0, shrink: float = 1e-4) -> dict:
+    """Logistic weights {(feature, bucket): w, None: bias} from (buckets, soft label, count).
+
+    Both classes weigh alike, as far as each has a member. The rate is within what seven weights a row allow.
+    """
+    names = [None, *((f, b) for f, n in FEATURES.items() for b in range(n))]
+    x = np.zeros((len(rows), len(names)))
+    for i, (buckets, _, _) in enumerate(rows):
+        x[i, [0, *(names.index(key) for key in zip(FEATURES, buckets, strict=True))]] = 1.0
+    y, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    yes, no = n * y / max(1.0, (n * y).sum()) / 2, n * (1 - y) / max(1.0, (n * (1 - y)).sum()) / 2
+    w = np.zeros(len(names))
     for _ in range(rounds):
-        step = dict.fromkeys(w, 0.0)
-        for x, y, n in rows:
-            keys = [None, *zip(FEATURES, x, strict=True)]
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[k] for k in keys)))))
-            for k in keys:
-                step[k] += n * (y * (1 - p) / yes - (1 - y) * p / no) / 2
-        w = {k: v + rate * (step[k] - shrink * v) for k, v in w.items()}
-    return w
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += rate * (x.T @ (yes * (1 - p) - no * p) - shrink * w)
+    return dict(zip(names, w.tolist(), strict=True))
 
 
 def fitted(judged: DataFrame, candidates: str) -> dict | None:
-    """The classifier, from all candidates of judged_candidates()."""
+    """The classifier, from all candidates of judged_candidates(); none where no candidate is taken to be private."""
     each = judged.select(F.explode(candidates).alias("c")).groupBy("c.votes", "c.x").count().collect()
     if not each:
         return None
@@ -231,6 +279,8 @@ def fitted(judged: DataFrame, candidates: str) -> dict | None:
     for r in each:
         counts[r.votes] = counts.get(r.votes, 0) + r["count"]
     belief = reliabilities(counts)
+    if max(belief.values()) <= 0.5:
+        return None
     soft: dict[tuple, list[float]] = {}
     for r in each:
         got = soft.setdefault(tuple(r.x), [0.0, 0])
@@ -270,25 +320,30 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with [KIND] in place of each span. The text is rebuilt by blocks of BLOCK characters; a null text stays null."""
-    p, blocks, cols = fresh(docs.columns, "_spans"), fresh(docs.columns, "_blocks"), span_columns(docs)
-    # Saved with the base spans: pruned, or filtered here, they would be worked out anew for each candidate.
-    candidates = save(judged_candidates(docs.select(text_col), text_col, cols).drop(text_col), "pii-candidates")
-    marked = decided(judged_candidates(docs, text_col, cols), cols, p, fitted(candidates, cols[ADDED]))
-    ordered = marked.withColumn(p, F.array_sort(F.transform(p, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.concat(F.lit("["), F.upper(y["kind"]), F.lit("]")).alias("tag")))))
-    ordered = ordered.withColumn(blocks, F.when(F.size(p) > 0, F.regexp_extract_all(text_col, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))))
+    """docs with [KIND] in place of each span; a null text stays null.
 
-    def rebuilt(b: Column, j: Column) -> Column:
-        base = j * BLOCK
-        inside = F.filter(p, lambda y: (y["e"] > base) & (y["s"] < base + BLOCK))
+    The text is rebuilt by stretches and, in them, by blocks of BLOCK characters, which look at the stretch's spans only.
+    """
+    p, cols = fresh(docs.columns, "_spans"), span_columns(docs)
+    table = save(judged_candidates(docs, text_col, cols), "pii-candidates")
+    marked = decided(table, cols, p, fitted(table, cols[ADDED]))
+    ordered = marked.withColumn(p, F.array_sort(F.transform(p, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), F.concat(F.lit("["), F.upper(y["kind"]), F.lit("]")).alias("tag")))))
+    cut = lambda t, n: F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % n), F.lit(0))
+    within = lambda spans, base, n: F.filter(spans, lambda y: (y["e"] > base) & (y["s"] < base + n))
 
+    def block(b: Column, base: Column, spans: Column) -> Column:
         def put(acc: Column, y: Column) -> Column:
             keep = F.greatest(y["s"] - base - acc["at"], F.lit(0))
             return F.struct(F.greatest(acc["at"], y["e"] - base).alias("at"), F.concat(acc["out"], F.substring(b, acc["at"] + 1, keep), F.when(y["s"] >= base, y["tag"]).otherwise("")).alias("out"))
 
-        return F.aggregate(inside, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda acc: F.concat(acc["out"], F.substring(b, acc["at"] + 1, F.lit(BLOCK))))
+        return F.aggregate(within(spans, base, BLOCK), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda acc: F.concat(acc["out"], F.substring(b, acc["at"] + 1, F.lit(BLOCK))))
+
+    def stretch(t: Column, k: Column) -> Column:
+        base = k * (BLOCK * BLOCKS)
+        built = lambda spans: F.when(F.size(spans) > 0, F.array_join(F.transform(cut(t, BLOCK), lambda b, j: block(b, base + j * BLOCK, spans)), "")).otherwise(t)
+        return _bound(within(F.col(p), base, BLOCK * BLOCKS), built)
 
-    text = F.when(F.col(blocks).isNotNull(), F.array_join(F.transform(blocks, rebuilt), "")).otherwise(F.col(text_col))
+    text = F.when(F.size(p) > 0, F.array_join(F.transform(cut(F.col(text_col), BLOCK * BLOCKS), stretch), "")).otherwise(F.col(text_col))
     return ordered.withColumn(text_col, text).select(*docs.columns)
 
 
