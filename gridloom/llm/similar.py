@@ -1,6 +1,8 @@
 """Near-duplicates by the similarity of shingle sets: all pairs whose Jaccard similarity is at least SIMILARITY, exactly.
 
-Two sets as similar as a fraction t share one of their first n - ceil(t n) + 1 shingles, n being a set's own size, in
+Candidates come from SimHash balls first (simhash.links, over fingerprints of the sets), and are checked exactly. No
+radius that balls of 64 bits can afford reaches all pairs of that similarity, whose fingerprints differ in ten bits on
+average; what they leave apart is found by prefixes. Two sets as similar as a fraction t share one of their first n - ceil(t n) + 1 shingles, n being a set's own size, in
 any order that all sets keep. Here that order is by hash, with shingles of many sets last, so that few sets meet in one.
 What meets is linked to one set of those that met, by an exact check; only pairs that this leaves in different
 components are then looked at in full, so that a large group of near copies gives no pairs by the square of its size.
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import simhash
 from .components import components
 from .store import drop, free, fresh, save
 from .words import encoded, slices
@@ -49,6 +52,14 @@ def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of hashes: the bits that over half of them have; signed."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(own), 1 << 14):
+        total += np.unpackbits(own[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(own), bitorder="little").view("<i8")[0])
+
+
 def _key(own: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -56,7 +67,7 @@ def _key(own: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, common: np.ndarray | None, part: str, length: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, digest, key, n, own) of docs with doc_id, digest and text. part: what own holds of a set, its first shingles or all."""
+    """(doc_id, digest, key, fp, n, own) of docs with doc_id, digest and text. part: what own holds of a set, its first shingles or all."""
     t, u = similarity
     by = None if common is None else np.argsort(common)
 
@@ -72,11 +83,23 @@ def _sets(docs: DataFrame, common: np.ndarray | None, part: str, length: int, si
             sets = [shingles(x, length) for x in batch.column("text").to_pylist()]
             kept = sets if part == "all" else [first(s) for s in sets]
             own = pa.ListArray.from_arrays(np.cumsum([0, *map(len, kept)], dtype=np.int32), np.concatenate(kept))
-            cols = [batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), own]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "key", "n", "own"])
+            fp = pa.array([None if part == "all" else fingerprint(s) for s in sets], pa.int64())
+            cols = [batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.int64()), fp, pa.array([len(s) for s in sets], pa.int64()), own]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "key", "fp", "n", "own"])
 
     rows = docs.select("doc_id", "digest", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest bigint, key bigint, n bigint, own array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest bigint, key bigint, fp bigint, n bigint, own array<bigint>")
+
+
+def balls(table: DataFrame) -> DataFrame:
+    """(a, b): candidates from a saved table of (key, fp): a set of each fingerprint with its others and with those in its balls."""
+    least = save(table.groupBy("fp").agg(F.min("key").alias("least")), "similar-fps")
+    same = table.select("key", "fp").join(least, "fp").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    near = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
+    out = save(same.unionByName(near.select(F.col("la").alias("a"), F.col("lb").alias("b"))).distinct(), "similar-balls")
+    drop(least)
+    free(table.sparkSession)
+    return out
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -101,6 +124,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     common = [r.x for r in firsts.where(F.col("count") > COMMON).orderBy(F.desc("count"), "x").limit(LISTED).collect()][::-1]
     table = save(_sets(docs, np.array(common, np.int64), "first", length, similarity), "similar-firsts")
     free(docs.sparkSession)
+    near = balls(table)
     places = table.dropDuplicates(["key"]).select("key", "n", F.posexplode("own").alias("i", "x"))
     least = places.groupBy("x").agg(F.min(F.struct("key", "n", "i")).alias("least"), F.count("*").alias("met")).where("met > 1").drop("met")
     met = save(places.join(least, "x"), "similar-met")
@@ -120,7 +144,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return out
 
     sides = met.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("least.key").alias("b"), F.col("least.n").alias("nb"), F.col("least.i").alias("ib"))
-    stars = compared(sides.where((F.col("a") != F.col("b")) & _may(similarity)).select("a", "b"))
+    stars = compared(sides.where((F.col("a") != F.col("b")) & _may(similarity)).select("a", "b").unionByName(near))
     rooted = met.select("x", "key", "n", "i").join(components(stars), F.col("key") == F.col("node"), "left").select("x", "key", "n", "i", F.coalesce("root", "key").alias("root"))
     rooted = save(rooted, "similar-rooted")
     drop(met)
@@ -129,7 +153,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     others = compared(rest)
     edges = stars.unionByName(others)
     out = save(table.select("doc_id", "digest", "key").join(components(edges), F.col("key") == F.col("node"), "left").select("doc_id", "digest", "key", F.coalesce("root", "key").alias("root")), "similar-roots")
-    for done in (table, stars, rooted, others):
+    for done in (table, near, stars, rooted, others):
         drop(done)
     return out
 
