@@ -1,27 +1,32 @@
 """URL filters: listed rules first, then a classifier over words segmented out of host names.
 
-Unigram probabilities of words come from the pages' own visible text and from the words between hyphens in host
-names. A Viterbi pass splits every run of letters of a host into the likeliest words; path words are taken as they
-stand. Pages whose host holds a seed word count as unwanted, all others as wanted, and a multinomial naive Bayes over
-the tokens of both learns which other words go with them: its sign is the verdict where no rule fits.
+Unigram counts of words come from the pages' own visible text, names with dots left out, and from the words between
+hyphens in host names. A Viterbi pass splits every run of letters of a host into the likeliest words, if they cover it
+and are together likelier than one unknown word of its length; path words are taken as they stand. A multinomial naive
+Bayes over the tokens of both gives the verdict where no rule fits, by its sign.
 
-The vocabulary holds the VOCABULARY most frequent words, so that model and counts are of bounded size; all else is one
-token. All counts are over all pages.
+It is taught in two rounds. In the first, pages whose host holds a seed word count as unwanted, but a seed that alone
+makes a page so is left out of that page's tokens: what is learned are the words that go with seeds. Its verdicts teach
+the second round, in which seeds are words like any other: one that goes with wanted words has no say.
+
+Words, splits and weights are tables that are joined, of any size; a run of letters looks up its own parts. Joined keys
+that many rows share, such as `com`, are dealt to several tasks. The driver gets six numbers.
 
 Defined cases: a null url or one without :// has an empty host and path, no rule and no token, and is allowed; a null
-html has no words; repeated rows count each; a null id is carried through; an empty table gives no rows.
+html has no words; repeated rows count each; a null id is carried through; of rules of one length that fit, the later
+listed decides; a run of more than LABEL letters, which no name can have, is one unknown word; where no page is
+unwanted, all are allowed; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .skew import dealt
 from .store import save
 
 #: Fixed values of the contract: (verdict, host, path), each for its host and all subdomains.
@@ -30,8 +35,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Seed words of unwanted hosts.
 SEEDS = frozenset("adult ads bet bets betting casino cheat clickbait crack escort gambling jackpot keygen loans malware nude phishing pills poker porn sex slots spam torrent viagra warez xxx".split())
 
-#: Words in the model; the longest word; how much a word apart in a host name counts against one in a text.
-VOCABULARY, LONGEST, APART = 50_000, 24, 20
+#: Letters in a part of a name by the rules of DNS; how much a word apart in a host name counts against one in a text.
+LABEL, APART = 63, 20
 NUMBER, OTHER = "0", "?"
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -54,94 +59,104 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def vocabulary(pages: DataFrame, located: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words in the pages' text and, between hyphens, in host names.
+def vocabulary(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(word, n): counts of all words in the pages' text and, between hyphens, in distinct host names; each seed at least once.
 
-    A name without a hyphen is what is to be split and teaches no word.
+    A name without a hyphen is what is to be split and teaches no word, nor does a name in a text.
     """
     plain = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ")
-    in_text = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit("[a-z]+"), F.lit(0))).alias("word"), F.lit(1).alias("n"))
-    in_host = located.select(F.explode(F.regexp_extract_all("host", F.lit("(?<=-)[a-z]+|[a-z]+(?=-)"), F.lit(0))).alias("word"), F.lit(APART).alias("n"))
-    counts = in_text.unionByName(in_host).where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    found = {r.word: r.n for r in top}
-    return found | {w: max(APART, found.get(w, 0)) for w in SEEDS}
-
-
-class Segmenter:
-    """The likeliest split of a run of letters, by the unigram counts; letters that no word covers are one unknown word."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.unknown = math.log(total) + 6.0
-        self.longest = max(map(len, counts), default=1)
-        self.split = lru_cache(1 << 16)(self._split)
-
-    def _split(self, run: str) -> tuple[str, ...]:
-        best = [(0.0, 0)]
-        for end in range(1, len(run) + 1):
-            cands = ((best[a][0] + self.cost.get(run[a:end], self.unknown if a == end - 1 else math.inf), a) for a in range(max(0, end - self.longest), end))
-            best.append(min(cands))
-        out, end = [], len(run)
-        while end:
-            a = best[end][1]
-            if run[a:end] in self.cost:
-                out.append(run[a:end])
-            elif out[-1:] != [OTHER]:
-                out.append(OTHER)
-            end = a
-        return tuple(out[::-1])
-
-
-def tokens(host: str, path: str, seg: Segmenter) -> list[str]:
-    out = [w for run in re.findall("[a-z]+|[0-9]+", host) for w in (seg.split(run) if run.isalpha() else (NUMBER,))]
-    return out + ["/" + (NUMBER if w.isdigit() else w if w in seg.cost else OTHER) for w in re.findall("[a-z]+|[0-9]+", path.lower())]
-
-
-def tokenized(located: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """located with tokens, an array."""
+    prose = F.lit(r"(?<![a-z])(?<![a-z0-9]\.)[a-z]++(?!\.[a-z0-9])")
+    in_text = pages.select(F.explode(F.regexp_extract_all(F.lower(plain), prose, F.lit(0))).alias("word"), F.lit(1).alias("n"))
+    in_host = hosts.select(F.explode(F.regexp_extract_all("host", F.lit("(?<=-)[a-z]++|[a-z]++(?=-)"), F.lit(0))).alias("word"), F.lit(APART).alias("n"))
+    seeds = hosts.sparkSession.createDataFrame([(w, 1) for w in sorted(SEEDS)], "word string, n int")
+    return in_text.unionByName(in_host).unionByName(seeds).where(F.length("word") <= LABEL).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split(run: str, known: dict[tuple[int, int], int], total: int) -> tuple[str, ...]:
+    """The likeliest words of a run of letters. known: counts of its parts (from, to) that are words."""
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    into: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), n in known.items():
+        into.setdefault(b, []).append((a, n))
+    for end in range(1, len(run) + 1):
+        best.append(min(((best[a][0] + math.log(total / n), a) for a, n in into.get(end, ())), default=(math.inf, 0)))
+    # An unknown word: a tenth as likely with each letter.
+    if best[-1][0] >= math.log(total) + (len(run) - 1) * math.log(10):
+        return (OTHER,)
+    out, end = [], len(run)
+    while end:
+        out.append(run[best[end][1] : end])
+        end = best[end][1]
+    return tuple(out[::-1])
+
+
+def segmented(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(run, words): the split of every distinct run of letters that has one."""
+    runs = hosts.select(F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("run")).distinct().where(F.length("run") <= LABEL)
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("a"))
+    places = starts.select("run", "a", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("a") + 1)).alias("size"))
+    hits = dealt(places.withColumn("word", F.substring("run", F.col("a"), F.col("size"))), words, ["word"], "run", "inner")
+    known = hits.groupBy("run").agg(F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") - 1 + F.col("size")).alias("b"), "n")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(counts)
         for batch in batches:
-            rows = [tokens(h, p, seg) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], names=[*batch.schema.names, "tokens"])
+            names = batch.column("run").to_pylist()
+            out = [split(r, {(k["a"], k["b"]): k["n"] for k in known}, total) for r, known in zip(names, batch.column("known").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.schema)
-    return located.mapInArrow(run, schema + ", tokens array<string>")
+    return known.mapInArrow(run, "run string, words array<string>")
 
 
-def bayes(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """Log odds of each token to stand in an unwanted url against a wanted one, and of the classes; from rows with tokens."""
-    bad = F.arrays_overlap("tokens", F.array(*map(F.lit, sorted(SEEDS))))
-    marked = rows.select(F.coalesce(bad, F.lit(False)).alias("bad"), "tokens")
-    classes = {r.bad: r["count"] for r in marked.groupBy("bad").count().collect()}
-    each = marked.select("bad", F.explode("tokens").alias("t")).groupBy("t").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")).collect()
-    if not each or not classes.get(True):
-        return {}, -1.0
-    b, g = (sum(r[k] for r in each) + len(each) for k in ("b", "g"))
-    return {r.t: math.log((r.b + 1) / b) - math.log((r.g + 1) / g) for r in each}, math.log(classes[True]) - math.log(classes.get(False, 0) + 1)
+def tokenized(located: DataFrame, splits: DataFrame) -> DataFrame:
+    """located with tokens, an array: the host's words and numbers in order, and the path's, each after a slash."""
+    each = located.select("host").distinct().select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+|[0-9]+"), F.lit(0))).alias("at", "run"))
+    part = F.coalesce("words", F.array(F.when(F.col("run").rlike("^[0-9]"), NUMBER).otherwise(OTHER)))
+    named = dealt(each, splits, ["run"], "host").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", part.alias("words")))).alias("parts"))
+    named = named.select("host", F.flatten("parts.words").alias("words"))
+    in_path = F.transform(F.regexp_extract_all(F.lower("path"), F.lit("[a-z]+|[0-9]+"), F.lit(0)), lambda w: F.concat(F.lit("/"), F.when(w.rlike("^[0-9]"), NUMBER).otherwise(w)))
+    return dealt(located, named, ["host"], "row").withColumn("tokens", F.concat(F.coalesce("words", F.array().cast("array<string>")), in_path)).drop("words")
 
 
-def scored(rows: DataFrame, weights: dict[str, float], prior: float) -> DataFrame:
-    """rows with score, the log odds to be unwanted, in place of tokens."""
-    out = [f for f in rows.schema if f.name != "tokens"]
+def bayes(rows: DataFrame) -> tuple[DataFrame, float] | None:
+    """(token, w), log odds of each token to stand in an unwanted url against a wanted one, and those of the classes; from rows (bad, tokens)."""
+    classes = rows.agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")).first()
+    if not classes.b:
+        return None
+    each = save(rows.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")), "url-counts")
+    sums = each.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.count("*").alias("n")).first()
+    odds = F.log((F.col("b") + 1) / F.lit(float(sums.b + sums.n))) - F.log((F.col("g") + 1) / F.lit(float(sums.g + sums.n)))
+    return each.select("token", odds.alias("w")), math.log(classes.b) - math.log(classes.g + 1)
+
+
+def scored(rows: DataFrame, model: tuple[DataFrame, float] | None) -> DataFrame:
+    """rows with score, the log odds to be unwanted; -1 without a model. An unknown token says nothing."""
+    if model is None:
+        return rows.withColumn("score", F.lit(-1.0))
+    weights, prior = model
+    sums = dealt(rows.select("row", F.explode("tokens").alias("token")), weights, ["token"], "row").groupBy("row").agg(F.sum("w").alias("w"))
+    # Rounded, as the order of a sum may differ.
+    return rows.join(sums, "row", "left").withColumn("score", F.round(F.coalesce("w", F.lit(0.0)) + F.lit(prior), 9)).drop("w")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = [prior + sum(weights.get(t, 0.0) for t in ts) for ts in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(score, pa.float64())], names=[*(f.name for f in out), "score"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out) + ", score double")
+def lessons(rows: DataFrame) -> DataFrame:
+    """(bad, tokens) of the first round, from rows with tokens."""
+    seeds = F.array(*map(F.lit, sorted(SEEDS)))
+    held = F.array_intersect("tokens", seeds)
+    return rows.select((F.size(held) > 0).alias("bad"), F.when(F.size(held) == 1, F.filter("tokens", lambda t: ~t.isin(sorted(SEEDS)))).otherwise(F.col("tokens")).alias("tokens"))
 
 
 def judged(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row."""
     host, path = parts(F.col("url"))
-    located = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = save(tokenized(located, vocabulary(pages, located)), "url-tokens")
-    all_ = scored(rows, *bayes(rows)).withColumn("r", ruled(F.col("host"), F.col("path")))
+    located = save(pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id()), "url-parts")
+    hosts = located.select("host").distinct()
+    words = save(vocabulary(pages, hosts), "url-words")
+    total = words.agg(F.sum("n")).first()[0]
+    splits = save(segmented(hosts, words, total), "url-splits")
+    rows = save(tokenized(located, splits), "url-tokens")
+    first = scored(rows, bayes(lessons(rows)))
+    second = scored(rows, bayes(save(first.select((F.col("score") > 0).alias("bad"), "tokens"), "url-first")))
+    all_ = second.withColumn("r", ruled(F.col("host"), F.col("path")))
     return all_.select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
 
 

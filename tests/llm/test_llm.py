@@ -207,6 +207,16 @@ def test_suffixes(spark, monkeypatch, size):
     assert got == repeats(rows)
 
 
+def test_suffixes_of_other_ids(spark):
+    rows = [(f"{k:03}", t) for k, t in texts(11, 40)]
+    df = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id string, text string")
+    want = repeats([(-1, rows[3][1])] + [(int(k), t) for k, t in rows])
+    assert sorted((int(r.doc_id) if r.doc_id else -1, *r[1:]) for r in suffixes.deduplicated(df).collect()) == sorted(want)
+    whole = "".join(map(str, range(100)))
+    alike = suffixes.deduplicated(docs(spark, [(None, t) for _, t in texts(12, 30)] + [(None, whole), (5, whole)]))
+    assert alike.count() == 32 and [r.n_removed for r in alike.where("doc_id = 5").collect()] == [len(whole)]
+
+
 def test_suffixes_repeated_rows(spark):
     t = texts(3, 1)[0][1] + "z" * 50 + "".join(map(str, range(100)))
     got = suffixes.deduplicated(docs(spark, [(1, t), (1, t), (2, t)])).orderBy("doc_id").collect()
@@ -378,6 +388,26 @@ def test_quality_without_labels(spark):
     assert quality.scored(docs(spark, []), none).count() == 0
 
 
+def test_chunks_are_drawn_from_whole_texts():
+    data = bytes(np.random.default_rng(3).integers(0, 256, 1_000_000, dtype=np.uint8))
+    chunks, rest = quality.drawn(data)
+    assert len(chunks) == quality.DRAWN and all(bytes(c) == data[len(data) - n :][: quality.SPAN] for c, n in zip(chunks, rest.tolist(), strict=True))
+    assert np.histogram(rest, 8, (0, len(data)))[0].min() > 0
+    short, rest = quality.drawn(b"abc")
+    assert bytes(short[0]) == b"abc".ljust(quality.SPAN) and rest.tolist() == [3] and len(quality.drawn(b"")[0]) == 1
+    assert sum(len(quality.drawn(data[:n])[0]) for n in (96, 97, 192, 193)) == 1 + 1 + 1 + 2
+
+
+def test_quality_learns_from_the_end_of_long_texts(spark):
+    r = np.random.default_rng(2)
+    plain = lambda: " ".join(r.choice(["the", "house", "of", "green", "water", "stands", "here"], 6000))
+    junk = lambda: plain() + " " + "$#%& " * 3000
+    rows = [(k, junk() if k % 2 else plain()) for k in range(80)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(80)], "doc_id long, quality int")
+    out = quality.scored(docs(spark, rows), labels).collect()
+    assert all((x.score > 0.5) == (x.doc_id % 2 == 0) for x in out if x.held_out)
+
+
 def test_chunks_cover_whole_texts():
     net = quality.Network()
     tables = net.tables()
@@ -411,7 +441,7 @@ def test_counts_against_brute_force():
 def test_an_id_that_repeats_teaches_once(spark):
     df = docs(spark, [(1, f"text {k}") for k in range(40)] + [(4, "other")])
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
-    assert [(r.doc_id, r.text) for r in quality.sampled(df.select("doc_id", "text"), labels)] == [(1, "text 0"), (4, "other")]
+    assert sorted((r.doc_id, r.text) for r in quality.sampled(df.select("doc_id", "text"), labels).collect()) == [(1, "text 0"), (4, "other")]
     assert rules.judged(df, labels).count() == 41
 
 
@@ -492,9 +522,105 @@ def test_urls(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
+def split(run, counts):
+    known = {(a, b): counts[run[a:b]] for a in range(len(run)) for b in range(a + 1, len(run) + 1) if run[a:b] in counts}
+    return urls.split(run, known, sum(counts.values()))
+
+
 def test_segmentation():
-    seg = urls.Segmenter({"cheap": 50, "pills": 40, "he": 5, "a": 9})
-    assert seg.split("cheappills") == ("cheap", "pills") and seg.split("cheapzpills") == ("cheap", "?", "pills") and seg.split("") == ()
+    counts = {"cheap": 50, "pills": 40, "he": 5, "a": 9, "class": 30, "lots": 30, "slots": 1}
+    assert split("cheappills", counts) == ("cheap", "pills") and split("classlots", counts) == ("class", "lots")
+    assert split("cheapzpills", counts) == split("clamslots", counts) == ("?",)
+
+
+def brute_urls(pages):
+    """(host, path, tokens, score) of each (url, html), by plain loops."""
+    urls_ = []
+    for url, _ in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest, re.S).group()
+        urls_.append((host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), re.match(r"[^?#]*", rest[len(host) :], re.S).group()))
+    counts = Counter(urls.SEEDS)
+    for _, html in pages:
+        text = re.sub("<[^>]*>", " ", html or "").lower()
+        for m in re.finditer("[a-z]+", text):
+            a, b = m.span()
+            named = re.match(r"\.[a-z0-9]", text[b : b + 2]) or re.fullmatch(r"[a-z0-9]\.", text[max(0, a - 2) : a])
+            counts[m.group()] += not named and b - a <= 63
+    for host in {h for h, _ in urls_}:
+        for w in re.findall("(?<=-)[a-z]+|[a-z]+(?=-)", host):
+            counts[w] += 20
+    counts = +counts
+    total = sum(counts.values())
+
+    def words(run):
+        best = {0: (0.0, ())}
+        for b in range(1, len(run) + 1):
+            found = [(best[a][0] + math.log(total / counts[run[a:b]]), a) for a in best if run[a:b] in counts]
+            if found:
+                cost, a = min(found)
+                best[b] = (cost, (*best[a][1], run[a:b]))
+        cost, out = best.get(len(run), (math.inf, ()))
+        return out if len(run) <= 63 and cost < math.log(total) + (len(run) - 1) * math.log(10) else ("?",)
+
+    tokens = []
+    for host, path in urls_:
+        own = [w for run in re.findall("[a-z]+|[0-9]+", host) for w in (words(run) if run.isalpha() else ("0",))]
+        tokens.append(own + ["/" + ("0" if w.isdigit() else w) for w in re.findall("[a-z]+|[0-9]+", path.lower())])
+
+    def scores(taught):
+        n = {y: sum(1 for bad, _ in taught if bad == y) for y in (True, False)}
+        if not n[True]:
+            return [-1.0] * len(tokens)
+        seen = {y: Counter(t for bad, ts in taught if bad == y for t in ts) for y in n}
+        size = {y: sum(seen[y].values()) + len({*seen[True], *seen[False]}) for y in n}
+        w = {t: math.log((seen[True][t] + 1) / size[True]) - math.log((seen[False][t] + 1) / size[False]) for t in {*seen[True], *seen[False]}}
+        return [math.log(n[True]) - math.log(n[False] + 1) + sum(w.get(t, 0.0) for t in ts) for ts in tokens]
+
+    held = [urls.SEEDS & {*ts} for ts in tokens]
+    first = scores([(bool(h), [t for t in ts if len(h) != 1 or t not in urls.SEEDS]) for h, ts in zip(held, tokens, strict=True)])
+    second = scores([(x > 0, ts) for x, ts in zip(first, tokens, strict=True)])
+    return [(h, p, s) for (h, p), s in zip(urls_, second, strict=True)]
+
+
+def test_urls_against_brute_force(spark):
+    pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet")
+    got = {r.page_id: r for r in urls.judged(pages).collect()}
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    for (i, *_), (host, path, score) in zip(rows, brute_urls([r[1:] for r in rows]), strict=True):
+        assert (got[i].host, got[i].path) == (host, path) and got[i].score == pytest.approx(score, abs=1e-6)
+        assert got[i].rule or got[i].verdict == ("block" if score > 0 else "allow")
+
+
+def test_url_rules_in_sql(spark):
+    con = connect(SMALL.replace("0.001", "0.01"))
+    rules_ = " UNION ALL ".join(f"SELECT {k} AS k, '{v}' AS verdict, '{h}' AS h, '{p}' AS p" for k, (v, h, p) in enumerate(urls.RULES))
+    want = con.execute(f"""
+      WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+      l AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+      fit AS (SELECT l.*, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.h || r.p) DESC NULLS LAST, k DESC) AS n
+        FROM l LEFT JOIN ({rules_}) r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+      SELECT page_id, host, path, rule, verdict FROM fit WHERE n = 1""").fetchall()
+    got = urls.judged(spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet"))
+    rows = [(r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr) and any(r[3] for r in rows)
+
+
+def test_urls_learn_what_goes_with_seeds(spark):
+    text = "<p>royal win prize lucky garden house class lots blue lake the slots casino bets of a</p>"
+    known = ["royal-casino.org", "royalprize-casino.org", "lucky-bets.org", "luckyprize-slots.org", "win-casino.org", "bluelake.org", "garden-house.org", "class-house.org", "lakehouse.org", "bluegarden.org", "house-class.org", "gardenlake.org"]
+    fresh = {"luckyprize.org": "block", "royalwin.org": "block", "classlots.org": "allow", "bluehouse.org": "allow", "gardenclass.org": "allow"}
+    rows = [(k, f"http://{h}/p/{k}", text) for k, h in enumerate(known * 12)] + [(1000 + k, f"http://{h}/p/1", text) for k, h in enumerate(fresh)]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {h: got[1000 + k] for k, h in enumerate(fresh)} == fresh
+    assert all(got[k] == ("block" if k % 12 < 5 else "allow") for k in range(len(known) * 12))
+
+
+def test_url_ties_and_long_hosts(spark):
+    many = (("allow", "a.org", "/x"), ("block", "a.org", "/x"))
+    assert spark.range(1).select(urls.ruled(F.lit("b.a.org"), F.lit("/xy"), many).verdict).first()[0] == "block"
+    rows = [(1, "http://" + "a." * 20_000 + "org/x", None), (2, "http://" + "q" * 64 + ".org", "qq " * 9)]
+    assert {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {1: "allow", 2: "allow"}
 
 
 # 10.
