@@ -6,7 +6,8 @@ cover the whole document; a hidden layer judges each chunk, and the mean and the
 combine into one probability.
 
 It is trained on the driver on at most SAMPLE labelled documents that are not held out, those with the least hash of
-their id, and of each on at most PIECES chunks spread over it: a bound that is part of training. Scores are taken over
+their id. The chunks that it learns from are drawn on the workers from over the whole text, DRAWN of a document, one
+from each of as many equal parts of it (all, if it has no more); each pass takes PIECES of them. Scores are taken over
 whole texts. Labels, language, source and id are no inputs.
 
 Defined cases: a null text is an empty one, and an empty text is one chunk of padding; a null id is not held out;
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import encoded, slices
 
 #: Bounds of training.
-SAMPLE, PIECES, EPOCHS, SHORT, STEPS = 3000, 8, 12, 0.25, 500
+SAMPLE, DRAWN, PIECES, EPOCHS, SHORT, STEPS = 3000, 96, 8, 12, 0.25, 500
 #: The network: bytes a filter sees, filters, hidden units, bytes in half a chunk.
 WIDTH, FILTERS, HIDDEN, HALF = 6, 24, 16, 96
 #: Fixed values of the contract.
@@ -83,31 +84,48 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _batch(docs: list[bytes], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks (n, 2 * HALF + WIDTH - 1) of a batch of documents, whose they are, and how full. Some documents are cut short."""
-    width, rows, of, left = 2 * HALF + WIDTH - 1, [], [], []
-    for k, d in enumerate(docs):
-        if r.random() < SHORT:
-            a = int(r.integers(0, max(1, len(d) - 200)))
-            d = d[a : a + int(r.integers(8, 200))]
-        starts = np.arange(0, max(1, len(d) - HALF), HALF)
-        if len(starts) > PIECES:
-            starts = np.sort(r.choice(starts, PIECES, replace=False))
-        for s in starts:
-            piece = d[s : s + width]
-            rows.append(piece + bytes([PAD]) * (width - len(piece)))
-            of.append(k)
-            left.append(len(d) - s)
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width), np.array(of), filled(np.array(left))
+SPAN = 2 * HALF + WIDTH - 1
+
 
+def drawn(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of a document, (n, SPAN) bytes, and how many of its bytes there are from the start of each."""
+    starts = HALF * np.arange(max(1, -(-(len(data) - HALF) // HALF)))
+    if len(starts) > DRAWN:
+        edges = np.linspace(0, len(starts), DRAWN + 1).astype(int)
+        starts = starts[np.random.default_rng(zlib.crc32(data)).integers(edges[:-1], edges[1:])]
+    rows = [data[s : s + SPAN].ljust(SPAN, bytes([PAD])) for s in starts.tolist()]
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SPAN), len(data) - starts
 
-def train(docs: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPOCHS, size: int = 48, rate: float = 4e-3) -> Network:
-    """Adam on the log loss, both classes weighing alike."""
+
+def _batch(docs: list[tuple[np.ndarray, np.ndarray]], r: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks (n, SPAN) of a batch of documents, whose they are, and how full. Of some documents there is a part of one chunk."""
+    rows, of, left = [], [], []
+    for k, (chunks, rest) in enumerate(docs):
+        at = np.arange(len(chunks))
+        if r.random() < SHORT:
+            i = int(r.integers(len(chunks)))
+            n = min(int(r.integers(8, SPAN)), int(rest[i]))
+            a = int(r.integers(0, max(1, min(SPAN, int(rest[i])) - n + 1)))
+            part = np.full(SPAN, PAD, np.uint8)
+            part[:n] = chunks[i, a : a + n]
+            rows.append(part[None])
+            of.append(k)
+            left.append(n)
+            continue
+        if len(at) > PIECES:
+            at = np.sort(r.choice(at, PIECES, replace=False))
+        rows.append(chunks[at])
+        of += [k] * len(at)
+        left += rest[at].tolist()
+    return np.concatenate(rows), np.array(of), filled(np.array(left))
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, seed: int = 5, epochs: int = EPOCHS, size: int = 48, rate: float = 4e-3) -> Network:
+    """Adam on the log loss of drawn() documents, both classes weighing alike."""
     net, r = Network(seed), np.random.default_rng(seed)
     p = net.p
     m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     weight = np.where(good, 0.5 / max(good.mean(), 1e-6), 0.5 / max((~good).mean(), 1e-6)).astype(np.float32)
-    span = 2 * HALF
     # Few documents are gone over more often, for as many steps at least.
     for _ in range(max(epochs, STEPS * size // max(len(docs), 1))):
         order = r.permutation(len(docs))
@@ -115,9 +133,9 @@ def train(docs: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPOC
             some = order[at : at + size]
             x, of, full = _batch([docs[i] for i in some], r)
             n = len(some)
-            resp = p["w"][0][x[:, :span]]
+            resp = p["w"][0][x[:, : 2 * HALF]]
             for k in range(1, WIDTH):
-                resp = resp + p["w"][k][x[:, k : k + span]]
+                resp = resp + p["w"][k][x[:, k : k + 2 * HALF]]
             arg = resp.argmax(axis=1)
             top = np.take_along_axis(resp, arg[:, None, :], axis=1)[:, 0] + p["b"]
             pooled = np.concatenate([np.maximum(top, 0), full], axis=1)
@@ -150,17 +168,27 @@ def train(docs: list[bytes], good: np.ndarray, seed: int = 5, epochs: int = EPOC
     return net
 
 
-def sampled(docs: DataFrame, labels: DataFrame) -> list:
-    """(quality, text) of at most SAMPLE labelled documents that are not held out."""
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, text) of at most SAMPLE labelled documents that are not held out; an id that repeats is one row."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     # Spark's crc32 is the same checksum.
     free = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD)
     chosen = free.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
-    need = HALF * (PIECES * 16)  # the pieces of a document come from a stretch of this many characters from a hashed place
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - need + 1, F.lit(1))).cast("int")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), at + 1, F.lit(need)).alias("text"))
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()  # an id that repeats is one row
-    return sorted(rows, key=lambda x: (x.doc_id, x.quality, x.text))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+
+def lessons(rows: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The drawn chunks of sampled() rows, and whose quality is 1, in order of id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [drawn(encoded(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.int64).tobytes() for _, n in found], pa.binary())], names=["doc_id", "quality", "chunks", "rest"])
+
+    got = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, quality int, chunks binary, rest binary").collect()
+    got.sort(key=lambda x: (x.doc_id, x.quality))
+    return [(np.frombuffer(x.chunks, np.uint8).reshape(-1, SPAN), np.frombuffer(x.rest, np.int64)) for x in got], np.array([x.quality == 1 for x in got], bool)
 
 
 @lru_cache(maxsize=2)
@@ -176,10 +204,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
     import pickle
 
-    rows = sampled(docs.select("doc_id", "text"), labels)
-    good = np.array([x.quality == 1 for x in rows], bool)
+    taught, good = lessons(sampled(docs.select("doc_id", "text"), labels))
     constant = None if good.any() and not good.all() else float(good.mean()) if len(good) else 0.5
-    blob = b"" if constant is not None else pickle.dumps(train([encoded(x.text) for x in rows], good).p)
+    blob = b"" if constant is not None else pickle.dumps(train(taught, good).p)
     slim = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
