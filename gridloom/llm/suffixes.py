@@ -12,8 +12,8 @@ equal grams (compared by how far they agree to both sides) are read off the merg
 A task sends one key for all equal ones it has, so a passage in a third of all documents is a few rows a task. A group
 of grams that splitters cut is left to an exact aggregation of its strings' 128-bit hashes.
 
-Defined cases: a null text is an empty one; documents under LENGTH bytes repeat nothing; a null id comes before all
-others; rows with one id and one text are the same document, none earlier than the other, and rows with one id and
+Defined cases: a null text is an empty one; documents under LENGTH bytes repeat nothing; ids may be of any type that
+sorts; null ids come before all others and are one id; rows with one id and one text are the same document, none earlier than the other, and rows with one id and
 different texts start at equal places, so that neither removes the other's string at the same start; an empty table
 gives no rows.
 """
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .skew import dealt
 from .store import drop, free, save
 from .words import encoded, slices
 
@@ -38,6 +39,8 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 BEFORE = SPAN - 1
 KEY = LENGTH + BEFORE + 2
+#: Bytes of text for each part of the first exchange.
+PART = 16 << 20
 #: Texts worked on at once; positions in a block of theirs; suffixes in a merge; keys for splitters at most.
 SLICE, STRIDE, MERGE, SAMPLE = 4 << 20, 1 << 19, 150_000, 20_000
 #: Up to so many classes of a gram are compared pair by pair.
@@ -113,12 +116,12 @@ def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 
 def candidates(docs: DataFrame, parts: int) -> DataFrame:
-    """(ord, places), a row for each document: its anchors whose gram's hash is found elsewhere too."""
+    """(dk, places), a row for each document key: its anchors whose gram's hash is found elsewhere too."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             data, stops = _joined(batch, "text")
-            ids = batch.column("ord").to_numpy()
+            ids = batch.column("dk").to_numpy()
             found = [(at, h) for at, h, _, _ in anchors(data, stops)]
             if not found:
                 continue
@@ -131,41 +134,44 @@ def candidates(docs: DataFrame, parts: int) -> DataFrame:
             new = np.append(True, h[1:] != h[:-1])
             again = ~new | np.append(~new[1:], False)
             # What a slice itself has twice is settled; of all that it has, one of each hash goes on.
-            yield dealt((owner[again] % parts).astype(np.int64), -1, (h[:0], owner[again], pos[again], again[:0]))
+            yield grouped(home(owner[again]), -1, (h[:0], owner[again], pos[again], again[:0]))
             h, owner, pos, again = h[new], owner[new], pos[new], again[new]
-            yield dealt((h % np.uint64(parts)).astype(np.int64), 1, (h, owner, pos, again))
+            yield grouped((h % np.uint64(parts)).astype(np.int64), 1, (h, owner, pos, again))
 
-    def dealt(to: np.ndarray, sign: int, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    def home(owner: np.ndarray) -> np.ndarray:
+        return (owner.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+
+    def grouped(to: np.ndarray, sign: int, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         """A row for each part; parts of documents are counted below zero."""
         order = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[order], np.arange(parts + 1))
         full = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
         pick = [order[cuts[k] : cuts[k + 1]] for k in full]
         blobs = ([z[p].tobytes() if len(z) else b"" for p in pick] for z in columns)
-        return _rows({"part": ([k if sign > 0 else -1 - k for k in full], pa.int32())} | {c: (v, pa.binary()) for c, v in zip(("h", "ord", "pos", "again"), blobs, strict=True)})
+        return _rows({"part": ([k if sign > 0 else -1 - k for k in full], pa.int32())} | {c: (v, pa.binary()) for c, v in zip(("h", "dk", "pos", "again"), blobs, strict=True)})
 
     def meet(t: pa.Table) -> pa.Table:
         get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        h, owner, pos, again = get("h", np.uint64), get("ord", np.int64), get("pos", np.int64), get("again", np.bool_)
+        h, owner, pos, again = get("h", np.uint64), get("dk", np.int64), get("pos", np.int64), get("again", np.bool_)
         order = np.argsort(h, kind="stable")
         h = h[order]
         same = h[1:] == h[:-1]
         twice = np.append(False, same) | np.append(same, False)
         keep = order[twice & ~again[order]]  # the slice has told of the others
-        return pa.Table.from_batches([dealt((owner[keep] % parts).astype(np.int64), -1, (h[:0], owner[keep], pos[keep], again[:0]))])
+        return pa.Table.from_batches([grouped(home(owner[keep]), -1, (h[:0], owner[keep], pos[keep], again[:0]))])
 
     def gather(t: pa.Table) -> pa.Table:
-        owner, pos = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("ord", "pos"))
+        owner, pos = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("dk", "pos"))
         order = np.argsort(owner, kind="stable")
         owner, pos = owner[order], pos[order]
         cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
         bounds = [*cuts, len(owner)]
-        return pa.table({"ord": pa.array(owner[cuts], pa.int64()), "places": pa.array([pos[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())})
+        return pa.table({"dk": pa.array(owner[cuts], pa.int64()), "places": pa.array([pos[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())})
 
-    schema = "part int, h binary, ord binary, pos binary, again binary"
-    all_ = save(docs.select("ord", "text").mapInArrow(local, schema), "suffix-grams")
+    schema = "part int, h binary, dk binary, pos binary, again binary"
+    all_ = save(docs.select("dk", "text").mapInArrow(local, schema), "suffix-grams")
     met = all_.where("part >= 0").groupBy("part").applyInArrow(meet, schema)
-    out = save(met.unionByName(all_.where("part < 0")).select("part", "ord", "pos").groupBy("part").applyInArrow(gather, "ord bigint, places binary"), "suffix-places")
+    out = save(met.unionByName(all_.where("part < 0")).select("part", "dk", "pos").groupBy("part").applyInArrow(gather, "dk bigint, places binary"), "suffix-places")
     drop(all_)
     return out
 
@@ -273,7 +279,7 @@ def runs(docs: DataFrame, places: DataFrame) -> DataFrame:
             some = [k[i].tobytes() for i in np.linspace(0, len(k) - 1, min(len(k), 16)).astype(int)]
             yield _rows({"n": ([len(k)], pa.int32()), "ord": ([owner.tobytes()], pa.binary()), "text": ([text.tobytes()], pa.binary()), "pos": ([pos.tobytes()], pa.binary()), "near": ([near.tobytes()], pa.binary()), "far": ([far.tobytes()], pa.binary()), "lcp": ([lcp.tobytes()], pa.binary()), "rest": ([rest], pa.binary()), "some": ([some], pa.list_(pa.binary()))})
 
-    return save(docs.select("ord", "tx", "text").join(places, "ord").mapInArrow(run, RUN), "suffix-runs")
+    return save(docs.select("dk", "ord", "tx", "text").join(places, "dk").mapInArrow(run, RUN), "suffix-runs")
 
 
 def splitters(table: DataFrame, parts: int) -> list[bytes]:
@@ -487,7 +493,7 @@ def intervals(table: DataFrame, found: DataFrame) -> DataFrame:
     own = table.where("n is null").select("ord", "text", "pos", "near").mapInArrow(local, "ord bigint, text bigint, a bigint, b bigint")
     hashed = found.where("h1 is not null")
     least = hashed.groupBy("h1", "h2").agg(F.min(F.struct("ord", "a")).alias("least"))
-    later = hashed.join(least, ["h1", "h2"]).where(F.struct("ord", "a") > F.col("least")).select("ord", "text", "a", "b")
+    later = dealt(hashed, least, ["h1", "h2"], "ord", "inner").where(F.struct("ord", "a") > F.col("least")).select("ord", "text", "a", "b")
     return own.unionByName(found.where("h1 is null").select("ord", "text", "a", "b")).unionByName(later)
 
 
@@ -518,12 +524,26 @@ def kept(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(lists, ["ord", "tx"], "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, tx, text) with ord, a long in the order of doc_id, nulls first, and dk, a key of (ord, tx)."""
+    kind = docs.schema["doc_id"].dataType
+    if kind.typeName() in ("byte", "short", "integer", "long"):
+        out = docs.withColumn("ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    else:
+        n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
+        ranks = save(ids.repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("ord", F.monotonically_increasing_id()), "suffix-ids")
+        out = docs.join(ranks, F.col("doc_id") == F.col("id"), "left").drop("id").withColumn("ord", F.coalesce("ord", F.lit(NULL_ID)))
+    return out.withColumn("dk", F.xxhash64("ord", "tx"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: its bytes, how many of them repeat, in how many runs, and the hash of the others."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("ord"), F.xxhash64(text).alias("tx"), text.alias("text"))
-    places = candidates(rows, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = placed(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tx"), text.alias("text")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    places = candidates(rows, 1 + size // PART)
     free(spark)
     table = runs(rows, places)
     drop(places)
