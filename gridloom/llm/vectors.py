@@ -4,7 +4,12 @@ Unit vectors at a cosine of at least COSINE lie within EPS of each other. They a
 sorted by the cells that a grid of that width has on the leading axes, and cut into blocks of the sorted sequence,
 each with its bounding box. The join goes down from intervals of blocks to blocks, eight at a time: a pair of
 intervals whose boxes are more than EPS apart on the leading axes can hold no link and is dropped whole. What is left
-are pairs of blocks; inside them the same recursion goes on by halves down to small products of matrices.
+are pairs of blocks; inside them the same recursion goes on by halves, down to leaves. There every pair of points gets
+a bound from FIRST leading axes and the length of what is left of both vectors, which is at least their cosine; only
+pairs whose bound reaches COSINE are multiplied out.
+
+A block meets its partners TILE at a time, so that it is sent once for as many of them, and a tile is what tasks share
+out.
 
 Exact copies are one point with a weight. A pair of blocks returns counts and a spanning forest of its links, not the
 links: both grow with the blocks, not with the square of a cluster.
@@ -28,8 +33,10 @@ from .components import components
 from .store import free, save
 
 COSINE = 0.9
-#: Leading axes of the grid and the boxes; points in a block; points from which a product is taken at once.
-AXES, BLOCK, LEAF = 12, 2048, 256
+#: Leading axes of the grid and the boxes, and of the bounds of pairs; points in a leaf; partners in a tile.
+AXES, FIRST, LEAF, TILE = 12, 24, 512, 8
+#: Bytes of a block's vectors in double precision, about.
+BLOCK = 4 << 20
 #: Cosines that near the threshold are taken again, exactly summed.
 CLOSE = 1e-9
 
@@ -83,12 +90,12 @@ def rotation(points: DataFrame, width: int) -> np.ndarray:
 
 
 def blocks(points: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFrame:
-    """(block, lo, hi, nodes, weights, x, y): the points in grid order, BLOCK at a time; block counts up along the order.
+    """(block, lo, hi, nodes, weights, x): the points in grid order, BLOCK bytes at a time; block counts up along the order.
 
-    x: the vectors as they came, in numpy's type kind; y: their leading axes.
+    x: the vectors as they came, in numpy's type kind.
     """
     width = len(axes)
-    lead = min(AXES, width)
+    lead, most = min(AXES, width), max(LEAF, BLOCK // (8 * width))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,17 +110,17 @@ def blocks(points: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFr
         def flush(table: pa.Table) -> pa.RecordBatch:
             nonlocal seq
             y = np.frombuffer(b"".join(table.column("y").to_pylist())).reshape(-1, lead)
-            row = [task, seq, y.min(axis=0).tolist(), y.max(axis=0).tolist(), table.column("node").to_numpy().tobytes(), table.column("n").to_numpy().tobytes(), b"".join(table.column("x").to_pylist()), y.tobytes()]
+            row = [task, seq, y.min(axis=0).tolist(), y.max(axis=0).tolist(), table.column("node").to_numpy().tobytes(), table.column("n").to_numpy().tobytes(), b"".join(table.column("x").to_pylist())]
             seq += 1
-            types = (pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["task", "seq", "lo", "hi", "nodes", "weights", "x", "y"])
+            types = (pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["task", "seq", "lo", "hi", "nodes", "weights", "x"])
 
         for batch in batches:
             kept.append(batch)
-            while sum(b.num_rows for b in kept) >= BLOCK:
+            while sum(b.num_rows for b in kept) >= most:
                 table = pa.Table.from_batches(kept)
-                yield flush(table.slice(0, BLOCK))
-                kept = table.slice(BLOCK).to_batches()
+                yield flush(table.slice(0, most))
+                kept = table.slice(most).to_batches()
         if sum(b.num_rows for b in kept):
             yield flush(pa.Table.from_batches(kept))
 
@@ -121,7 +128,7 @@ def blocks(points: DataFrame, axes: np.ndarray, eps: float, kind: str) -> DataFr
     placed = points.select("node", "n", "v").mapInArrow(cells, "node bigint, n bigint, " + ", ".join(f"{k} int" for k in keys) + ", x binary, y binary")
     n = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = placed.repartitionByRange(n, *keys, "node").sortWithinPartitions(*keys, "node")
-    cutted = save(ordered.mapInArrow(cut, "task int, seq int, lo array<double>, hi array<double>, nodes binary, weights binary, x binary, y binary"), "ego-blocks")
+    cutted = save(ordered.mapInArrow(cut, "task int, seq int, lo array<double>, hi array<double>, nodes binary, weights binary, x binary"), "ego-blocks")
     # Blocks of a task follow those of the tasks before; the tasks are as many as partitions.
     sizes = cutted.groupBy("task").agg(F.count("*").alias("b"))
     ahead = sizes.select("task", F.coalesce(F.sum("b").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
@@ -148,37 +155,50 @@ def block_pairs(headers: DataFrame, count: int, eps: float) -> DataFrame:
     return pairs
 
 
-def near(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, cosine: float, eps: float) -> np.ndarray:
-    """Which rows of x are within the cosine of which rows of u; y and v are their leading axes.
+class Block:
+    """A block's points: nodes, weights, unit vectors x, their leading axes y, and what bounds their cosines."""
+
+    def __init__(self, nodes: bytes, weights: bytes, x: bytes, axes: np.ndarray, kind: str):
+        self.nodes, self.weights = np.frombuffer(nodes, np.int64), np.frombuffer(weights, np.int64)
+        self.x = _units(np.frombuffer(x, kind).reshape(-1, len(axes)))
+        first = self.x @ axes[:, :FIRST]
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (first * first).sum(axis=1)))
+        self.y, self.bound = first[:, :AXES], np.column_stack([first, rest]).astype(np.float32)
 
-    Products are taken in single precision first; those within its error of the threshold again in double.
-    """
-    out = np.zeros((len(x), len(u)), bool)
-    x4, u4 = x.astype(np.float32), u.astype(np.float32)
-    unsure = 4e-7 * (x.shape[1] + 8)
 
-    def go(a: int, b: int, c: int, d: int) -> None:
-        p, q = y[a:b], v[c:d]
-        gap = np.maximum(0, np.maximum(p.min(0) - q.max(0), q.min(0) - p.max(0)))
+def near(p: Block, q: Block, cosine: float, eps: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(a, c, links): for each pair of leaves that has links, where they start and which of their points are linked."""
+    unsure = np.float32(cosine - 4e-7 * (FIRST + 9))  # the bounds are in single precision
+
+    def go(a: int, b: int, c: int, d: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        s, t = p.y[a:b], q.y[c:d]
+        gap = np.maximum(0, np.maximum(s.min(0) - t.max(0), t.min(0) - s.max(0)))
         if (gap * gap).sum() > eps * eps + 1e-9:
             return
         if b - a <= LEAF and d - c <= LEAF:
-            dots = x4[a:b] @ u4[c:d].T
-            out[a:b, c:d] = dots >= cosine
-            i, j = np.nonzero(np.abs(dots - np.float32(cosine)) < unsure)
-            exact = np.einsum("ij,ij->i", x[a + i], u[c + j])
-            out[a + i, c + j] = exact >= cosine
-            for k in np.flatnonzero(np.abs(exact - cosine) < CLOSE):
-                out[a + i[k], c + j[k]] = math.fsum(x[a + i[k]] * u[c + j[k]]) >= cosine
+            i, j = np.nonzero(p.bound[a:b] @ q.bound[c:d].T >= unsure)
+            if not len(i):
+                return
+            links = np.zeros((b - a, d - c), bool)
+            for k in range(0, len(i), 1 << 14):
+                u, v = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+                exact = np.einsum("ij,ij->i", p.x[a + u], q.x[c + v])
+                links[u, v] = exact >= cosine
+                for z in np.flatnonzero(np.abs(exact - cosine) < CLOSE):
+                    links[u[z], v[z]] = math.fsum(p.x[a + u[z]] * q.x[c + v[z]]) >= cosine
+            if p is q and a == c:
+                np.fill_diagonal(links, False)
+            if links.any():
+                yield a, c, links
             return
         m, n = (a + b) // 2 if b - a > LEAF else b, (c + d) // 2 if d - c > LEAF else d
-        for s, t in ((a, m), (m, b)):
-            for e, f in ((c, n), (n, d)):
-                if s < t and e < f:
-                    go(s, t, e, f)
+        for e, f in ((a, m), (m, b)):
+            for g, h in ((c, n), (n, d)):
+                # Within a block a pair of leaves is met once.
+                if e < f and g < h and not (p is q and h <= e):
+                    yield from go(e, f, g, h)
 
-    go(0, len(x), 0, len(u))
-    return out
+    yield from go(0, len(p.x), 0, len(q.x))
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int, bool]]:
@@ -199,34 +219,59 @@ def forest(links: np.ndarray) -> list[tuple[int, int, bool]]:
     return out
 
 
-def joined(table: DataFrame, pairs: DataFrame, width: int, kind: str, cosine: float, eps: float) -> DataFrame:
+def met(p: Block, q: Block, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The weights of the links of p's and of q's points, and edges that join what the links join."""
+    got = np.zeros(len(p.nodes), np.int64), np.zeros(len(q.nodes), np.int64)
+    parent: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while parent.setdefault(n, n) != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    edges = []
+    for a, c, links in near(p, q, cosine, eps):
+        e, f = links.shape
+        got[0][a : a + e] += links @ q.weights[c : c + f]
+        if not (p is q and a == c):
+            got[1][c : c + f] += links.T @ p.weights[a : a + e]
+        for r, o, column in forest(links):
+            u, v = int(p.nodes[a + r]), int(q.nodes[c + o] if column else p.nodes[a + o])
+            ru, rv = root(u), root(v)
+            if ru != rv:
+                parent[ru] = rv
+                edges.append((u, v))
+    return *got, edges
+
+
+def joined(table: DataFrame, pairs: DataFrame, axes: np.ndarray, kind: str, cosine: float, eps: float) -> DataFrame:
     """(a, b, n): b null: a has n more links; else a and b are in one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = None, None
+        own = at = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, j = (batch.column(k)[r].as_py() for k in ("i", "j"))
-                get = lambda k, t, r=r: np.frombuffer(batch.column(k)[r].as_buffer(), t)  # noqa: B023, E731
-                other = (get("nodes", np.int64), get("weights", np.int64), _units(get("x", kind).reshape(-1, width)), get("y", np.float64).reshape(-1, min(AXES, width)))
-                if i == j:
-                    own, at = tuple(np.array(z) for z in other), i
-                if at != i:
-                    raise RuntimeError("a block's own row must come first")
-                links = near(own[2], own[3], other[2], other[3], cosine, eps)
-                if i == j:
-                    np.fill_diagonal(links, False)
-                tree = forest(links)
-                gained = [(own[0], links @ other[1])] + ([(other[0], links.T @ own[1])] if i != j else [])
-                a = np.concatenate([n[g > 0] for n, g in gained] + [own[0][[t[0] for t in tree]]])
-                b = [None] * int(sum((g > 0).sum() for _, g in gained)) + [int(other[0][c] if column else own[0][c]) for _, c, column in tree]
-                n = np.concatenate([g[g > 0] for _, g in gained] + [np.zeros(len(tree), np.int64)])
+            for row in batch.to_pylist():
+                other = Block(row["nodes"], row["weights"], row["x"], axes, kind)
+                if row["j"] is None:  # a tile's own block comes first
+                    own, at = other, (row["i"], row["tile"])
+                    continue
+                if at != (row["i"], row["tile"]):
+                    raise RuntimeError("a tile's own block must come first")
+                if row["i"] == row["j"]:
+                    other = own
+                left, right, edges = met(own, other, cosine, eps)
+                gained = [(own.nodes, left), (other.nodes, right)]
+                a = np.concatenate([n[g > 0] for n, g in gained] + [np.array([u for u, _ in edges], np.int64)])
+                n = np.concatenate([g[g > 0] for _, g in gained] + [np.zeros(len(edges), np.int64)])
+                b = [None] * (len(a) - len(edges)) + [v for _, v in edges]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
     n = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = pairs.join(table.select(F.col("block").alias("j"), "nodes", "weights", "x", "y"), "j")
-    # Blocks are large and their own rows come first: each task streams the partners of its blocks past them.
-    return rows.repartition(n, "i").sortWithinPartitions("i", (F.col("i") != F.col("j")).cast("int"), "j").select("i", "j", "nodes", "weights", "x", "y").mapInArrow(run, "a bigint, b bigint, n bigint")
+    tiles = pairs.select("i", F.floor(F.col("j") / TILE).alias("tile"), "j")
+    own = tiles.select("i", "tile").distinct().select("i", "tile", F.lit(None).cast("long").alias("j"), F.col("i").alias("block"))
+    rows = own.unionByName(tiles.withColumn("block", F.col("j"))).join(table.select("block", "nodes", "weights", "x"), "block")
+    ordered = rows.repartition(n, "i", "tile").sortWithinPartitions("i", "tile", F.col("j").asc_nulls_first())
+    return ordered.select("i", "tile", "j", "nodes", "weights", "x").mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -235,10 +280,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
     width = points.agg(F.max(F.size("v"))).first()[0] or 1
     kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
-    table = blocks(points, rotation(points, width), eps, kind)
+    axes = rotation(points, width)
+    table = blocks(points, axes, eps, kind)
     count = table.count()
     pairs = save(block_pairs(table.select("block", "lo", "hi"), count, eps), "ego-pairs")
-    found = save(joined(table, pairs, width, kind, cosine, eps), "ego-links")
+    found = save(joined(table, pairs, axes, kind, cosine, eps), "ego-links")
     free(vectors.sparkSession)
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null").select("a", "b"))
