@@ -9,8 +9,9 @@ prefix with the one before, and the rest), cut at splitters and merged by loser
 common prefixes. Keys come out with their common prefixes, so equal keys (all but the earliest repeat) and groups of
 equal grams (compared by how far they agree to both sides) are read off the merged order.
 
-A task sends one key for all equal ones it has, so a passage in a third of all documents is a few rows a task. A group
-of grams that splitters cut is left to an exact aggregation of its strings' 128-bit hashes.
+A slice of texts sends one key for all equal ones it has, and where there are more than RUNS runs, groups of them are
+merged first, which leaves one key of equal ones in each group: so a passage in a third of all documents is a bounded
+number of keys in the last merge. A group of grams that splitters cut is left to an exact aggregation of its strings' 128-bit hashes.
 
 Defined cases: a null text is an empty one; documents under LENGTH bytes repeat nothing; ids may be of any type that
 sorts; null ids come before all others and are one id; rows with one id and one text are the same document, none earlier than the other, and rows with one id and
@@ -23,6 +24,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ KEY = LENGTH + BEFORE + 2
 PART = 16 << 20
 #: Texts worked on at once; positions in a block of theirs; suffixes in a merge; keys for splitters at most.
 SLICE, STRIDE, MERGE, SAMPLE = 4 << 20, 1 << 19, 150_000, 20_000
+#: Runs in one merge.
+RUNS = 100_000
 #: Up to so many classes of a gram are compared pair by pair.
 FEW = 12
 NULL_ID = -(2**63)
@@ -289,6 +293,9 @@ def splitters(table: DataFrame, parts: int) -> list[bytes]:
     return sorted({ranked[len(ranked) * i // parts] for i in range(1, parts)}) if ranked else []
 
 
+PIECE = "part int, n int, ord binary, text binary, pos binary, near binary, far binary, lcp binary, rest binary"
+
+
 def split(table: DataFrame, cuts: list[bytes]) -> DataFrame:
     """The runs cut at the splitters, with part."""
 
@@ -313,7 +320,7 @@ def split(table: DataFrame, cuts: list[bytes]) -> DataFrame:
                 types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
                 yield _rows({c: (v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
-    return table.where("n is not null").drop("some").mapInArrow(run, "part int, n int, ord binary, text binary, pos binary, near binary, far binary, lcp binary, rest binary")
+    return table.where("n is not null").drop("some").mapInArrow(run, PIECE)
 
 
 # The merge.
@@ -417,6 +424,68 @@ def agreeing(k: list[bytes], lcp: list[int], rank: np.ndarray, near: np.ndarray,
     return out
 
 
+class Pile:
+    """The runs of one part, to be merged."""
+
+    def __init__(self, t: pa.Table):
+        self.part = t.column("part")[0].as_py()
+        cols = {c: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ord", np.int64), ("text", np.int64), ("pos", np.int64), ("near", np.uint8), ("far", np.uint8), ("lcp", np.uint8))}
+        self.base = np.append(0, np.cumsum([len(x) for x in cols["ord"]]))
+        self.lists = [(_decode(c, unsqueezed(r)), c.tolist()) for c, r in zip(cols["lcp"], t.column("rest").to_pylist(), strict=True)]
+        self.owner, self.text, self.pos, self.near, self.far = (np.concatenate(cols[c]) for c in ("ord", "text", "pos", "near", "far"))
+        self.rank = np.empty(len(self.owner), np.int64)
+        order = np.lexsort((self.pos, self.owner))
+        o, p = self.owner[order], self.pos[order]
+        self.rank[order] = np.cumsum(np.append(True, (o[1:] != o[:-1]) | (p[1:] != p[:-1])))
+
+    def keys(self) -> Iterator[tuple[bytes, int, list[int]]]:
+        """(key, common prefix with the one before, entries) of each distinct key, in order."""
+        now: tuple[bytes, int, list[int]] | None = None
+        for r, i, c in merge(self.lists):
+            e = int(self.base[r]) + i
+            if c == KEY and now:
+                now[2].append(e)
+                continue
+            if now:
+                yield now
+            now = (self.lists[r][0][i], c, [e])
+        if now:
+            yield now
+
+    def parted(self, entries: list[int]) -> tuple[list[int], list[int]]:
+        """The entries of one key that are as early as the earliest, and the others."""
+        least = min(self.rank[e] for e in entries)
+        return [e for e in entries if self.rank[e] == least], [e for e in entries if self.rank[e] > least]
+
+    def spans(self, late: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+        """Intervals of starts from (entry, d, d2)."""
+        e, d, d2 = (np.array([x[j] for x in late], np.int64) for j in range(3))
+        return merged_intervals(self.owner[e], self.text[e], self.pos[e] - d2, self.pos[e] - d)
+
+
+def combined(pieces: DataFrame, groups: int) -> DataFrame:
+    """The pieces of each part merged into one for each of the groups that they are dealt to; under n null, intervals that repeat."""
+
+    def run(t: pa.Table) -> pa.Table:
+        pile = Pile(t)
+        kept, lcp, rest, late = [], [], [], []
+        for key, c, entries in pile.keys():
+            level, others = pile.parted(entries)
+            late += [(e, pile.near[e], pile.far[e]) for e in others]
+            kept += level
+            lcp += [c, *[KEY] * (len(level) - 1)]
+            rest.append(key[c:])
+        k = np.array(kept, np.int64)
+        lcp[0] = 0
+        o, x, a, b = pile.spans(late)
+        each = lambda p, q: ([p.tobytes(), q.tobytes() if q is not None else None], pa.binary())
+        rows = {"part": ([pile.part] * 2, pa.int32()), "n": ([len(k), None], pa.int32()), "ord": each(pile.owner[k], o), "text": each(pile.text[k], x), "pos": each(pile.pos[k], a), "near": each(pile.near[k], b), "far": each(pile.far[k], None)}
+        return pa.Table.from_batches([_rows(rows | {"lcp": each(np.array(lcp, np.uint8), None), "rest": ([squeezed(b"".join(rest)), None], pa.binary())})])
+
+    dealt_ = pieces.withColumn("grp", F.pmod(F.xxhash64("ord", "pos"), F.lit(groups)))
+    return save(dealt_.groupBy("part", "grp").applyInArrow(lambda t: run(t.drop_columns(["grp"])), PIECE), "suffix-combined")
+
+
 FOUND = "ord bigint, text bigint, a bigint, b bigint, h1 bigint, h2 bigint"
 
 
@@ -426,30 +495,22 @@ def repeats(parts: DataFrame, cuts: list[bytes]) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         from xxhash import xxh3_128_intdigest
 
-        part = t.column("part")[0].as_py()
-        cols = {c: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()] for c, kind in (("ord", np.int64), ("text", np.int64), ("pos", np.int64), ("near", np.uint8), ("far", np.uint8), ("lcp", np.uint8))}
-        base = np.append(0, np.cumsum([len(x) for x in cols["ord"]]))
-        lists = [(_decode(c, unsqueezed(r)), c.tolist()) for c, r in zip(cols["lcp"], t.column("rest").to_pylist(), strict=True)]
-        owner, text, pos, near, far = (np.concatenate(cols[c]) for c in ("ord", "text", "pos", "near", "far"))
-        rank = np.empty(len(owner), np.int64)
-        order = np.lexsort((pos, owner))
-        rank[order] = np.cumsum(np.append(True, (owner[order][1:] != owner[order][:-1]) | (pos[order][1:] != pos[order][:-1])))
+        pile = Pile(t)
         late: list[tuple[int, int, int]] = []
-        open_: list[tuple[int, int, int]] = []
-        shut = {c[:GRAM] for c in cuts[max(0, part - 1) : part + 1]}
+        open_: list[tuple[int, bytes]] = []
+        shut = {c[:GRAM] for c in cuts[max(0, pile.part - 1) : pile.part + 1]}
+        rank, owner, text, pos, near, far = pile.rank, pile.owner, pile.text, pile.pos, pile.near, pile.far
 
         def close(group: list[tuple[bytes, int, list[int]]]) -> None:
-            """group: (key, common prefix with the one before, entries) of one gram's distinct keys."""
+            """group: the distinct keys of one gram."""
             heads, k, prefix = [], [], []
             for key, c, entries in group:
-                least = min(rank[e] for e in entries)
-                for n, e in enumerate(sorted(entries, key=lambda e: rank[e])):
-                    if rank[e] > least:
-                        late.append((e, near[e], far[e]))
-                    else:  # level entries of different texts each go on
-                        heads.append(e)
-                        k.append(key)
-                        prefix.append(KEY if n else c)
+                level, others = pile.parted(entries)
+                late.extend((e, near[e], far[e]) for e in others)
+                for n, e in enumerate(level):  # level entries of different texts each go on
+                    heads.append(e)
+                    k.append(key)
+                    prefix.append(KEY if n else c)
             if not group:
                 return
             if group[0][0][:GRAM] in shut:
@@ -458,19 +519,13 @@ def repeats(parts: DataFrame, cuts: list[bytes]) -> DataFrame:
                 late.extend((heads[i], d, e) for i, d, e in agreeing(k, prefix, rank[heads], near[heads], far[heads]))
 
         group: list[tuple[bytes, int, list[int]]] = []
-        for r, i, c in merge(lists):
-            e = int(base[r]) + i
-            if c == KEY and group:
-                group[-1][2].append(e)
-                continue
+        for key, c, entries in pile.keys():
             if c < GRAM:
                 close(group)
                 group = []
-            group.append((lists[r][0][i], c, [e]))
+            group.append((key, c, entries))
         close(group)
-        e = np.array([x[0] for x in late], np.int64)
-        d, d2 = (np.array([x[j] for x in late], np.int64) for j in (1, 2))
-        o, x, a, b = merged_intervals(owner[e], text[e], pos[e] - d2, pos[e] - d)
+        o, x, a, b = pile.spans(late)
         each = [(n, d, xxh3_128_intdigest((k[LENGTH:-2][::-1] + k[:LENGTH])[BEFORE - d : BEFORE - d + LENGTH])) for n, k in open_ for d in range(int(near[n]), int(far[n]) + 1)]
         n, s = np.array([z[0] for z in each], np.int64), np.array([z[1] for z in each], np.int64)
         h1, h2 = (np.array([z[2] >> shift & (1 << 64) - 1 for z in each], np.uint64).view(np.int64) for shift in (0, 64))
@@ -482,18 +537,19 @@ def repeats(parts: DataFrame, cuts: list[bytes]) -> DataFrame:
     return save(parts.groupBy("part").applyInArrow(run, FOUND), "suffix-repeats")
 
 
-def intervals(table: DataFrame, found: DataFrame) -> DataFrame:
-    """(ord, text, a, b): all intervals of starts that repeat."""
+def intervals(tables: list[DataFrame], found: DataFrame) -> DataFrame:
+    """(ord, text, a, b): all intervals of starts that repeat, those that tables hold under n null and those found."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield _rows({c: (np.frombuffer(row[k], np.int64), pa.int64()) for c, k in (("ord", "ord"), ("text", "text"), ("a", "pos"), ("b", "near"))})
 
-    own = table.where("n is null").select("ord", "text", "pos", "near").mapInArrow(local, "ord bigint, text bigint, a bigint, b bigint")
+    told = reduce(DataFrame.unionByName, (t.where("n is null").select("ord", "text", "pos", "near") for t in tables))
+    own = told.mapInArrow(local, "ord bigint, text bigint, a bigint, b bigint")
     hashed = found.where("h1 is not null")
     least = hashed.groupBy("h1", "h2").agg(F.min(F.struct("ord", "a")).alias("least"))
-    later = dealt(hashed, least, ["h1", "h2"], "ord", "inner").where(F.struct("ord", "a") > F.col("least")).select("ord", "text", "a", "b")
+    later = dealt(hashed, least, ["h1", "h2"], "inner").where(F.struct("ord", "a") > F.col("least")).select("ord", "text", "a", "b")
     return own.unionByName(found.where("h1 is null").select("ord", "text", "a", "b")).unionByName(later)
 
 
@@ -550,9 +606,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     free(spark)
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cuts = splitters(table, max(1, -(-total // MERGE)))
-    found = repeats(split(table, cuts), cuts)
-    gone = save(intervals(table, found), "suffix-intervals")
-    drop(table)
+    pieces, tables = split(table, cuts), [table]
+    groups = -(-table.where("n is not null").count() // RUNS)
+    if groups > 1:
+        pieces = combined(pieces, groups)
+        tables.append(pieces)
+    found = repeats(pieces.where("n is not null"), cuts)
+    gone = save(intervals(tables, found), "suffix-intervals")
+    for done in tables:
+        drop(done)
     drop(found)
     free(spark)
     return kept(rows, gone)
