@@ -6,8 +6,9 @@ pack their largest item can beat, for as many copies at once as the counts allow
 longest first, again whole counts at a time. The outcome is a short list of bin patterns. Each piece finds its place
 from its rank among the pieces of its length, which is its rank in its task plus the tasks' counts before.
 
-Defined cases: a null text is an empty one, which is its end token alone; repeated rows are packed each; a null id is
-carried through; an empty table packs nothing.
+Defined cases: a null text is an empty one, which is its end token alone; a text of any length is encoded whole, by
+itself if it is long; repeated rows are packed each; a null id is carried through; other columns are not read; an empty
+table packs nothing.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ at most 65 fingerprints that are all near each other: it is held as one mask of
 documents. Each such set gives a star of links, which are deduplicated, verified, and joined into components.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero, which links like any other; a
-null id takes part but never names a component; rows that share a text share everything; an empty table gives no rows.
+null id takes part but never names a component; rows that share a text share everything; a text of any length is hashed
+whole, by itself if it is long; other columns, whatever their names, are not read or are carried along; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -47,7 +47,11 @@ def drop(df: DataFrame) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished jobs now, not at its next collection of garbage."""
+    """Let Spark remove the shuffle files of finished jobs now.
+
+    It does so when the driver's JVM collects what referred to them, and a driver that makes little garbage may not
+    collect any before disks are full; there is no other way to ask for it from Python.
+    """
     gc.collect()
     spark._jvm.System.gc()
 

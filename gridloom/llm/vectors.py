@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
-from .store import free, save
+from .store import drop, free, save
 
 COSINE = 0.9
 #: Leading axes of the grid and the boxes, and of the bounds of pairs; points in a leaf; partners in a tile.
@@ -290,6 +290,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     roots = components(found.where("b is not null").select("a", "b"))
     all_ = points.select("node", "k1", "k2", "n", "least").join(links, F.col("node") == F.col("a"), "left").drop("a").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").drop("at")
     named = save(all_.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"), "least"), "ego-named")
+    for done in (points, pairs, found):
+        drop(done)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = named.join(ids, "root").select("k1", "k2", "n_links", "component_id")
     out = rows.join(final, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, components, mixing, packing, pii, quality, rules, simhash, similar, store, suffixes, urls, vectors
+from gridloom.llm import chat, components, mixing, packing, pii, quality, rules, simhash, similar, skew, store, suffixes, urls, vectors
 from gridloom.llm.queries import ORACLES, QUERIES
 from gridloom.llm.tokens import encoder
 
@@ -58,6 +58,16 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_joins_of_hot_keys(spark, monkeypatch, how):
+    monkeypatch.setattr(skew, "HOT", 4)
+    left = spark.createDataFrame([(k, "a" if k % 2 else "z" if k % 3 else str(k)) for k in range(60)], "i long, k string")
+    right = spark.createDataFrame([("a", 1), *((str(k), k) for k in range(0, 60, 4))], "k string, v long")
+    got = skew.dealt(left, right, ["k"], how)
+    assert sorted(map(str, got.select("i", "k", "v").collect())) == sorted(map(str, left.join(right, "k", how).select("i", "k", "v").collect()))
+    assert skew.dealt(left.limit(0), right, ["k"], how).count() == 0
+
+
 def test_fresh_names():
     assert store.fresh(["A", "a_"], "a") == "a__"
 
@@ -81,6 +91,12 @@ def test_chat_long_conversation_in_parts(spark):
     assert "".join(r.text for r in got) == "".join(f"<|user|>\n{k}<|end|>\n" for k in range(600))
 
 
+def test_chat_whole_conversations_by_size(spark):
+    rows = [(1, k, "user", str(k)) for k in range(600)] + [(2, k, "user", str(k)) for k in range(599)]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 1000).collect()
+    assert [(r.conv_id, r.part, r.n_turns) for r in got] == [(1, 0, 600)] and got[0].text == "".join(f"<|user|>\n{k}<|end|>\n" for k in range(600))
+
+
 def test_chat_parts_are_bounded_when_turns_tie(spark):
     rows = [(None, None, "user", f"{k:04}") for k in range(520)]
     got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).orderBy("part").collect()
@@ -207,6 +223,13 @@ def test_suffixes(spark, monkeypatch, size):
     assert got == repeats(rows)
 
 
+def test_suffixes_merged_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RUNS", 3)
+    monkeypatch.setattr(suffixes, "SLICE", 3000)
+    rows = texts(5, 80) + [(200 + k, "passage " * 3 + "".join(map(str, range(60)))) for k in range(40)] + [(None, "ab" * 90)]
+    assert sorted(map(tuple, suffixes.deduplicated(docs(spark, rows)).collect()), key=repr) == repeats(rows)
+
+
 def test_suffixes_of_other_ids(spark):
     rows = [(f"{k:03}", t) for k, t in texts(11, 40)]
     df = spark.createDataFrame([*rows, (None, rows[3][1])], "doc_id string, text string")
@@ -420,6 +443,24 @@ def test_chunks_cover_whole_texts():
     assert np.allclose(one, np.maximum(half[:-1], half[1:]), atol=1e-4)
 
 
+def test_scores_against_loops():
+    net = quality.Network()
+    tables, p = net.tables(), net.p
+    r = np.random.default_rng(9)
+    for n in (0, 1, 5, 95, 96, 97, 200, 700):
+        data = bytes(r.integers(0, 256, n, dtype=np.uint8))
+        x = data + b" " * max(0, quality.WIDTH - n)
+        resp = np.array([sum(p["w"][k, x[i + k]] for k in range(quality.WIDTH)) for i in range(len(x) - quality.WIDTH + 1)])
+        halves = [resp[a : a + quality.HALF].max(axis=0) for a in range(0, len(resp), quality.HALF)]
+        chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+        hidden = []
+        for i, c in enumerate(chunks):
+            full = min(max(n - quality.HALF * i, 0), 2 * quality.HALF) / (2 * quality.HALF)
+            hidden.append(np.tanh(np.append(np.maximum(c + p["b"], 0), full) @ p["h"] + p["hb"]))
+        z = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)]) @ p["o"] + p["ob"][0]
+        assert net.score(data, tables) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
 # 7.
 
 
@@ -458,6 +499,40 @@ def test_rules(spark):
     assert rules.judged(df, labels.limit(0)).where("kept").count() == 130 and rules.judged(df.limit(0), labels).count() == 0
 
 
+def test_rules_grow_by_the_best_gain():
+    r = np.random.default_rng(12)
+    for _ in range(20):
+        values = r.integers(0, 6, (40, 3)).astype(float)
+        bad = (values[:, 1] >= 4) & (values[:, 0] < 3) ^ (r.random(40) < 0.05)
+        if not bad.any() or bad.all():
+            continue
+        name, sign, cut = rules._grow(["a", "b", "c"], values, bad, np.ones(40, bool))[0]
+        p, n = bad.sum(), (~bad).sum()
+
+        def gain(on, p=p, n=n, bad=bad):
+            p1, n1 = (on & bad).sum(), (on & ~bad).sum()
+            return p1 * (math.log2(p1 / (p1 + n1)) - math.log2(p / (p + n))) if p1 else 0.0
+
+        x = values[:, "abc".index(name)]
+        best = max(gain(on) for k in range(3) for c in np.arange(-0.5, 7) for on in (values[:, k] >= c, values[:, k] < c))
+        assert gain(x >= cut if sign == ">=" else x < cut) == pytest.approx(best)
+
+
+def test_rules_are_precise_and_ordered():
+    r = np.random.default_rng(13)
+    values = r.random((600, 2))
+    bad = (values[:, 0] > 0.8) | (values[:, 1] < 0.1)
+    found = rules.learn(["a", "b"], values, bad)
+    left = np.ones(600, bool)
+    assert len(found) >= 2
+    for rule in found:
+        on = left & rules._covers(rule, ["a", "b"], values)
+        assert on.sum() >= rules.COVER and bad[on].mean() >= rules.PRECISION
+        left &= ~on
+    assert bad[left].mean() < 0.05
+    assert rules.learn(["a"], r.random((50, 1)), np.zeros(50, bool)) == []
+
+
 # 8.
 
 
@@ -727,3 +802,25 @@ def test_pipeline(spark):
     assert ids(at["mixing"]) == +Counter(taken)
     out = p.run(spark, SMALL)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and ids(out.where("piece = 0")) == ids(at["mixing"])
+
+
+def test_pipeline_on_odd_rows_and_none(spark, tmp_path):
+    import corpus_pipeline as p
+
+    words = [f"w{k}" for k in range(80)]
+    more = [(50, " ".join(words)), (51, " ".join([*words, "end"])), (None, " ".join(words[::-1])), (52, None), (53, "mail a@b.example.org " + " ".join(f"x{k}" for k in range(70)), None), (53, " ".join(f"y{k}" for k in range(70))), (54, " ".join(f"z{k}" for k in range(40_000)), "t")]
+    for name, rows, labels in (("odd", ODD + more, [(50, 1), (None, 0), (999, 0), (1, None)]), ("none", [], [])):
+        folder = tmp_path / name
+        docs(spark, rows).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        now = spark.read.parquet(str(folder / "documents.parquet"))
+        columns = now.columns
+        for k, (stage, f) in enumerate(p.STAGES):
+            now = store.save(f(spark, now, str(folder)), stage)
+            assert k == len(p.STAGES) - 1 or now.columns == columns
+            if stage == "simhash" and rows:
+                assert Counter(r.doc_id for r in now.collect()) == {50: 1, None: 1, 53: 2, 54: 1}
+            if stage == "pii" and rows:
+                assert any((r.text or "").startswith("mail [EMAIL] ") and r.n_chars == len(r.text) for r in now.collect())
+        assert (now.count() > 0) == bool(rows)
+        assert sorted(map(str, p.run(spark, str(folder)).select("doc_id", "piece").collect())) == sorted(map(str, now.select("doc_id", "piece").collect()))
