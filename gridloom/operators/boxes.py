@@ -51,31 +51,57 @@ def area(corners: Column) -> Column:
     return F.abs(F.aggregate(F.zip_with(corners, nxt, lambda p, q: p["x"] * q["y"] - p["y"] * q["x"]), F.lit(0.0), lambda s, t: s + t)) / 2
 
 
-def bounds(corners: Column) -> dict[str, Column]:
-    pick = lambda f, k: f(F.transform(corners, lambda p: p[k]))
-    return {"x0": pick(F.array_min, "x"), "x1": pick(F.array_max, "x"), "y0": pick(F.array_min, "y"), "y1": pick(F.array_max, "y")}
-
-
 #: The side of a cell of the grid that pairs are looked for in.
 CELL = 128.0
 
 
-def pairs(dets: DataFrame, cell: float = CELL) -> DataFrame:
-    """(image_id, cls, i, j, ci, cj): boxes of one image and class whose bounds overlap; i goes first by confidence, then id.
+#: What makes a box, for the kernel of overlaps.
+SHAPE = ("cx", "cy", "width", "height", "angle")
+
+
+def pairs(dets: DataFrame, cell: float = CELL, over: float | None = None) -> DataFrame:
+    """(image_id, cls, i, j, and the shapes of both as a_ and b_ columns): boxes of one image and class whose bounds overlap; i goes first by confidence, then id.
 
     Boxes are laid out over the grid cells that their bounds touch, and cells are joined; a pair is taken only in the
-    cell that holds the corner where both bounds begin, so no pair is found twice.
+    cell that holds the corner where both bounds begin, so no pair is found twice. With over, pairs are left out that
+    can't overlap by more than that: the overlap is in both bounds' overlap and in the smaller box.
     """
-    boxes = with_corners(dets).withColumns(bounds(F.col("corners")))
+    corners = corner_columns()
+    edge = lambda f, k: f(*(c[k] for c in corners))
+    boxes = dets.select("image_id", "cls", "det_id", "confidence", *SHAPE, edge(F.least, 0).alias("x0"), edge(F.greatest, 0).alias("x1"), edge(F.least, 1).alias("y0"), edge(F.greatest, 1).alias("y1"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     laid = boxes.select("*", F.explode(span("x0", "x1")).alias("gx")).select("*", F.explode(span("y0", "y1")).alias("gy"))
-    keep = ["det_id", "confidence", "corners", "x0", "x1", "y0", "y1"]
+    keep = ["det_id", "confidence", *SHAPE, "x0", "x1", "y0", "y1"]
     side = lambda p: laid.select("image_id", "cls", "gx", "gy", *(F.col(c).alias(p + c) for c in keep))
     both = side("a_").join(side("b_"), ["image_id", "cls", "gx", "gy"])
     first = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_det_id") < F.col("b_det_id")))
     meet = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
     once = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("gx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("gy"))
-    return both.where(first & meet & once).select("image_id", "cls", F.col("a_det_id").alias("i"), F.col("b_det_id").alias("j"), F.col("a_corners").alias("ci"), F.col("b_corners").alias("cj"))
+    found = both.where(first & meet & once)
+    if over is not None:
+        size = lambda p: F.abs(F.col(p + "width") * F.col(p + "height"))
+        long = lambda k: F.least(f"a_{k}1", f"b_{k}1") - F.greatest(f"a_{k}0", f"b_{k}0")
+        most = F.least(long("x") * long("y"), size("a_"), size("b_"))
+        found = found.where(most * (1 + over) >= (size("a_") + size("b_")) * over * (1 - 1e-9))
+    return found.select("image_id", "cls", F.col("a_det_id").alias("i"), F.col("b_det_id").alias("j"), *(p + c for p in ("a_", "b_") for c in SHAPE))
+
+
+def rings(cx: np.ndarray, cy: np.ndarray, width: np.ndarray, height: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """(n, 4, 2): the corners, as corner_columns() has them."""
+    c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+    dx, dy = width[:, None] * np.array([-0.5, 0.5, 0.5, -0.5]), height[:, None] * np.array([-0.5, -0.5, 0.5, 0.5])
+    return np.stack([cx[:, None] + dx * c - dy * s, cy[:, None] + dx * s + dy * c], axis=-1)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rectangles (n, 4, 2) an edge of one of them parts."""
+    out = np.zeros(len(a), bool)
+    for own in (a, b):
+        for k in (1, 3):
+            axis = own[:, k] - own[:, 0]
+            p, q = ((r * axis[:, None]).sum(axis=2) for r in (a, b))
+            out |= (p.max(axis=1) < q.min(axis=1)) | (q.max(axis=1) < p.min(axis=1))
+    return out
 
 
 def overlap_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,23 +134,21 @@ def ring_areas(a: np.ndarray) -> np.ndarray:
 
 
 def with_iou(found: DataFrame) -> DataFrame:
-    """pairs() with inter and iou in place of the corners, whole batches at a time."""
+    """pairs() with inter and iou in place of the shapes, whole batches at a time."""
     keep = ["image_id", "cls", "i", "j"]
 
-    def rings(column: pa.Array) -> np.ndarray:
-        flat = column.flatten()
-        return np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in "xy"], axis=-1).reshape(-1, 4, 2)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = rings(batch.column("ci")), rings(batch.column("cj"))
-            inter = overlap_areas(a, b)
+            a, b = (rings(*(batch.column(p + c).to_numpy(zero_copy_only=False).astype(float) for c in SHAPE)) for p in ("a_", "b_"))
+            inter = np.zeros(len(a))
+            near = np.flatnonzero(~apart(a, b))
+            inter[near] = overlap_areas(a[near], b[near])
             union = ring_areas(a) + ring_areas(b) - inter
             iou = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(inter), pa.array(iou)], names=[*keep, "inter", "iou"])
 
     kinds = ", ".join(f"{k} {found.schema[k].dataType.simpleString()}" for k in keep)
-    return found.select(*keep, "ci", "cj").mapInArrow(run, kinds + ", inter double, iou double")
+    return found.mapInArrow(run, kinds + ", inter double, iou double")
 
 
 def with_checkpoints(spark: SparkSession) -> None:
@@ -162,7 +186,7 @@ def suppressed(dets: DataFrame, over: DataFrame, rounds: int = 64) -> DataFrame:
 
 def nms(dets: DataFrame, iou: float = GLOBAL_IOU) -> DataFrame:
     """Greedy suppression by class; det_id must be unique."""
-    return suppressed(dets, with_iou(pairs(dets)).where(F.col("iou") > iou))
+    return suppressed(dets, with_iou(pairs(dets, over=iou)).where(F.col("iou") > iou))
 
 
 def nms_small(dets: DataFrame, over: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol
 
@@ -11,25 +11,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import DetectionFailed
-from ..params import BATCH, Detect
+from ..params import BATCH, TILE_IOU, Detect
 from . import boxes, tiles
 
 
 class Detector(Protocol):
-    """Takes (n, 3, tile, tile) of uint8 and gives for each tile rows (cls, confidence, cx, cy, width, height, angle)."""
+    """Takes (n, 3, tile, tile) of uint8 and gives for each tile rows (cls, cx, cy, width, height, angle, confidence); the angle may be left out."""
 
     def __call__(self, batch: np.ndarray) -> list[list[tuple]]: ...
 
 
+#: Makes a detector from the least confidence and the most overlap of boxes of one tile.
+Factory = Callable[[float, float], Detector]
+
+
 @lru_cache(maxsize=1)
-def _loaded(factory: Callable[[], Detector], tile: int) -> Detector:
+def _loaded(factory: Factory, tile: int, confidence: float, iou: float) -> Detector:
     """One detector for each worker process, warmed up once."""
-    model = factory()
+    model = factory(confidence, iou)
     model(np.zeros((1, 3, tile, tile), np.uint8))
     return model
 
 
-def parsed(row: list[float]) -> tuple[float, ...]:
+def parsed(row: Sequence[float]) -> tuple[float, ...]:
     """cx, cy, width, height, angle, confidence of a raw row; short rows hold the confidence in place of the angle."""
     return (*row[:5], row[5]) if len(row) > 5 else (*row[:4], 0.0, row[4])
 
@@ -37,13 +41,13 @@ def parsed(row: list[float]) -> tuple[float, ...]:
 DETECTIONS = "image_id {kind}, tile_id int, k int, cls int, confidence double, cx double, cy double, width double, height double, angle double, col_off int, row_off int"
 
 
-def detected(windows: DataFrame, factory: Callable[[], Detector], p: Detect = Detect()) -> DataFrame:  # noqa: B008
+def detected(windows: DataFrame, factory: Factory, p: Detect = Detect()) -> DataFrame:  # noqa: B008
     """windows (image_id, tile_id, row_off, col_off, data of 3 x tile x tile) -> detections in tile coordinates, BATCH windows at a time."""
     kind = windows.schema["image_id"].dataType.simpleString()
     tile, names = p.tile, [f.split(" ")[0] for f in DETECTIONS.format(kind=kind).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(factory, tile)
+        model = _loaded(factory, tile, p.confidence, TILE_IOU)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -51,7 +55,8 @@ def detected(windows: DataFrame, factory: Callable[[], Detector], p: Detect = De
                 data = np.stack([np.frombuffer(x, np.uint8).reshape(3, tile, tile) for x in part.column("data").to_pylist()])
                 found = model(data)
                 src = [i for i, f in enumerate(found) for _ in f or ()]
-                out = [(rows[i]["tile_id"], k, int(d[0]), *map(float, d[1:7]), rows[i]["col_off"], rows[i]["row_off"]) for i, f in enumerate(found) for k, d in enumerate(f or ())]
+                each = [(i, k, int(d[0]), parsed(d[1:])) for i, f in enumerate(found) for k, d in enumerate(f or ())]
+                out = [(rows[i]["tile_id"], k, cls, float(d[5]), *map(float, d[:5]), rows[i]["col_off"], rows[i]["row_off"]) for i, k, cls, d in each]
                 types = [pa.int32()] * 3 + [pa.float64()] * 6 + [pa.int32()] * 2
                 cols = zip(*out, strict=True) if out else [()] * len(types)
                 yield pa.RecordBatch.from_arrays([part.column("image_id").take(pa.array(src, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
@@ -59,7 +64,7 @@ def detected(windows: DataFrame, factory: Callable[[], Detector], p: Detect = De
     return windows.select("image_id", "tile_id", "row_off", "col_off", "data").mapInArrow(run, DETECTIONS.format(kind=kind))
 
 
-def detect(windows: DataFrame, factory: Callable[[], Detector], p: Detect = Detect()) -> DataFrame:  # noqa: B008
+def detect(windows: DataFrame, factory: Factory, p: Detect = Detect()) -> DataFrame:  # noqa: B008
     """All steps: detection, classes and confidence, image coordinates, suppression."""
     if factory is None:
         raise DetectionFailed("no detector")

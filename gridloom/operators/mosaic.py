@@ -76,11 +76,15 @@ def whole_shift(d: Column, other: Column) -> Column:
     return F.when((F.abs(d) > 0.5) | (F.abs(other) > 0.5), F.rint(d)).otherwise(0).cast("int")
 
 
+def _touch(a: dict, b: dict) -> bool:
+    return all(a[o] < b[o] + b[n] and b[o] < a[o] + a[n] for o, n in (("row_off", "height"), ("col_off", "width")))
+
+
 def mosaic(pixels: DataFrame, scenes: DataFrame, bands: list[str], register: bool = True) -> DataFrame:
     """The whole mosaic. With register, each image in order of priority is shifted onto those before it.
 
-    Each shift depends on the ones before, so the driver goes from image to image; a step reads the overlap only, and
-    what it keeps is two numbers. The pixels are laid in one pass at the end.
+    Each shift depends on the ones before, so the driver goes from image to image; a step reads the images that overlap
+    this one, and what it keeps is two numbers. The pixels are laid in one pass at the end.
     """
     from .registration import overlap_shift
 
@@ -92,9 +96,10 @@ def mosaic(pixels: DataFrame, scenes: DataFrame, bands: list[str], register: boo
         spark = pixels.sparkSession
         for r in rows:
             now = r.asDict()
-            if done:
-                before = spark.createDataFrame(done, placed.schema)
-                d_row, d_col = overlap_shift(pixels, before, now, bands)
+            under = [d for d in done if _touch(d, now)]
+            if under:
+                some = pixels.where(F.col("image_id").isin([d["image_id"] for d in [*under, now]]))
+                d_row, d_col = overlap_shift(some, spark.createDataFrame(under, placed.schema), now, bands)
                 now["row_off"] += d_row
                 now["col_off"] += d_col
             done.append(now)

@@ -70,14 +70,23 @@ def ground_grid(spark: SparkSession, west: float, north: float, res: float, heig
     return grid.select("y", "x", lon.alias("lon"), lat.alias("lat"))
 
 
+def heights(grid: DataFrame, dem: DataFrame, h: float) -> DataFrame:
+    """grid (y, x, lon, lat) with h: bilinear between the middles of the cells of dem (lon_cell, lat_cell, h, res), the given height beyond them."""
+    box = dem.agg(F.min("lat_cell").alias("y0"), F.max("lat_cell").alias("y1"), F.min("lon_cell").alias("x0"), F.max("lon_cell").alias("x1"), F.first("res").alias("res")).first()
+    if box.res is None:
+        return grid.withColumn("h", F.lit(float(h)))
+    rows, cols = box.y1 - box.y0 + 1, box.x1 - box.x0 + 1
+    cells = dem.select((F.col("lat_cell") - box.y0).alias("y"), (F.col("lon_cell") - box.x0).alias("x"), "h")
+    places = grid.select("y", "x", (F.col("lat") / box.res - 0.5 - box.y0).alias("sy"), (F.col("lon") / box.res - 0.5 - box.x0).alias("sx"))
+    inside = places.where(F.col("sy").between(-0.5, rows - 0.5) & F.col("sx").between(-0.5, cols - 0.5))
+    return grid.join(sampled(inside, cells, rows, cols, ("h",)), ["y", "x"], "left").withColumn("h", F.coalesce("h", F.lit(float(h))))
+
+
 def looked_up(grid: DataFrame, rpc: DataFrame, h: float = 0.0, dem: DataFrame | None = None) -> DataFrame:
-    """The grid with sy, sx: where each place is in the image. rpc has one row; dem (lon_cell, lat_cell, h) is joined by cells of its res."""
+    """The grid with sy, sx: where each place is in the image. rpc has one row; dem (lon_cell, lat_cell, h, res) is in degrees."""
     model = rpc.select(F.struct(*rpc.columns).alias("rpc"))
-    at = grid.crossJoin(F.broadcast(model)).withColumn("h", F.lit(float(h)))  # one row
-    if dem is not None:
-        res = dem.select("res").first()[0]
-        cells = dem.select(F.col("lon_cell"), F.col("lat_cell"), F.col("h").alias("dem_h"))
-        at = at.withColumns({"lon_cell": F.floor(F.col("lon") / res), "lat_cell": F.floor(F.col("lat") / res)}).join(cells, ["lon_cell", "lat_cell"], "left").withColumn("h", F.coalesce("dem_h", "h"))
+    high = grid.withColumn("h", F.lit(float(h))) if dem is None else heights(grid, dem, h)
+    at = high.crossJoin(F.broadcast(model))  # one row
     line, samp = geodesy.image_point(F.col("rpc"), F.col("lon"), F.col("lat"), F.col("h"))
     return at.select("y", "x", "lon", "lat", line.alias("sy"), samp.alias("sx"))
 

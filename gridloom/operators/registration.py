@@ -64,24 +64,25 @@ def shifts(patches: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def overlap_shift(pixels: DataFrame, before: DataFrame, now: dict, bands: list[str]) -> tuple[int, int]:
-    """By how many whole pixels image now is to be moved onto the overlay of the images before it."""
-    from .mosaic import overlay
+    """By how many whole pixels image now is to be moved onto the overlay of the images before it that it overlaps."""
+    from .mosaic import overlay, reliable, whole_shift
 
     filled = overlay(pixels, before, bands)
     y0, x0 = max(0, now["row_off"]), max(0, now["col_off"])
     y1, x1 = min(now["grid_height"], now["row_off"] + now["height"]), min(now["grid_width"], now["col_off"] + now["width"])
     inside = filled.where(F.col("y").between(y0, y1 - 1) & F.col("x").between(x0, x1 - 1))
     box = inside.agg(F.min("y").alias("a"), F.max("y").alias("b"), F.min("x").alias("c"), F.max("x").alias("d")).first()
-    if box.a is None or box.b - box.a + 1 < MIN_OVERLAP or box.d - box.c + 1 < MIN_OVERLAP:
+    if box.a is None:
         return 0, 0
     h, w = box.b - box.a + 1, box.d - box.c + 1
     at = lambda df, side, y, x: df.select(F.lit(0).alias("pair_id"), F.lit(side).alias("side"), (y - box.a).alias("py"), (x - box.c).alias("px"), F.lit(h).alias("height"), F.lit(w).alias("width"), *bands).where(f"py between 0 and {h - 1} and px between 0 and {w - 1}")
     own = pixels.where(F.col("image_id") == now["image_id"])
     both = at(inside, "ref", F.col("y"), F.col("x")).unionByName(at(own, "src", F.col("y") + now["row_off"], F.col("x") + now["col_off"]))
-    r = shifts(both, bands).first()
-    if r.response < MIN_RESPONSE or np.hypot(r.d_row, r.d_col) > MAX_SHIFT or (abs(r.d_row) <= 0.5 and abs(r.d_col) <= 0.5):
+    d_row, d_col = F.col("d_row"), F.col("d_col")
+    if max(h, w) < MIN_OVERLAP:
         return 0, 0
-    return round(r.d_row), round(r.d_col)
+    r = shifts(both, bands).select(reliable(F.lit(h), F.lit(w), F.col("response"), d_row, d_col).alias("ok"), whole_shift(d_row, d_col).alias("row"), whole_shift(d_col, d_row).alias("col")).first()
+    return (r.row, r.col) if r.ok else (0, 0)
 
 
 def block_size(height: int, width: int) -> int:

@@ -49,13 +49,14 @@ def enhance(df: DataFrame, p: Enhance = Enhance(), dtype: str = "uint8", rescale
     return denormalised(normalised(df, dtype).withColumns(dict(zip(BANDS, rgb, strict=True))), dtype, rescale)
 
 
-def blurred(df: DataFrame, col: str) -> DataFrame:
-    """A 3 x 3 binomial blur, rows first; at an edge the neighbour inside stands for that outside."""
+def blurred(df: DataFrame, *cols: str) -> DataFrame:
+    """A 3 x 3 binomial blur of all cols in one pass, rows first; at an edge the neighbour inside stands for that outside."""
     for across, along in (("y", "x"), ("x", "y")):
         w = Window.partitionBy("image_id", across).orderBy(along)
-        before, after = F.lag(col).over(w), F.lead(col).over(w)
-        df = df.withColumn("_b", F.coalesce(before, after, F.col(col))).withColumn("_a", F.coalesce(after, before, F.col(col)))
-        df = df.withColumn(col, (F.col("_b") + 2 * F.col(col) + F.col("_a")) / 4).drop("_b", "_a")
+        sides = {f"_{k}_{c}": f(c).over(w) for c in cols for k, f in (("b", F.lag), ("a", F.lead))}
+        df = df.withColumns(sides)
+        side = lambda c, k, other: F.coalesce(f"_{k}_{c}", f"_{other}_{c}", c)
+        df = df.withColumns({c: (side(c, "b", "a") + 2 * F.col(c) + side(c, "a", "b")) / 4 for c in cols}).drop(*sides)
     return df
 
 
@@ -92,7 +93,7 @@ def masks(df: DataFrame) -> DataFrame:
     hsv = df.withColumns({"h": h, "s": s, "v": v})
     cut = vegetation(df).select("image_id", "threshold")
     hard = hsv.join(cut, "image_id").withColumns({"water": tone.is_water(*map(F.col, ("r", "g", "b", "s", "v"))).cast("double"), "vegetation": (tone.gli(*map(F.col, BANDS)) > F.col("threshold")).cast("double")})
-    return blurred(blurred(hard.drop("threshold"), "water"), "vegetation")
+    return blurred(hard.drop("threshold"), "water", "vegetation")
 
 
 def tone_v1(df: DataFrame, brightness: float, contrast: float, saturation: float) -> DataFrame:

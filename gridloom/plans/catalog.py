@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geodesy, tone
 from ..operators import boxes, field, mosaic, ortho, registration, tiles, tone as tones
-from ..params import Enhance, EnhanceRegions
+from ..params import MIN_RESPONSE, Enhance, EnhanceRegions
 from ..sources import files, geojson, rpc, tables
 from . import sqltext as q
 
@@ -341,6 +341,18 @@ def _(spark, sf):
     return out.select("image_id", F.col("id").cast("long").alias("id"), "properties.*", F.size("ring").alias("points"))
 
 
+_ring = "[" + ", ".join(f"({sx}e0, {sy}e0)" for sx, sy in ((-0.5, 0.5), (0.5, 0.5), (0.5, -0.5), (-0.5, -0.5), (-0.5, 0.5))) + "]"
+_ring_x = "110e0 + 0.5e0 * (cx + width * k[1] * cos(angle) - height * k[2] * sin(angle) + 0.5e0)"
+_ring_y = "40e0 + -0.5e0 * (cy + width * k[1] * sin(angle) + height * k[2] * cos(angle) + 0.5e0)"
+
+
+@register("geojson_rings", f"""SELECT image_id, id, p, round({_ring_x}, 6) AS lon, round({_ring_y}, 6) AS lat
+  FROM (SELECT *, unnest({_ring}) AS k, unnest(range(0, 5)) AS p FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, det_id) - 1 AS id FROM {_kept}))""")
+def _(spark, sf):
+    out = boxes.features(_filtered(spark, sf), _geo, "a.tif")
+    return out.select("image_id", F.col("id").cast("long").alias("id"), F.posexplode("ring").alias("p", "at")).select("image_id", "id", F.col("p").cast("long").alias("p"), F.round(F.col("at")[0], 6).alias("lon"), F.round(F.col("at")[1], 6).alias("lat"))
+
+
 # Mosaics.
 
 _scene_px = f"(SELECT image_id, CAST(y AS INTEGER) AS y, CAST(unnest(range(0, width)) AS INTEGER) AS x FROM (SELECT image_id, width, unnest(range(0, height)) AS y FROM ({tables.SCENES})))"
@@ -398,38 +410,73 @@ def _(spark, sf):
     return e.select("event_id", mosaic.whole_shift(F.col("dr"), F.col("dc")).alias("d_row"), mosaic.whole_shift(F.col("dc"), F.col("dr")).alias("d_col"))
 
 
-# Registration: transforms are beyond SQL.
+# Registration. Transforms are beyond SQL, but what they must find is known: by how much the pixels were moved.
+
+MOVED = (-1, 2)
 
 
 def _moved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int, int]:
     px = tables.pixels(spark, sf).select("y", "x", "r", "g", "b")
     height = px.agg(F.max("y") + 1).first()[0]
-    return px, px.select((F.col("y") + 1).alias("y"), (F.col("x") - 2).alias("x"), "r", "g", "b").where(f"y < {height} and x >= 0"), height, 100
+    return px, px.select((F.col("y") - MOVED[0]).alias("y"), (F.col("x") - MOVED[1]).alias("x"), "r", "g", "b").where(f"y < {height} and x >= 0"), height, 100
+
+
+def _whole(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.rint("d_row").cast("int").alias("d_row"), F.rint("d_col").cast("int").alias("d_col"), (F.col("response") >= MIN_RESPONSE).alias("sure"))
 
 
-@register("phase_shift")
+@register("phase_shift", f"SELECT CAST({MOVED[0]} AS INTEGER) AS d_row, CAST({MOVED[1]} AS INTEGER) AS d_col, true AS sure")
 def _(spark, sf):
     ref, src, h, w = _moved(spark, sf)
     side = lambda df, s: df.select(F.lit(0).alias("pair_id"), F.lit(s).alias("side"), F.col("y").alias("py"), F.col("x").alias("px"), F.lit(h).alias("height"), F.lit(w).alias("width"), "r", "g", "b")
-    return registration.shifts(side(ref, "ref").unionByName(side(src, "src")), ["r", "g", "b"])
+    return _whole(registration.shifts(side(ref, "ref").unionByName(side(src, "src")), ["r", "g", "b"]))
 
 
-@register("block_shifts")
+_side = f"(SELECT h, greatest(least(64, h // 2, 50), 32) AS n FROM (SELECT {q.tall()} AS h))"
+
+
+@register("block_shifts", f"""SELECT CAST(y + n // 2 AS INTEGER) AS y, CAST(x + n // 2 AS INTEGER) AS x, CAST({MOVED[0]} AS INTEGER) AS d_row, CAST({MOVED[1]} AS INTEGER) AS d_col, true AS sure
+  FROM (SELECT h, n, unnest(range(0, CAST(h - n + 1 AS BIGINT), n // 2)) AS y FROM {_side} WHERE h >= n) CROSS JOIN (SELECT unnest(range(0, CAST(100 - n + 1 AS BIGINT), n // 2)) AS x FROM {_side})""")
 def _(spark, sf):
     ref, src, h, w = _moved(spark, sf)
-    return registration.block_shifts(ref, src, h, w, ["r", "g", "b"])
+    return _whole(registration.block_shifts(ref, src, h, w, ["r", "g", "b"]), "y", "x")
 
 
-@register("block_median")
+@register("block_median", f"SELECT CAST(CASE WHEN h >= n THEN {MOVED[0]} ELSE 0 END AS INTEGER) AS d_row, CAST(CASE WHEN h >= n THEN {MOVED[1]} ELSE 0 END AS INTEGER) AS d_col, h >= n AS sure FROM {_side}")
 def _(spark, sf):
     ref, src, h, w = _moved(spark, sf)
-    return registration.median_shift(registration.block_shifts(ref, src, h, w, ["r", "g", "b"]))
+    return _whole(registration.median_shift(registration.block_shifts(ref, src, h, w, ["r", "g", "b"])))
+
 
+#: The warp lands within this of the pixel it should be, as a shift is found to hundredths of a pixel.
+NEAR = 24
 
-@register("block_warp")
+
+@register("block_warp", f"""SELECT p.y, p.x, CASE WHEN h < n THEN abs(s.r - p.r) <= {NEAR} ELSE true END AS near
+  FROM ({tables.PIXELS}) p JOIN ({tables.PIXELS}) s ON s.y = p.y + {MOVED[0]} AND s.x = p.x + {MOVED[1]} CROSS JOIN {_side} WHERE p.y BETWEEN 4 AND h - 5 AND p.x BETWEEN 4 AND 95""")
 def _(spark, sf):
     ref, src, h, w = _moved(spark, sf)
-    return field.block_warp(ref, src, h, w, ["r", "g", "b"])[0]
+    out = field.block_warp(ref, src, h, w, ["r", "g", "b"])[0].select("y", "x", F.col("r").alias("w"))
+    inside = ref.where(F.col("y").between(4, h - 5) & F.col("x").between(4, w - 5))
+    return inside.join(out, ["y", "x"]).select("y", "x", (F.abs(F.col("w") - F.col("r")) <= NEAR).alias("near"))
+
+
+#: Two scenes of one ground: the second is laid 10 places off the first and shows what is SLIPPED places further.
+GROUND, SCENE, SLIPPED = 170, 160, (3, -5)
+_ground_px = f"(SELECT CAST(k // {GROUND} AS INTEGER) AS y, CAST(k % {GROUND} AS INTEGER) AS x, CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS INTEGER) AS v FROM range(0, {GROUND * GROUND}) g(k) JOIN orders ON o_orderkey = k % (SELECT count(*) FROM orders))"
+
+
+@register("mosaic_registered", f"""SELECT y, x, CASE WHEN (y < {SCENE} AND x < {SCENE}) OR (y >= {10 + SLIPPED[0]} AND x BETWEEN {10 + SLIPPED[1]} AND {9 + SLIPPED[1] + SCENE}) THEN v ELSE 0 END AS v FROM {_ground_px}""")
+def _(spark, sf):
+    o = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.pmod(F.floor("o_totalprice"), F.lit(256)).cast("int").alias("v"))
+    n = o.count()
+    at = lambda dy, dx, size: spark.range(size * size).select((F.col("id") / size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x")).withColumn("k", F.pmod((F.col("y") + dy) * GROUND + F.col("x") + dx, F.lit(n)))
+    first = at(0, 0, SCENE).withColumn("image_id", F.lit("a"))
+    second = at(10 + SLIPPED[0], 10 + SLIPPED[1], SCENE).withColumn("image_id", F.lit("b"))
+    px = first.unionByName(second).join(o, "k").select("image_id", "y", "x", "v")
+    places = [("a", "a", 0, 0.0, float(GROUND)), ("b", "b", 1, 10.0, float(GROUND - 10))]
+    scenes = spark.createDataFrame([(*p, 1.0, SCENE, SCENE, "EPSG:4490") for p in places], "image_id string, path string, priority int, west double, north double, res double, width int, height int, crs string")
+    return mosaic.mosaic(px, scenes, ["v"])
 
 
 # Fields.
@@ -454,7 +501,7 @@ register("idw_field", f"SELECT * FROM {_idw(6)}")(lambda spark, sf: _round(field
 @register("idw_many", f"SELECT 1 AS image_id, * FROM {_idw(6)}")
 def _(spark, sf):
     at = spark.range(25).select(F.lit(1).alias("image_id"), F.col("id").cast("int").alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("j")).withColumns({"gy": field.node_at(F.col("i"), 25, 100), "gx": field.node_at(F.col("j"), 20, 80)})
-    return _round(field.ranked_idw(_control(spark, sf).withColumn("image_id", F.lit(1)), at, ("dx", "dy")), ("dx", "dy"), 6)
+    return _round(field.interpolated(at, _control(spark, sf).withColumn("image_id", F.lit(1)), ("dx", "dy"), ("image_id",)), ("dx", "dy"), 6)
 
 
 _coarse = "(SELECT CAST(i AS INTEGER) AS y, CAST(j AS INTEGER) AS x, CAST((i * 7 + j * 3) % 11 AS DOUBLE) AS v FROM range(0, 10) a(i) CROSS JOIN range(0, 8) b(j))"
@@ -466,7 +513,7 @@ def _(spark, sf):
     return _round(field.resized(coarse, (10, 8), 40, 32, ("v",)), ("v",), 6)
 
 
-_tall = f"(SELECT max(y) + 1 FROM ({tables.PIXELS}))"
+_tall = q.tall()
 
 
 def _height(spark: SparkSession, sf: str) -> int:
@@ -527,17 +574,19 @@ def _(spark, sf):
 _MODEL = {"height_off": 10.0, "height_scale": 500.0, "lat_off": 30.0, "lat_scale": 0.5, "long_off": 114.0, "long_scale": 0.5, "line_off": 60.0, "line_scale": 60.0, "samp_off": 50.0, "samp_scale": 50.0, "line_num_coeff": [0.01, 0.02, -1.0, 0.03] + [0.001 * i for i in range(16)], "line_den_coeff": [1.0, 0.001, 0.002, 0.0] + [0.0001] * 16, "samp_num_coeff": [0.0, 1.0, 0.02, 0.01] + [-0.001 * i for i in range(16)], "samp_den_coeff": [1.0, 0.0, 0.001, 0.002] + [0.0001] * 16}
 
 
-def _model(spark: SparkSession) -> DataFrame:
-    kinds = ", ".join(f"{k} {'array<double>' if isinstance(v, list) else 'double'}" for k, v in _MODEL.items())
-    return spark.createDataFrame([tuple(_MODEL.values())], kinds)
+def _model(spark: SparkSession, lines: int = 120) -> DataFrame:
+    """The model of an image of so many lines."""
+    model = _MODEL | {"line_off": lines / 2.0, "line_scale": lines / 2.0}
+    kinds = ", ".join(f"{k} {'array<double>' if isinstance(v, list) else 'double'}" for k, v in model.items())
+    return spark.createDataFrame([tuple(model.values())], kinds)
 
 
 def _polynomial(name: str) -> str:
     return "(" + " + ".join(f"{q.num(c)} * {t}" for c, t in zip(_MODEL[name], q.terms("p", "l", "h"), strict=True)) + ")"
 
 
-def _image_point(source: str, keep: str) -> str:
-    m = {k: q.num(v) for k, v in _MODEL.items() if not isinstance(v, list)}
+def _image_point(source: str, keep: str, lines: str = "120e0") -> str:
+    m = {k: q.num(v) for k, v in _MODEL.items() if not isinstance(v, list)} | {"line_off": f"({lines} / 2e0)", "line_scale": f"({lines} / 2e0)"}
     at = f"(SELECT *, (lat - {m['lat_off']}) / {m['lat_scale']} AS p, (lon - {m['long_off']}) / {m['long_scale']} AS l, (hh - {m['height_off']}) / {m['height_scale']} AS h FROM {source})"
     return f"(SELECT {keep}, {_polynomial('line_num_coeff')} / {_polynomial('line_den_coeff')} * {m['line_scale']} + {m['line_off']} AS sy, {_polynomial('samp_num_coeff')} / {_polynomial('samp_den_coeff')} * {m['samp_scale']} + {m['samp_off']} AS sx FROM {at})"
 
@@ -583,13 +632,16 @@ def _(spark, sf):
     return _forward(spark, sf).select("p_partkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
 
 
-_ground = _image_point("(SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, 113.6e0 + (x + 0.5e0) * 0.01e0 AS lon, 30.4e0 - (y + 0.5e0) * 0.01e0 AS lat, 10e0 AS hh FROM range(0, 80) a(y) CROSS JOIN range(0, 80) b(x))", "y, x")
+#: The ground under the whole image: a row of the grid for each line, 1.1 degrees in all.
+_ground = _image_point(f"(SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, 114e0 - 50e0 * res + (x + 0.5e0) * res AS lon, 30.55e0 - (y + 0.5e0) * res AS lat, 10e0 AS hh FROM (SELECT 1.1e0 / {_tall} AS res, unnest(range(0, CAST({_tall} AS BIGINT))) AS y) a CROSS JOIN range(0, 100) b(x))", "y, x", _tall)
 _inside = f"(SELECT * FROM {_ground} WHERE sy >= 0 AND sx >= 0 AND sy <= {_tall} - 1 AND sx <= 99)"
 
 
 def _rectified(spark: SparkSession, sf: str, how: str) -> DataFrame:
-    at = ortho.looked_up(ortho.ground_grid(spark, 113.6, 30.4, 0.01, 80, 80), _model(spark), 10.0)
-    return ortho.rectified(tables.pixels(spark, sf), at, _height(spark, sf), 100, ("r",), how)
+    h = _height(spark, sf)
+    res = 1.1 / h
+    at = ortho.looked_up(ortho.ground_grid(spark, 114.0 - 50.0 * res, 30.55, res, h, 100), _model(spark, h), 10.0)
+    return ortho.rectified(tables.pixels(spark, sf), at, h, 100, ("r",), how)
 
 
 @register("ortho_nearest", f"SELECT g.y, g.x, coalesce(p.r, 0) AS r FROM {_ground} g LEFT JOIN (SELECT i.y, i.x, s.r FROM {_inside} i JOIN ({tables.PIXELS}) s ON s.y = CAST(round_even(i.sy, 0) AS INTEGER) AND s.x = CAST(round_even(i.sx, 0) AS INTEGER)) p ON g.y = p.y AND g.x = p.x")

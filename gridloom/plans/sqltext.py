@@ -13,6 +13,11 @@ def num(x: float) -> str:
     return text if "e" in text else text + "e0"
 
 
+def tall() -> str:
+    """The height of the image of tables.pixels()."""
+    return f"(SELECT max(y) + 1 FROM ({tables.PIXELS}))"
+
+
 def clip(v: str, low: float = 0.0) -> str:
     return f"greatest({num(low)}, least(1e0, {v}))"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -29,9 +32,18 @@ def collections(features: DataFrame, counts: DataFrame, scenes: DataFrame | None
     return joined.select("image_id", F.to_json(doc).alias("geojson"))
 
 
-def write(docs: DataFrame, folder: str) -> None:
-    """A line for each image, under a folder for each."""
-    docs.select("image_id", F.col("geojson").alias("value")).write.mode("overwrite").partitionBy("image_id").text(folder)
+def write(docs: DataFrame, folder: str) -> list[str]:
+    """An indented .geojson file for each image, named as it is; the paths."""
+    from .geotiff import write as written
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [i.rsplit("/", 1)[-1].rsplit(".", 1)[0] + ".geojson" for i in batch.column("image_id").to_pylist()]
+            data = [json.dumps(json.loads(g), ensure_ascii=False, indent=2).encode() for g in batch.column("geojson").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["image_id", "name", "data"])
+
+    text = docs.select(F.col("image_id").cast("string").alias("image_id"), "geojson")
+    return written(text.mapInArrow(run, "image_id string, name string, data binary"), folder)
 
 
 def downscaled(pixels: DataFrame, factor: int, bands: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:

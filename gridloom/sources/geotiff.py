@@ -2,7 +2,8 @@
 
 Files are read by Spark's own binary reader, so they may be on any store that Spark reads, and taken apart on the
 executors: a chunk row for each window. Strips, tiles, both byte orders, both planar layouts, no compression, LZW and
-deflate are read, with the horizontal predictor; LZW strips are written.
+deflate are read, with the horizontal and the floating point predictor; LZW strips are written. The no-data value goes
+from image to image.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ..params import LEAST_SIDE, OVERLAP, TILE
 #: Field types as (code, bytes), and tags by name.
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
-SCALE, TIEPOINT, TRANSFORM, GEOKEYS, RPC_TAG = 33550, 33922, 34264, 34735, 50844
+SCALE, TIEPOINT, TRANSFORM, GEOKEYS, NODATA, RPC_TAG = 33550, 33922, 34264, 34735, 42113, 50844
 
 
 def unlzw(data: bytes) -> bytes:
@@ -114,6 +115,8 @@ class Tiff:
             raise InvalidImage("unsupported samples")
         self.dtype = np.dtype(f"{self.order}{kind}{get(BITS, 8) // 8}")
         self.compression, self.planar, self.predictor = get(COMPRESSION, 1), get(PLANAR, 1), get(PREDICTOR, 1)
+        if self.predictor not in (1, 2, 3) or (self.predictor == 3 and kind != "f"):
+            raise InvalidImage(f"unsupported predictor: {self.predictor}")
         self.tiled = TILE_W in self.tags
         self.block = (get(TILE_H), get(TILE_W)) if self.tiled else (min(get(ROWS, self.height), self.height), self.width)
 
@@ -133,6 +136,19 @@ class Tiff:
         code = found.get(3072) or found.get(2048)
         return f"EPSG:{code}" if code and code != 32767 else None
 
+    def nodata(self) -> str | None:
+        text = self.tags.get(NODATA, (b"",))[0].split(b"\0")[0].decode("ascii", "replace").strip()
+        return text or None
+
+    def _floats(self, raw: bytes, bands: int) -> np.ndarray:
+        """Undoes the floating point predictor: byte differences along a row, whose bytes lie in planes, the highest first."""
+        n, size = self.block[1] * bands, self.dtype.itemsize
+        rows = len(raw) // (n * size)
+        a = np.frombuffer(raw, np.uint8)[: rows * n * size].reshape(rows, n * size // bands, bands)
+        planes = np.cumsum(a, axis=1, dtype=np.uint8).reshape(rows, size, n)
+        big = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}")
+        return big.reshape(rows, self.block[1], bands).astype(self.dtype)
+
     def _part(self, index: int) -> np.ndarray:
         offsets, counts = (self.tags[t] for t in ((TILE_OFFSETS, TILE_COUNTS) if self.tiled else (OFFSETS, COUNTS)))
         raw = self.data[offsets[index] : offsets[index] + counts[index]]
@@ -143,6 +159,8 @@ class Tiff:
         elif self.compression != 1:
             raise InvalidImage(f"unsupported compression: {self.compression}")
         bands = self.bands if self.planar == 1 else 1
+        if self.predictor == 3:
+            return self._floats(raw, bands)
         a = np.frombuffer(raw, self.dtype)
         a = a[: len(a) // (self.block[1] * bands) * self.block[1] * bands].reshape(-1, self.block[1], bands)
         return np.cumsum(a, axis=1, dtype=self.dtype) if self.predictor == 2 else a
@@ -164,7 +182,12 @@ class Tiff:
         return out
 
 
-def encode(a: np.ndarray, transform: tuple[float, ...], crs: str | None, compress: bool = True, rows: int = 64) -> bytes:
+def geographic(epsg: int) -> bool:
+    """Whether a code is of degrees: the ranges that the register keeps for them; zones in metres lie between."""
+    return 4001 <= epsg <= 4490 or 4555 <= epsg <= 4977 or epsg in (4979,)
+
+
+def encode(a: np.ndarray, transform: tuple[float, ...], crs: str | None, compress: bool = True, rows: int = 64, nodata: str | None = None) -> bytes:
     """A GeoTIFF of (bands, height, width), pixel-interleaved, in LZW strips."""
     bands, height, width = a.shape
     a = np.ascontiguousarray(a.transpose(1, 2, 0)).astype(a.dtype.newbyteorder("<"))
@@ -172,8 +195,8 @@ def encode(a: np.ndarray, transform: tuple[float, ...], crs: str | None, compres
     strips = [pack(a[r : r + rows].tobytes()) for r in range(0, height, rows)]
     ta, tb, tc, td, te, tf = transform
     epsg = int(crs.split(":")[1]) if crs and crs.upper().startswith("EPSG:") else None
-    geographic = epsg is not None and 4000 <= epsg < 4500 or epsg == 4326
-    keys = [1, 1, 0, 2 + (epsg is not None), 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1] + ([2048 if geographic else 3072, 0, 1, epsg] if epsg else [])
+    degrees = epsg is not None and geographic(epsg)
+    keys = [1, 1, 0, 2 + (epsg is not None), 1024, 0, 1, 2 if degrees else 1, 1025, 0, 1, 1] + ([2048 if degrees else 3072, 0, 1, epsg] if epsg else [])
     at, offsets = 8, []
     for s in strips:
         offsets.append(at)
@@ -185,10 +208,12 @@ def encode(a: np.ndarray, transform: tuple[float, ...], crs: str | None, compres
     fields += [(FORMAT, 3, [kind] * bands)]
     fields += [(SCALE, 12, [ta, -te, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, tc, tf, 0.0])] if not tb and not td else [(TRANSFORM, 12, [ta, tb, 0.0, tc, td, te, 0.0, tf, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
     fields.append((GEOKEYS, 3, keys))
+    if nodata:
+        fields.append((NODATA, 2, nodata.encode("ascii") + b"\0"))
     at += at % 2
     head, tail, end = b"", b"", at + 2 + 12 * len(fields) + 4
     for tag, t, values in sorted(fields):
-        raw = struct.pack(f"<{len(values)}{TYPES[t][0]}", *values)
+        raw = values if isinstance(values, bytes) else struct.pack(f"<{len(values)}{TYPES[t][0]}", *values)
         head += struct.pack("<HHI", tag, t, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", end + len(tail)))
         tail += raw + b"\0" * (len(raw) % 2) if len(raw) > 4 else b""
     body = b"".join(strips)
@@ -196,7 +221,7 @@ def encode(a: np.ndarray, transform: tuple[float, ...], crs: str | None, compres
 
 
 CHUNKS = "image_id string, chunk_row int, chunk_col int, row_off int, col_off int, width int, height int, dtype string, bands int, data binary"
-SCENES = "image_id string, width int, height int, band_count int, dtype string, crs string, transform array<double>, rpc array<double>"
+SCENES = "image_id string, width int, height int, band_count int, dtype string, crs string, transform array<double>, rpc array<double>, nodata string"
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -216,7 +241,7 @@ def scenes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 t = Tiff(r["content"])
-                yield _rows(SCENES, [(r["path"], t.width, t.height, t.bands, t.dtype.name, t.crs(), list(t.transform()), list(t.tags[RPC_TAG]) if RPC_TAG in t.tags else None)])
+                yield _rows(SCENES, [(r["path"], t.width, t.height, t.bands, t.dtype.name, t.crs(), list(t.transform()), list(t.tags[RPC_TAG]) if RPC_TAG in t.tags else None, t.nodata())])
 
     return _files(spark, paths).mapInArrow(run, SCENES)
 
@@ -327,9 +352,9 @@ def files(parts: DataFrame, info: DataFrame, compress: bool = True) -> DataFrame
         out = np.zeros((int(first["bands"]), int((pdf["row_off"] + pdf["height"]).max()), int((pdf["col_off"] + pdf["width"]).max())), first["dtype"])
         for r in pdf.itertuples():
             out[:, r.row_off : r.row_off + r.height, r.col_off : r.col_off + r.width] = np.frombuffer(r.data, r.dtype).reshape(r.bands, r.height, r.width)
-        return pd.DataFrame({"image_id": [first["image_id"]], "data": [encode(out, tuple(first["transform"]), first["crs"], compress)]})
+        return pd.DataFrame({"image_id": [first["image_id"]], "data": [encode(out, tuple(first["transform"]), first["crs"], compress, nodata=first["nodata"])]})
 
-    return parts.join(info.select("image_id", "transform", "crs"), "image_id").groupBy("image_id").applyInPandas(run, "image_id string, data binary")
+    return parts.join(info.select("image_id", "transform", "crs", "nodata"), "image_id").groupBy("image_id").applyInPandas(run, "image_id string, data binary")
 
 
 def write(out: DataFrame, folder: str) -> list[str]:

@@ -72,12 +72,14 @@ def test_detect(spark, tmp_path):
     a = np.zeros((3, 700, 700), np.uint8)
     a[:, 100, 100] = 255
 
-    def factory():
+    def factory(confidence, iou):
+        assert (confidence, iou) == (0.25, 0.45)
+
         def found(batch):
             out = []
             for tile in batch:
                 y, x = np.nonzero(tile[0] == 255)
-                out.append([(0, 0.9, float(j), float(i), 10.0, 6.0, 0.0) for i, j in zip(y, x, strict=True)])
+                out.append([(0, float(j), float(i), 10.0, 6.0, 0.9) for i, j in zip(y, x, strict=True)])
             return out
 
         return found
@@ -143,6 +145,57 @@ def test_kernels_keep_places_and_constants(spark, kernel):
     assert got[1].v == pytest.approx(35 + x)
 
 
+def test_samples_of_many_images_at_once(spark):
+    rows = [(i, y, x, 1000.0 * k + 10 * y + x) for k, i in enumerate("ab") for y in range(150) for x in range(140)]
+    img = spark.createDataFrame(rows, "image_id string, y int, x int, v double")
+    got = field.translated(img, 0.5, -1.0, 150, 140, ("v",), by=("image_id",))
+    assert got.count() == len(rows)
+    at = {(r.image_id, r.y, r.x): r.v for r in got.where("y in (0, 127, 128, 149) and x in (0, 128, 139)").collect()}
+    assert at["a", 128, 128] == 10 * 127.5 + 129 and at["b", 127, 0] == 1000 + 10 * 126.5 + 1 and at["a", 0, 139] == 139 and at["b", 149, 128] == 1000 + 1485 + 129
+
+
+def test_samples_leave_out_missing_pixels(spark):
+    img = spark.createDataFrame([(0, 0, 4.0, None), (0, 1, 8.0, 2.0)], "y int, x int, v double, w double")
+    at = spark.createDataFrame([(0, 0, 0.0, 0.25), (9, 9, 0.0, 5.0), (8, 8, None, 1.0)], "y int, x int, sy double, sx double")
+    got = {(r.y, r.x): (r.v, r.w) for r in field.sampled(at, img, 1, 6, ("v", "w")).collect()}
+    assert got == {(0, 0): (5.0, 0.5)}
+    assert field.sampled(at.limit(0), img, 1, 6, ("v",)).count() == 0
+
+
+def test_elevation_is_interpolated(spark):
+    dem = spark.createDataFrame([(y, x, float(10 * y + x), 0.5) for y in range(60, 64) for x in range(220, 224)], "lat_cell bigint, lon_cell bigint, h double, res double")
+    grid = spark.createDataFrame([(0, 0, 110.5, 31.0), (0, 1, 110.25, 30.25), (1, 0, 10.0, 31.0)], "y int, x int, lon double, lat double")
+    got = {(r.y, r.x): r.h for r in api.orthos.heights(grid, dem, -7.0).collect()}
+    assert got == {(0, 0): 10 * 61.5 + 220.5, (0, 1): 10 * 60.0 + 220.0, (1, 0): -7.0}
+
+
+def test_no_data_stays(spark, tmp_path):
+    (tmp_path / "n.tif").write_bytes(geotiff.encode(noise(3, 8, 9), GEO, "EPSG:4490", nodata="-9999"))
+    assert get(api.enhance(spark, str(tmp_path / "n.tif"), str(tmp_path / "out")).first().path)[1].nodata() == "-9999"
+    assert get(api.crop(spark, str(tmp_path / "n.tif"), str(tmp_path / "cut"), 4).first().path)[1].nodata() == "-9999"
+    assert get(put(tmp_path / "m.tif", noise(1, 4, 4)))[1].nodata() is None
+
+
+def test_codes_of_degrees_and_metres():
+    kinds = {code: geotiff.Tiff(geotiff.encode(noise(1, 4, 4), GEO, f"EPSG:{code}")) for code in (4326, 4490, 4491, 4499, 4513, 4554, 4555, 3857)}
+    model = {code: dict(zip(t.tags[geotiff.GEOKEYS][4::4], t.tags[geotiff.GEOKEYS][7::4], strict=True)) for code, t in kinds.items()}
+    assert {code: m[1024] for code, m in model.items()} == {4326: 2, 4490: 2, 4491: 1, 4499: 1, 4513: 1, 4554: 1, 4555: 2, 3857: 1}
+    assert all(t.crs() == f"EPSG:{code}" for code, t in kinds.items())
+
+
+@pytest.mark.parametrize(("dtype", "bands"), [(np.float32, 1), (np.float64, 3)])
+def test_floating_point_predictor(dtype, bands):
+    a = np.random.default_rng(4).standard_normal((bands, 12, 10)).astype(dtype)
+    t = geotiff.Tiff(geotiff.encode(a, GEO, None, compress=False))
+    size, n = a.itemsize, 10 * bands
+    big = np.ascontiguousarray(a.transpose(1, 2, 0)).astype(a.dtype.newbyteorder(">")).view(np.uint8).reshape(12, n, size)
+    planes = big.transpose(0, 2, 1).reshape(12, n * size).copy()
+    planes[:, bands:] -= planes[:, :-bands].copy()
+    at = t.tags[geotiff.OFFSETS][0]
+    t.data, t.predictor = t.data[:at] + planes.tobytes() + t.data[at + planes.size :], 3
+    assert (t.read(0, 0, 12, 10) == a).all()
+
+
 def test_embedded_model(spark):
     tag = [0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0] + [float(i) for i in range(80)]
     r = api.cameras.from_array(spark.createDataFrame([("a", tag)], "image_id string, rpc array<double>")).first()

@@ -80,8 +80,8 @@ def test_blur_matches_convolution(spark):
     df = spark.createDataFrame([("a", y, x, float(a[y, x])) for y in range(7) for x in range(9)], "image_id string, y int, x int, v double")
     p = np.pad(a, 1, mode="reflect")
     k = np.outer([1, 2, 1], [1, 2, 1]) / 16
-    for r in tones.blurred(df, "v").collect():
-        assert r.v == pytest.approx((p[r.y : r.y + 3, r.x : r.x + 3] * k).sum())
+    for r in tones.blurred(df.withColumn("w", F.col("v") * 2), "v", "w").collect():
+        assert r.v == pytest.approx((p[r.y : r.y + 3, r.x : r.x + 3] * k).sum()) and r.w == pytest.approx(2 * r.v)
 
 
 def test_otsu_of_two_spikes(spark):
@@ -157,16 +157,17 @@ def test_geojson(spark, tmp_path):
     assert len(ring) == 5 and ring[0] == ring[-1]
     turn = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:], strict=False))
     assert turn > 0 and doc["features"][0]["properties"]["class_name"] == "ship"
-    geojson.write(out, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    path = geojson.write(out, str(tmp_path / "out"))[0]
+    text = open(path, encoding="utf-8").read()
+    assert path.endswith(".geojson") and json.loads(text) == doc and text.startswith('{\n  "type"')
 
 
 def test_detect(spark):
     data = bytearray(np.zeros((3, 8, 8), np.uint8).tobytes())
     wins = spark.createDataFrame([("a", 0, 0, 0, 8, 8, data), ("a", 1, 0, 8, 8, 8, data)], "image_id string, tile_id int, row_off int, col_off int, tile_width int, tile_height int, data binary")
 
-    def factory():
-        return lambda batch: [[(0, 0.9, 4.0, 4.0, 3.0, 3.0, 0.0), (0, 0.8, 4.0, 4.0, 3.0, 3.0, 0.0), (5, 0.9, 1.0, 1.0, 1.0, 1.0, 0.0)] for _ in batch]
+    def factory(confidence, iou):
+        return lambda batch: [[(0, 4.0, 4.0, 3.0, 3.0, 0.0, 0.9), (0, 4.0, 4.0, 3.0, 3.0, 0.8), (5, 1.0, 1.0, 1.0, 1.0, 0.0, 0.9)] for _ in batch]
 
     got = detect.detect(wins, factory, Detect(tile=8)).collect()
     assert sorted((r.cx, r.class_name) for r in got) == [(4.0, "plane"), (12.0, "plane")]
@@ -219,6 +220,21 @@ def test_idw_any_number_of_points(spark, n):
     assert len(got) == 64 and all((r.dx, r.dy) == pytest.approx(want) for r in got)
 
 
+def test_idw_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    pts = [("a", float(y), float(x), float(k)) for k, (y, x) in enumerate(r.random((70, 2)) * (20, 300))] + [("b", 5.0, 6.0, 1.0), ("b", 200.0, 100.0, 3.0)]
+    pts += [("d", float(y), float(x), float(k)) for k, (y, x) in enumerate([*(r.random((40, 2)) * 2), *(r.random((4, 2)) * 900)])]
+    nodes = [(m, i, j, 40.0 * i, 37.5 * j) for m in "abcd" for i in range(7) for j in range(9)]
+    at = spark.createDataFrame(nodes, "image_id string, i int, j int, gy double, gx double")
+    got = {(g.image_id, g.i, g.j): g.v for g in field.interpolated(at, spark.createDataFrame(pts, "image_id string, y double, x double, v double"), ("v",), ("image_id",)).collect()}
+    assert len(got) == len(nodes)
+    for m, i, j, gy, gx in nodes:
+        near = sorted(((y - gy) ** 2 + (x - gx) ** 2, y, x, v) for k, y, x, v in pts if k == m)[:8]
+        w = [1 / (d[0] + 1e-10) for d in near]
+        want = 0.0 if not near else near[0][3] if near[0][0] < 0.25 else sum(a * d[3] for a, d in zip(w, near, strict=True)) / sum(w)
+        assert got[m, i, j] == pytest.approx(want)
+
+
 def test_rpc(spark, tmp_path):
     keys = [*rpc.SCALARS, *(f"{v}_{i}" for v in rpc.VECTORS for i in range(1, 21))]
     lines = ["# model", "", *(f"{k}: {n}" if n % 2 else f"{k.lower()} = {n}.5" for n, k in enumerate(keys))]
