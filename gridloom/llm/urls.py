@@ -10,7 +10,7 @@ makes a page so is left out of that page's tokens: what is learned are the words
 the second round, in which seeds are words like any other: one that goes with wanted words has no say.
 
 Words, splits and weights are tables that are joined, of any size; a run of letters looks up its own parts. Joined keys
-that many rows share, such as `com`, are dealt to several tasks. The driver gets six numbers.
+that many rows share, such as `com`, stay where they are and get their partners by broadcast. The driver gets numbers and at most skew.HOT such keys.
 
 Defined cases: a null url or one without :// has an empty host and path, no rule and no token, and is allowed; a null
 html has no words; repeated rows count each; a null id is carried through; of rules of one length that fit, the later
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .skew import dealt
-from .store import save
+from .store import drop, save
 
 #: Fixed values of the contract: (verdict, host, path), each for its host and all subdomains.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -95,7 +95,8 @@ def segmented(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
     runs = hosts.select(F.explode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("run")).distinct().where(F.length("run") <= LABEL)
     starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("a"))
     places = starts.select("run", "a", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("a") + 1)).alias("size"))
-    hits = dealt(places.withColumn("word", F.substring("run", F.col("a"), F.col("size"))), words, ["word"], "run", "inner")
+    parts_ = save(places.withColumn("word", F.substring("run", F.col("a"), F.col("size"))), "url-places")
+    hits = dealt(parts_, words.join(parts_.select("word").distinct(), "word", "left_semi"), ["word"], "inner")
     known = hits.groupBy("run").agg(F.collect_list(F.struct((F.col("a") - 1).alias("a"), (F.col("a") - 1 + F.col("size")).alias("b"), "n")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +112,10 @@ def tokenized(located: DataFrame, splits: DataFrame) -> DataFrame:
     """located with tokens, an array: the host's words and numbers in order, and the path's, each after a slash."""
     each = located.select("host").distinct().select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+|[0-9]+"), F.lit(0))).alias("at", "run"))
     part = F.coalesce("words", F.array(F.when(F.col("run").rlike("^[0-9]"), NUMBER).otherwise(OTHER)))
-    named = dealt(each, splits, ["run"], "host").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", part.alias("words")))).alias("parts"))
+    named = dealt(each, splits, ["run"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", part.alias("words")))).alias("parts"))
     named = named.select("host", F.flatten("parts.words").alias("words"))
     in_path = F.transform(F.regexp_extract_all(F.lower("path"), F.lit("[a-z]+|[0-9]+"), F.lit(0)), lambda w: F.concat(F.lit("/"), F.when(w.rlike("^[0-9]"), NUMBER).otherwise(w)))
-    return dealt(located, named, ["host"], "row").withColumn("tokens", F.concat(F.coalesce("words", F.array().cast("array<string>")), in_path)).drop("words")
+    return dealt(located, named, ["host"]).withColumn("tokens", F.concat(F.coalesce("words", F.array().cast("array<string>")), in_path)).drop("words")
 
 
 def bayes(rows: DataFrame) -> tuple[DataFrame, float] | None:
@@ -133,7 +134,7 @@ def scored(rows: DataFrame, model: tuple[DataFrame, float] | None) -> DataFrame:
     if model is None:
         return rows.withColumn("score", F.lit(-1.0))
     weights, prior = model
-    sums = dealt(rows.select("row", F.explode("tokens").alias("token")), weights, ["token"], "row").groupBy("row").agg(F.sum("w").alias("w"))
+    sums = dealt(rows.select("row", F.explode("tokens").alias("token")), weights, ["token"]).groupBy("row").agg(F.sum("w").alias("w"))
     # Rounded, as the order of a sum may differ.
     return rows.join(sums, "row", "left").withColumn("score", F.round(F.coalesce("w", F.lit(0.0)) + F.lit(prior), 9)).drop("w")
 
@@ -154,8 +155,10 @@ def judged(pages: DataFrame) -> DataFrame:
     total = words.agg(F.sum("n")).first()[0]
     splits = save(segmented(hosts, words, total), "url-splits")
     rows = save(tokenized(located, splits), "url-tokens")
-    first = scored(rows, bayes(lessons(rows)))
-    second = scored(rows, bayes(save(first.select((F.col("score") > 0).alias("bad"), "tokens"), "url-first")))
+    first = save(scored(rows, bayes(lessons(rows))).select((F.col("score") > 0).alias("bad"), "tokens"), "url-first")
+    second = scored(rows, bayes(first))
+    for done in (located, words, splits, first):
+        drop(done)
     all_ = second.withColumn("r", ruled(F.col("host"), F.col("path")))
     return all_.select("page_id", "host", "path", "r.rule", F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
 
