@@ -3,9 +3,12 @@
 Candidates come from SimHash balls first (simhash.links, over fingerprints of the sets), and are checked exactly. No
 radius that balls of 64 bits can afford reaches all pairs of that similarity, whose fingerprints differ in ten bits on
 average; what they leave apart is found by prefixes. Two sets as similar as a fraction t share one of their first n - ceil(t n) + 1 shingles, n being a set's own size, in
-any order that all sets keep. Here that order is by hash, with shingles of many sets last, so that few sets meet in one.
-What meets is linked to one set of those that met, by an exact check; only pairs that this leaves in different
-components are then looked at in full, so that a large group of near copies gives no pairs by the square of its size.
+any order that all sets keep. Here that order is by hash, with shingles of many sets last, so that few sets meet in one;
+sets that meet in one of those are told of their least by an aggregation, not gathered. What meets is linked to the
+least set of those that met, by an exact check; sets that this leaves in different components are compared with a few
+others, drawn by hash, for some rounds, and only pairs that are then still apart are looked at in full, so that a large
+group of near copies gives no pairs by the square of its size. Of pairs that meet, bitmaps of the first shingles tell most
+that can't be similar, by what one surely has and the other has not; sets are exchanged for the rest only.
 
 Defined cases: words are those of simhash; a text of fewer words than a shingle is one shingle; a null text is an empty
 one, and texts without words are copies of each other; equal sets are one; an empty table gives no rows. Sets are told
@@ -15,13 +18,15 @@ apart by 64 bits of hash, shingles too.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import simhash
 from .components import components
+from .skew import dealt
 from .store import drop, free, fresh, save
 from .words import encoded, slices
 
@@ -31,6 +36,12 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 #: Shingles that begin more than COMMON sets come last, the LISTED most frequent of them: this orders, and leaves nothing out.
 COMMON, LISTED = 16, 50_000
 
+#: Rounds in which sets that meet in a shingle are compared with drawn ones, and how many are drawn.
+ROUNDS, DRAWN = 1, 4
+
+#: Words of 64 bits in a bitmap; pairs whose sets are exchanged at once.
+WORDS, BATCH = 8, 100_000
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +71,13 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(own), bitorder="little").view("<i8")[0])
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """The bits that the hashes set, of 64 * WORDS."""
+    on = np.zeros(64 * WORDS, bool)
+    on[own & (64 * WORDS - 1)] = True
+    return np.packbits(on).view(np.int64)
+
+
 def _key(own: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -67,28 +85,32 @@ def _key(own: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, common: np.ndarray | None, part: str, length: int, similarity: tuple[int, int]) -> DataFrame:
-    """(doc_id, digest, key, fp, n, own) of docs with doc_id, digest and text. part: what own holds of a set, its first shingles or all."""
+    """(doc_id, digest, key, fp, n, rare, last, bits, own) of docs with doc_id, digest and text. part: what own holds of a set, its first shingles or all."""
     t, u = similarity
     by = None if common is None else np.argsort(common)
 
-    def first(own: np.ndarray) -> np.ndarray:
+    def first(own: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """The first shingles, how many of them are not common, and the place of the last of them among the common ones."""
         most = len(own) - -(-len(own) * t // u) + 1
-        if by is not None and len(common):
-            at = np.minimum(np.searchsorted(common, own, sorter=by), len(common) - 1)
-            own = own[np.argsort(np.where(common[by[at]] == own, by[at] + 1, 0), kind="stable")]
-        return own[:most]
+        if by is None or not len(common) or not len(own):
+            return own[:most], min(most, len(own)), 0
+        at = np.minimum(np.searchsorted(common, own, sorter=by), len(common) - 1)
+        rank = np.where(common[by[at]] == own, by[at] + 1, 0)
+        order = np.argsort(rank, kind="stable")[:most]
+        return own[order], min(most, int((rank == 0).sum())), int(rank[order[-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             sets = [shingles(x, length) for x in batch.column("text").to_pylist()]
-            kept = sets if part == "all" else [first(s) for s in sets]
+            kept, rare, last = (sets, [0] * len(sets), [0] * len(sets)) if part == "all" else zip(*map(first, sets), strict=True)
+            bits = pa.array([None if part == "all" else bitmap(s) for s in kept], pa.list_(pa.int64()))
             own = pa.ListArray.from_arrays(np.cumsum([0, *map(len, kept)], dtype=np.int32), np.concatenate(kept))
             fp = pa.array([None if part == "all" else fingerprint(s) for s in sets], pa.int64())
-            cols = [batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.int64()), fp, pa.array([len(s) for s in sets], pa.int64()), own]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "key", "fp", "n", "own"])
+            cols = [batch.column("doc_id"), batch.column("digest"), pa.array([_key(s) for s in sets], pa.int64()), fp, pa.array([len(s) for s in sets], pa.int64()), pa.array(rare, pa.int32()), pa.array(last, pa.int32()), bits, own]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "key", "fp", "n", "rare", "last", "bits", "own"])
 
     rows = docs.select("doc_id", "digest", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest bigint, key bigint, fp bigint, n bigint, own array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest bigint, key bigint, fp bigint, n bigint, rare int, last int, bits array<bigint>, own array<bigint>")
 
 
 def balls(table: DataFrame) -> DataFrame:
@@ -117,43 +139,113 @@ def _may(similarity: tuple[int, int]):
     return F.least(na - ia, nb - ib) * (t + u) >= t * (na + nb)
 
 
+def _likely(pairs: DataFrame, facts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) that can be similar, by facts (key, n, firsts, last, end, bits).
+
+    What two sets share is among the firsts of both, or comes after the end of those that end first. And a bit that
+    only one of them sets stands for a first shingle at least that the other's firsts don't hold.
+    """
+    t, u = similarity
+    for k in "ab":
+        pairs = pairs.join(facts.select(F.col("key").alias(k), *(F.col(c).alias(c + k) for c in ("n", "firsts", "end", "bits"))), k)
+    only = lambda p, q: reduce(lambda x, y: x + y, (F.bit_count(F.get(f"bits{p}", F.lit(w)).bitwiseAND(F.bitwise_not(F.get(f"bits{q}", F.lit(w))))) for w in range(WORDS)))
+    shared = F.least(F.col("firstsa") - only("a", "b"), F.col("firstsb") - only("b", "a"))
+    rest = F.when(F.col("enda") <= F.col("endb"), F.col("na") - F.col("firstsa")).otherwise(F.col("nb") - F.col("firstsb"))
+    return pairs.where((shared + rest) * (t + u) >= t * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def meetings(distinct: DataFrame) -> DataFrame:
+    """(x, key, n, i, least): the places of shingles that are first ones of two sets or more, and of each the least set's own place.
+
+    Shingles that are not listed as common begin few sets and are put side by side by a window; the least sets of the
+    at most LISTED others are aggregated before they are exchanged, and broadcast.
+    """
+    places = distinct.select("key", "n", "rare", F.posexplode("own").alias("i", "x"))
+    place, columns = F.struct("key", "n", "i"), ["x", "key", "n", "i", "least"]
+    side = Window.partitionBy("x").orderBy("key")
+    few = places.where("i < rare").select("x", "key", "n", "i").withColumns({"least": F.first(place).over(side), "more": F.lead("key").over(side)})
+    few = few.where(F.col("more").isNotNull() | (F.col("key") != F.col("least.key")))
+    many = places.where("i >= rare")
+    least = many.groupBy("x").agg(F.min(place).alias("least"), F.count("*").alias("met")).where("met > 1").select("x", "least")
+    return few.select(*columns).unionByName(many.join(F.broadcast(least), "x").select(*columns))
+
+
+def mixed(met: DataFrame, edges: DataFrame) -> DataFrame:
+    """(x, key, n, i, root), saved: the places of shingles in which sets of several components meet."""
+    rooted = save(met.join(components(edges), F.col("key") == F.col("node"), "left").select("x", "key", "n", "i", F.coalesce("root", "key").alias("root")), "similar-rooted")
+    several = rooted.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("x")
+    out = save(rooted.join(several, "x", "left_semi"), "similar-mixed")
+    drop(rooted)
+    return out
+
+
+def _pair(a: DataFrame, b: str, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b) of places (key, n, i, root) and those of a struct column b, where roots differ and sets may be similar."""
+    sides = a.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "root", F.col(f"{b}.key").alias("b"), F.col(f"{b}.n").alias("nb"), F.col(f"{b}.i").alias("ib"), F.col(f"{b}.root").alias("other"))
+    return sides.where((F.col("root") != F.col("other")) & _may(similarity)).select("a", "b").distinct()
+
+
+def drawn(places: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): sets and DRAWN others of those that they meet in a shingle, by hash, from mixed() places."""
+    picks = [F.min(F.struct(F.xxhash64("key", F.lit(turn * DRAWN + k)).alias("h"), "key", "n", "i", "root")).alias(f"p{k}") for k in range(DRAWN)]
+    both = dealt(places, places.groupBy("x").agg(F.array(*picks).alias("picks")), ["x"], "inner")
+    return _pair(both.withColumn("pick", F.explode("picks")), "pick", similarity)
+
+
+def apart(places: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): all sets of mixed() places that meet, may be similar and have different roots."""
+    each = places.select("x", "root").distinct()
+    pairs = each.select("x", F.col("root").alias("roota")).join(each.select("x", F.col("root").alias("rootb")), "x").where("roota < rootb")
+    for k in "ab":
+        pairs = pairs.join(places.select("x", *(F.col(c).alias(c + k if c != "key" else k) for c in ("key", "n", "i", "root"))), ["x", f"root{k}"])
+    return pairs.where(_may(similarity)).select("a", "b")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, digest, key, root) for every row: digest is a hash of the text, key of its set; rows of a component share root."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     firsts = _sets(docs, None, "first", length, similarity).dropDuplicates(["key"]).select(F.explode("own").alias("x")).groupBy("x").count()
     common = [r.x for r in firsts.where(F.col("count") > COMMON).orderBy(F.desc("count"), "x").limit(LISTED).collect()][::-1]
-    table = save(_sets(docs, np.array(common, np.int64), "first", length, similarity), "similar-firsts")
+    whole = save(_sets(docs, np.array(common, np.int64), "first", length, similarity), "similar-firsts")
+    free(docs.sparkSession)
+    table = save(whole.select("doc_id", "digest", "key", "fp"), "similar-rows")
+    distinct = save(whole.dropDuplicates(["key"]).select("key", "n", "rare", "last", "bits", "own"), "similar-distinct")
+    drop(whole)
     free(docs.sparkSession)
     near = balls(table)
-    places = table.dropDuplicates(["key"]).select("key", "n", F.posexplode("own").alias("i", "x"))
-    least = places.groupBy("x").agg(F.min(F.struct("key", "n", "i")).alias("least"), F.count("*").alias("met")).where("met > 1").drop("met")
-    met = save(places.join(least, "x"), "similar-met")
+    met = save(meetings(distinct), "similar-met")
+    end = F.struct("last", F.coalesce(F.get("own", F.size("own") - 1), F.lit(0)).alias("x")).alias("end")
+    facts = save(distinct.select("key", "n", F.size("own").alias("firsts"), end, "bits"), "similar-facts")
+    drop(distinct)
     free(docs.sparkSession)
 
     def compared(pairs: DataFrame) -> DataFrame:
         """The similar ones of the pairs (a, b). Only the sets that they name are made again, each from one text."""
-        pairs = save(pairs.distinct(), "similar-pairs")
+        pairs = save(_likely(pairs.distinct(), facts, similarity), "similar-pairs")
         keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
         texts = table.select("key", "digest").join(keys, "key", "left_semi").groupBy("key").agg(F.min("digest").alias("digest")).select("digest").distinct()
         sets = save(_sets(docs.join(texts, "digest", "left_semi"), None, "all", length, similarity).dropDuplicates(["key"]).select("key", "n", "own"), "similar-sets")
         free(docs.sparkSession)
-        out = save(_similar(pairs, sets, similarity), "similar-links")
-        free(docs.sparkSession)
+        parts = max(1, -(-pairs.count() // BATCH))
+        links = []
+        for k in range(parts):
+            links.append(save(_similar(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k), sets, similarity), "similar-links"))
+            free(docs.sparkSession)
         for done in (pairs, sets):
             drop(done)
-        return out
+        return reduce(DataFrame.unionByName, links)
 
     sides = met.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("least.key").alias("b"), F.col("least.n").alias("nb"), F.col("least.i").alias("ib"))
-    stars = compared(sides.where((F.col("a") != F.col("b")) & _may(similarity)).select("a", "b").unionByName(near))
-    rooted = met.select("x", "key", "n", "i").join(components(stars), F.col("key") == F.col("node"), "left").select("x", "key", "n", "i", F.coalesce("root", "key").alias("root"))
-    rooted = save(rooted, "similar-rooted")
-    drop(met)
-    left, right = (rooted.select("x", *(F.col(c).alias(d) for c, d in (("key", k), ("n", f"n{k}"), ("i", f"i{k}"), ("root", f"root{k}")))) for k in "ab")
-    rest = left.join(right, (left.x == right.x) & (F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & _may(similarity)).select("a", "b")
-    others = compared(rest)
-    edges = stars.unionByName(others)
+    edges = compared(sides.where((F.col("a") != F.col("b")) & _may(similarity)).select("a", "b").unionByName(near))
+    for turn in range(ROUNDS + 1):
+        places = mixed(met, edges)
+        if places.isEmpty():
+            break
+        more = compared(apart(places, similarity) if turn == ROUNDS else drawn(places, turn, similarity))
+        drop(places)
+        edges = edges.unionByName(more)
     out = save(table.select("doc_id", "digest", "key").join(components(edges), F.col("key") == F.col("node"), "left").select("doc_id", "digest", "key", F.coalesce("root", "key").alias("root")), "similar-roots")
-    for done in (table, near, stars, rooted, others):
+    for done in (table, near, met, facts):
         drop(done)
     return out
 
