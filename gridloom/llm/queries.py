@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, pii, quality, rules, simhash, suffixes, urls, vectors
+from . import chat, infill, mixing, packing, pii, quality, rules, simhash, subwords, suffixes, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": chat.query,
@@ -19,9 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": vectors.query,
     "op9_urls": urls.query,
     "op10_packing": packing.query,
+    "op11_subwords": subwords.query,
+    "op12_infill": infill.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": chat.ORACLE,
     "op5_mixing": mixing.oracle(),
+    "op12_infill": infill.ORACLE,
 }
