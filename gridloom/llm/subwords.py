@@ -8,7 +8,7 @@ projected by the records of its first and following byte to the bytes of the sou
 without a piece becomes byte pieces; the last of them has the character's span, the others are empty at its start.
 
 No merge crosses a place where a space mark follows another character, nor one between characters that no chain of
-pieces connects, so texts are cut there and equal cuts are merged once in a worker. Whole texts go through, in batches of 16 MB or one text;
+pieces connects, so texts are cut there and equal cuts are merged once in a worker. Whole texts go through, in batches of 2 MB or one text;
 nothing is exchanged.
 
 Defined cases: a null text is an empty one, which has no pieces; a text of any length is encoded whole, by itself if it
@@ -34,9 +34,11 @@ from .words import slices
 #: The mark of a space in pieces, and what an invalid byte becomes.
 SPACE, INVALID = "▁", "�"
 #: Distinct cuts that a worker remembers at a time, and the characters they may have together.
-REMEMBERED, CHARACTERS = 1 << 19, 1 << 25
-#: Cuts of at most so many characters are merged without a heap; the score of a pair that is no piece.
-SHORT, NONE = 40, float("-inf")
+REMEMBERED, CHARACTERS = 1 << 18, 1 << 24
+#: Cuts of at most so many characters are merged many at a time; the rank of a pair that is no piece.
+TOGETHER, NONE = 40, np.iinfo(np.int32).max
+#: What stands for no symbol, and for one that is no piece.
+EMPTY, UNKNOWN_ID = -1, -2
 #: Kinds of pieces, as model files number them.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -74,11 +76,7 @@ class CharacterMap:
 
 
 class Encoder:
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self._load(f.read())
-
-    def _load(self, proto: bytes) -> None:
+    def __init__(self, proto: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -92,12 +90,27 @@ class Encoder:
         self.prefix, self.squeeze, self.mark = spec.add_dummy_prefix, spec.remove_extra_whitespaces, (SPACE if spec.escape_whitespaces else " ").encode()
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        self._join_table()
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.widths = np.array([len(p.piece.encode()) if p.type == NORMAL else 1 for p in model.pieces], np.int64)
         self.is_byte = np.array([p.type == BYTE for p in model.pieces])
         self.cut = self._cuts([p.piece for p in model.pieces if p.type == NORMAL])
         self._forget()
 
+    def _join_table(self) -> None:
+        """Symbols are pieces and their characters, by number; joins are the pairs of them that make a piece, sorted, with the rank of its score."""
+        names = list(self.ids) + sorted({c for p in self.ids for c in p} - self.ids.keys())
+        number = {p: i for i, p in enumerate(names)}
+        rank = {s: i for i, s in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        found = [(number[p[:k]] << 32 | number[p[k:]], rank[self.scores[p]], number[p]) for p in self.ids for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        table = np.array([*sorted(found), (np.iinfo(np.int64).max, NONE, EMPTY)], np.int64)
+        self.joins, self.ranks, self.made = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
+        self.symbol = np.full(0x110000, len(names), np.int32)  # the last symbol is any other character
+        for p, i in number.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self.id_of = np.array([self.ids.get(p, UNKNOWN_ID) for p in names] + [UNKNOWN_ID, EMPTY], np.int32)  # the last is for EMPTY
+
     def _cuts(self, pieces: list[str]) -> re.Pattern:
         """Finds the stretches of a normalised text that no merge leaves: space marks, and characters that chains of pieces connect."""
         mark = self.mark.decode()
@@ -137,22 +150,21 @@ class Encoder:
             return b"", np.zeros(1, np.int64)
         plain, at = (self._mapped(source) if self.map.leads else (source, np.arange(len(source), dtype=np.int64)))
         raw, end = np.frombuffer(plain, np.uint8), len(source)
-        keep = slice(0, len(raw))
         if self.squeeze:
             space = raw == 32
-            solid = np.flatnonzero(~space)
-            if not len(solid):
+            if space.all():
                 return b"", np.zeros(1, np.int64)
             keep = ~(space & np.concatenate([[True], space[:-1]]))
-            if space[-1]:
-                end = int(at[solid[-1] + 1])
-                keep[solid[-1] + 1 :] = False
             raw, at = raw[keep], at[keep]
         at = np.repeat(at, np.where(raw == 32, len(self.mark), 1))
         out = raw.tobytes().replace(b" ", self.mark)
-        if self.prefix:
-            first = np.full(len(self.mark), self._solid(source) if self.squeeze else 0)
-            out, at = (out + self.mark, np.append(at, np.full(len(self.mark), end))) if self.suffix else (self.mark + out, np.append(first, at))
+        if self.prefix and not self.suffix:
+            out, at = self.mark + out, np.append(np.full(len(self.mark), self._solid(source) if self.squeeze else 0), at)
+        while self.squeeze and out.endswith(self.mark):  # at most one was a space; the library takes the text's own marks too
+            out = out[: -len(self.mark)]
+            at, end = at[: len(out)], int(at[len(out)])
+        if self.prefix and self.suffix:
+            out, at = out + self.mark, np.append(at, np.full(len(self.mark), end))
         return out, np.append(at, end)
 
     def _solid(self, source: bytes) -> int:
@@ -178,30 +190,35 @@ class Encoder:
 
     # Merges.
 
-    def merged(self, cut: str) -> list[int]:
-        """The ids of a cut: pairs are joined from the highest score, the leftmost of equals, until no pair is a piece."""
-        out: list[int] = []
-        for piece in self._short(cut) if len(cut) <= SHORT else self._long(cut):
-            known = self.ids.get(piece)
-            out += (known,) if known is not None else (self.byte_ids[b] for b in piece.encode())
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which join of two symbols each pair is; the last stands for none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.joins, key)
+        return np.where((self.joins[at] == key) & (left >= 0) & (right >= 0), at, len(self.joins) - 1)
+
+    def _together(self, cuts: list[str]) -> np.ndarray:
+        """The symbols of cuts of one length, a row each, filled up with EMPTY: the best join of every row at a time, so that rows stay of one length until they have none."""
+        width = len(cuts[0])
+        part = self.symbol[np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, width)]
+        out, rows = np.full(part.shape, EMPTY, np.int32), np.arange(len(cuts))
+        pair = self._pairs(part[:, :-1], part[:, 1:])
+        while len(rows):
+            rank = self.ranks[pair]
+            i = rank.argmin(1) if pair.shape[1] else np.zeros(len(rows), np.int64)
+            more = rank[np.arange(len(rows)), i] < NONE if pair.shape[1] else np.zeros(len(rows), bool)
+            if not more.all():
+                out[rows[~more], : part.shape[1]] = part[~more]
+                part, pair, rows, i = part[more], pair[more], rows[more], i[more]
+            r, columns = np.arange(len(rows)), np.arange(part.shape[1] - 1)
+            part[r, i] = self.made[pair[r, i]]
+            part = np.take_along_axis(part, columns + (columns > i[:, None]), 1)
+            pair = np.take_along_axis(pair, columns[:-1] + (columns[:-1] >= i[:, None]), 1)
+            for on, j in ((i > 0, i - 1), (i < part.shape[1] - 1, i)):
+                pair[r[on], j[on]] = self._pairs(part[r[on], j[on]], part[r[on], j[on] + 1])
         return out
 
-    def _short(self, cut: str) -> list[str]:
-        """All pairs looked through before every join."""
-        score, part = self.scores.get, list(cut)
-        pairs = [score(a + b, NONE) for a, b in zip(part, part[1:], strict=False)]
-        while pairs and (best := max(pairs)) != NONE:
-            i = pairs.index(best)
-            part[i] += part.pop(i + 1)
-            del pairs[i]
-            if i:
-                pairs[i - 1] = score(part[i - 1] + part[i], NONE)
-            if i < len(pairs):
-                pairs[i] = score(part[i] + part[i + 1], NONE)
-        return part
-
-    def _long(self, cut: str) -> list[str]:
-        """The pairs on a heap."""
+    def merged(self, cut: str) -> list[int]:
+        """The ids of one cut: pairs are joined from the highest score, the leftmost of equals, until no pair is a piece."""
         score, n, part = self.scores.get, len(cut), list(cut)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = [(-s, i, 2) for i in range(n - 1) if (s := score(cut[i : i + 2])) is not None]
@@ -218,12 +235,27 @@ class Encoder:
             for left, right in ((before[i], i), (i, k)):
                 if left >= 0 and right < n and (s := score(part[left] + part[right])) is not None:
                     heapq.heappush(agenda, (-s, left, len(part[left]) + len(part[right])))
-        return [p for p in part if p]
+        out: list[int] = []
+        for piece in filter(None, part):
+            known = self.ids.get(piece)
+            out += (known,) if known is not None else (self.byte_ids[b] for b in piece.encode())
+        return out
 
     def _learn(self, cuts: set[str]) -> None:
-        found = list(map(self.merged, cuts))
-        sizes, flat = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.int32)
-        k, to = len(self.place), len(self.place) + len(found)
+        by_length: dict[int, list[str]] = {}
+        for c in cuts:
+            by_length.setdefault(len(c) if len(c) <= TOGETHER else 0, []).append(c)
+        alone = by_length.pop(0, [])
+        for group in by_length.values():
+            ids = self.id_of[self._together(group)]
+            odd = (ids == UNKNOWN_ID).any(1)
+            self._add([c for c, x in zip(group, odd, strict=True) if not x], (ids[~odd] >= 0).sum(1), ids[~odd][ids[~odd] >= 0])
+            alone += [c for c, x in zip(group, odd, strict=True) if x]
+        found = list(map(self.merged, alone))
+        self._add(alone, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.int32))
+
+    def _add(self, cuts: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        k, to = len(self.place), len(self.place) + len(cuts)
         if to > len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * to), np.resize(self.sizes, 2 * to)
         if self.used + len(flat) > len(self.table):
@@ -234,20 +266,21 @@ class Encoder:
         self.characters += sum(map(len, cuts))
         self.place.update(zip(cuts, range(k, to), strict=True))
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begins, ends): the pieces of a text and the source bytes that each stands for."""
-        norm, at = self.normalised(text)
-        if not norm:
-            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, begins, ends) of each text: its pieces and the source bytes that each stands for."""
         if len(self.place) > REMEMBERED or self.characters > CHARACTERS:
             self._forget()
-        cuts, place = self.cut.findall(norm.decode("utf-8", "replace")), self.place
-        if new := set(cuts).difference(place):
+        norms = [self.normalised(t) for t in texts]
+        cuts = [self.cut.findall(norm.decode("utf-8", "replace")) for norm, _ in norms]
+        if new := set().union(*cuts).difference(self.place):
             self._learn(new)
-        k = np.fromiter(map(place.__getitem__, cuts), np.int64, len(cuts))
+        return [self._projected(c, *norm) for c, norm in zip(cuts, norms, strict=True)]
+
+    def _projected(self, cuts: list[str], norm: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = np.fromiter(map(self.place.__getitem__, cuts), np.int64, len(cuts))
         sizes = self.sizes[k]
         stop = np.cumsum(sizes)
-        ids = self.table[np.repeat(self.starts[k] - stop + sizes, sizes) + np.arange(stop[-1])]
+        ids = self.table[np.repeat(self.starts[k] - stop + sizes, sizes) + np.arange(stop[-1] if len(stop) else 0)]
         ends = np.cumsum(self.widths[ids])
         begins = ends - self.widths[ids]
         single = self.is_byte[ids]
@@ -262,9 +295,14 @@ class Encoder:
         return self.library.decode(ids.tolist())
 
 
+def model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(model(path))
 
 
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,8 +318,8 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in slices(batches, "text"):
-            found = [e.encode(text or "") for text in batch.column("text").to_pylist()]
+        for batch in slices(batches, "text", 2 << 20):
+            found = e.encode([text or "" for text in batch.column("text").to_pylist()])
             ids, begins, ends = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, pa.int32()), lists(begins, pa.int64()), lists(ends, pa.int64()), pa.array(map(e.decode, ids), pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
 
