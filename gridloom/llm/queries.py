@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, infill, mixing, packing, pii, quality, rules, simhash, subwords, suffixes, urls, vectors
+from . import chat, infill, mixing, packing, pii, quality, repair, rules, simhash, subwords, suffixes, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_collapse": chat.query,
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.query,
     "op11_subwords": subwords.query,
     "op12_infill": infill.query,
+    "op13_repair": repair.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": chat.ORACLE,
     "op5_mixing": mixing.oracle(),
     "op12_infill": infill.ORACLE,
+    "op13_repair": repair.oracle(),
 }
