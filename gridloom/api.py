@@ -55,7 +55,7 @@ def _written(px: DataFrame, info: DataFrame, names: tuple[str, ...], folder: str
     """Pixels as files; output: the suffix to each image's own name, or the one name there is."""
     parts = geotiff.assembled(px, info, names)
     called = F.lit(output) if isinstance(output, str) else files.output_name(F.col("image_id"), output["operation"])
-    return geotiff.write(geotiff.files(parts, info).withColumn("name", called), folder)
+    return geotiff.written(parts, info.withColumn("name", called), folder)
 
 
 def _report(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -115,7 +115,7 @@ def mosaic(spark: SparkSession, paths: list[str], folder: str, register: bool =
     px = geotiff.pixels(geotiff.chunks(spark, paths), names).drop("extra")
     grid = mosaics.union_bounds(scenes).first()
     name = files.mosaic_name(scenes).first().name
-    info = spark.createDataFrame([(name, grid.width, grid.height, first.band_count, first.dtype, first.crs, [grid.res, 0.0, grid.west, 0.0, -grid.res, grid.north], None, first.nodata)], geotiff.SCENES)
+    info = spark.createDataFrame([(name, grid.width, grid.height, first.band_count, first.dtype, first.crs, [grid.res, 0.0, grid.west, 0.0, -grid.res, grid.north], None, first.nodata, first.geokeys)], geotiff.SCENES)
     out = mosaics.mosaic(px, scenes, list(names), register).withColumn("image_id", F.lit(name))
     _written(out, info, names, folder, name)
     return _report(spark, [(",".join(map(_base, order)), name, f"{folder.rstrip('/')}/{name}", grid.width, grid.height, first.band_count, first.dtype, first.crs)])
@@ -142,11 +142,17 @@ def ortho(spark: SparkSession, path: str, folder: str, rpc: str | None = None, d
     # Whole samples are rounded; a kernel with negative lobes may leave their range.
     whole = lambda n: F.greatest(F.lit(low), F.least(F.lit(high), F.rint(n))).alias(n)
     kept = out.select(F.lit(name).alias("image_id"), "y", "x", *(F.col(n) if low is None else whole(n) for n in names))
-    placed = spark.createDataFrame([(name, ground["width"], ground["height"], r.band_count, r.dtype, ground["crs"], [res, 0.0, west, 0.0, -res, north], None, r.nodata)], geotiff.SCENES)
+    placed = spark.createDataFrame([(name, ground["width"], ground["height"], r.band_count, r.dtype, ground["crs"], [res, 0.0, west, 0.0, -res, north], None, r.nodata, _keys(ground["crs"]))], geotiff.SCENES)
     _written(kept, placed, names, folder, name)
     return _report(spark, [(_base(path), name, f"{folder.rstrip('/')}/{name}", ground["width"], ground["height"], r.band_count, r.dtype, ground["crs"])])
 
 
+def _keys(crs: str) -> list[int]:
+    """Keys of what an image was projected to: degrees, or a zone in metres, whatever the range its code lies in."""
+    code = int(crs.split(":")[1])
+    return [1024, 2, 1025, 1, 2048, code] if code in orthos.DEGREES else [1024, 1, 1025, 1, 3072, code]
+
+
 def _range(dtype: str) -> tuple[float | None, float | None]:
     import numpy as np
 
@@ -157,7 +163,7 @@ def _range(dtype: str) -> tuple[float | None, float | None]:
 def _heights(spark: SparkSession, path: str) -> DataFrame:
     """An elevation model in degrees as operators.ortho.looked_up() takes it."""
     _, rows = opened(spark, path)
-    if rows[0].crs not in (None, "EPSG:4326", "EPSG:4490"):
+    if rows[0].crs not in (None, *(f"EPSG:{c}" for c in orthos.DEGREES)):
         raise OrthoFailed(f"the elevation model must be in degrees, not in {rows[0].crs}")
     res, _, west, _, down, north = rows[0].transform
     px = geotiff.pixels(geotiff.chunks(spark, path), ("h",))
@@ -174,6 +180,6 @@ def crop(spark: SparkSession, path: str, folder: str, size: int) -> DataFrame:
     a, b, c, d, e, f = r.transform
     dx, dy = (r.width - size) // 2, (r.height - size) // 2
     px = tiles.centre_crop(geotiff.pixels(geotiff.chunks(spark, path), names), info, size).drop("extra")
-    placed = spark.createDataFrame([(r.image_id, size, size, r.band_count, r.dtype, r.crs, [a, b, c + a * dx + b * dy, d, e, f + d * dx + e * dy], None, r.nodata)], geotiff.SCENES)
+    placed = spark.createDataFrame([(r.image_id, size, size, r.band_count, r.dtype, r.crs, [a, b, c + a * dx + b * dy, d, e, f + d * dx + e * dy], None, r.nodata, r.geokeys)], geotiff.SCENES)
     _written(px, placed, names, folder, _base(path))
     return _report(spark, [(_base(path), _base(path), f"{folder.rstrip('/')}/{_base(path)}", size, size, r.band_count, r.dtype, r.crs)])

@@ -51,13 +51,17 @@ def footprint(model: dict, height: int, width: int, h: float, steps: int = 10) -
     return float(lon.min()), float(lat.min()), float(lon.max()), float(lat.max())
 
 
+#: Codes of systems in degrees that can be projected to.
+DEGREES = (4326, 4490)
+
+
 def meridian_of(crs: str) -> float | None:
     """The central meridian of a Gauss-Krueger zone, None for degrees; anything else has no projection here."""
     m = re.fullmatch(r"EPSG:(\d+)", crs)
     code = int(m[1]) if m else 0
     if geodesy.ZONES[0] <= code - geodesy.FIRST_EPSG <= geodesy.ZONES[1]:
         return 3.0 * (code - geodesy.FIRST_EPSG)
-    if code in (4326, 4490):
+    if code in DEGREES:
         return None
     raise OrthoFailed(f"only degrees and Gauss-Krueger zones are projected to: {crs}")
 

@@ -73,6 +73,19 @@ def pad_index(sizes: DataFrame, tile: int) -> DataFrame:
     return sizes.select("image_id", "n", F.explode(F.sequence(F.lit(0), F.lit(tile - 1))).alias("i")).select("image_id", "i", reflected(F.col("i"), F.col("n")).alias("src"))
 
 
+def band_sums(chunks: DataFrame) -> DataFrame:
+    """Binary tiles with the sums r, g and b of their three bands in place of the data."""
+    keep = [c for c in chunks.columns if c not in ("data", "image_id")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [np.frombuffer(d.as_buffer(), np.uint8).reshape(3, -1).sum(axis=1, dtype=np.int64) for d in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array([x[k] for x in sums], pa.int64()) for k in range(3))], names=[*keep, *"rgb"])
+
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keep)
+    return chunks.mapInArrow(run, f"{kinds}, r bigint, g bigint, b bigint")
+
+
 def padded(chunks: DataFrame, tile: int = TILE) -> DataFrame:
     """Binary tiles (bands, tile_height, tile_width, uint8) filled up below and to the right by reflection."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geodesy, tone
 from ..operators import boxes, field, mosaic, ortho, registration, tiles, tone as tones
 from ..params import MIN_RESPONSE, Enhance, EnhanceRegions
-from ..sources import files, geojson, rpc, tables
+from ..sources import files, geojson, geotiff, rpc, shared, tables
 from . import sqltext as q
 
 FLAGSHIP = "enhance_linear"
@@ -262,6 +262,37 @@ def _(spark, sf):
     return _round(geojson.downscaled(tables.pixels(spark, sf), 4), "rgb")
 
 
+# Files: the image is written as a tiled file into the shared folder, by many tasks, and read again in parts.
+
+TILE_SIDE = 64
+
+
+def _as_file(spark: SparkSession, sf: str) -> str:
+    px = tables.pixels(spark, sf)
+    size = _extent(px).select("image_id", "width", "height", F.lit(3).alias("band_count"), F.lit("uint8").alias("dtype"), F.lit("EPSG:4490").alias("crs"), F.array(*map(F.lit, (0.5, 0.0, 100.0, 0.0, -0.5, 40.0))).alias("transform"), F.lit("255").alias("nodata"), F.lit("orders.tif").alias("name"))
+    return geotiff.written(geotiff.assembled(px, size, size=TILE_SIDE), size, shared.place(spark, "images"), TILE_SIDE)[0]
+
+
+@register("geotiff_header", f"SELECT width, height, 3 AS band_count, 'uint8' AS dtype, 'EPSG:4490' AS crs, [0.5e0, 0e0, 100e0, 0e0, -0.5e0, 40e0] AS transform, '255' AS nodata FROM {_size}")
+def _(spark, sf):
+    return geotiff.scenes(spark, _as_file(spark, sf)).select("width", "height", "band_count", "dtype", "crs", "transform", "nodata")
+
+
+@register("geotiff_scan", f"SELECT y, x, r, g, b FROM ({tables.PIXELS}) WHERE y >= {TILE_SIDE} AND x < {TILE_SIDE}")
+def _(spark, sf):
+    parts = geotiff.chunks(spark, _as_file(spark, sf), TILE_SIDE, rows=(TILE_SIDE, None), columns=(None, TILE_SIDE))
+    return geotiff.pixels(parts).select("y", "x", *(F.col(c).cast("int").alias(c) for c in "rgb"))
+
+
+@register("geotiff_windows", f"""SELECT CAST((row_off // 54) * ceil(width / 54e0) + col_off // 54 AS INTEGER) AS tile_id, row_off, col_off, CAST(least(64, width - col_off) AS INTEGER) AS tile_width, CAST(least(64, height - row_off) AS INTEGER) AS tile_height,
+  CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM ({tables.PIXELS}) p JOIN (
+  SELECT width, height, CAST(unnest(range(0, height, 54)) AS INTEGER) AS row_off, col_off FROM (SELECT *, CAST(unnest(range(0, width, 54)) AS INTEGER) AS col_off FROM {_size})) w
+  ON p.y >= row_off AND p.y < row_off + least(64, height - row_off) AND p.x >= col_off AND p.x < col_off + least(64, width - col_off)
+  WHERE least(64, width - col_off) >= 0.3 * 64 AND least(64, height - row_off) >= 0.3 * 64 GROUP BY width, height, row_off, col_off""")
+def _(spark, sf):
+    return tiles.band_sums(geotiff.windows(spark, _as_file(spark, sf), 64, 0.15))
+
+
 # Detections.
 
 _names = "[" + ", ".join(f"'{c}'" for c in boxes.CLASSES) + "]"

@@ -1,264 +1,50 @@
-"""GeoTIFF files in and out, by the published TIFF 6.0 and GeoTIFF formats.
+"""GeoTIFF files in and out, by many tasks each.
 
-Files are read by Spark's own binary reader, so they may be on any store that Spark reads, and taken apart on the
-executors: a chunk row for each window. Strips, tiles, both byte orders, both planar layouts, no compression, LZW and
-deflate are read, with the horizontal and the floating point predictor; LZW strips are written. The no-data value goes
-from image to image.
+Files are read by the data source of sources.scan, whose partitions are parts of files, and headers by ranges. What is
+written is tiled: tiles are packed where they are, find their places by the sizes before them, and are written there by
+whichever task has them. The no-data value and the geographic keys go from image to image.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..errors import InvalidImage
 from ..params import LEAST_SIDE, OVERLAP, TILE
+from . import shared
+from .scan import AREA, SCHEMA as CHUNKS, Grid, Ranges, Span, listed, load
+from .tiff import RPC_TAG, Tiff, geokeys_of, tile as packed_tile, tiled_layout
 
-#: Field types as (code, bytes), and tags by name.
-TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_OFFSETS, TILE_COUNTS, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
-SCALE, TIEPOINT, TRANSFORM, GEOKEYS, NODATA, RPC_TAG = 33550, 33922, 34264, 34735, 42113, 50844
-
-
-def unlzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes from 9 to 12 bits, highest bit first, widened one code early."""
-    out, table, prev = bytearray(), [], b""
-    bits = have = at = 0
-    width = 9
-    while True:
-        while have < width:
-            if at >= len(data):
-                return bytes(out)
-            bits, have, at = bits << 8 | data[at], have + 8, at + 1
-        code = bits >> (have - width) & ((1 << width) - 1)
-        have -= width
-        bits &= (1 << have) - 1
-        if code == 257:
-            return bytes(out)
-        if code == 256:
-            table, width, prev = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        entry = table[code] if code < len(table) else prev + prev[:1]
-        out += entry
-        if prev:
-            table.append(prev + entry[:1])
-        prev = entry
-        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
-
-
-def lzw(data: bytes) -> bytes:
-    """The inverse of unlzw()."""
-    out, bits, have = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal bits, have
-        bits, have = bits << width | code, have + width
-        while have >= 8:
-            out.append(bits >> (have - 8) & 255)
-            have -= 8
-            bits &= (1 << have) - 1
-
-    table: dict[bytes, int] = {}
-    width, nxt, seen = 9, 258, b""
-    put(256, 9)
-    for i in range(len(data)):
-        more = data[i : i + 1]
-        if seen + more in table or not seen:
-            seen += more
-            continue
-        put(table[seen] if len(seen) > 1 else seen[0], width)
-        table[seen + more] = nxt
-        nxt += 1
-        width = 9 if nxt < 512 else 10 if nxt < 1024 else 11 if nxt < 2048 else 12
-        if nxt == 4094:
-            put(256, width)
-            table, width, nxt = {}, 9, 258
-        seen = more
-    if seen:
-        put(table[seen] if len(seen) > 1 else seen[0], width)
-        nxt += 1
-        width = 9 if nxt < 512 else 10 if nxt < 1024 else 11 if nxt < 2048 else 12
-    put(257, width)
-    if have:
-        out.append(bits << (8 - have) & 255)
-    return bytes(out)
-
-
-class Tiff:
-    """The first image of a file."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        self.order = {b"II": "<", b"MM": ">"}.get(data[:2])
-        if not self.order or len(data) < 8 or struct.unpack_from(self.order + "H", data, 2)[0] != 42:
-            raise InvalidImage("not a TIFF file")
-        at = struct.unpack_from(self.order + "I", data, 4)[0]
-        self.tags: dict[int, tuple] = {}
-        for k in range(struct.unpack_from(self.order + "H", data, at)[0]):
-            tag, kind, n = struct.unpack_from(self.order + "HHI", data, at + 2 + 12 * k)
-            if kind not in TYPES:
-                continue
-            code, size = TYPES[kind]
-            where = at + 10 + 12 * k if size * n <= 4 else struct.unpack_from(self.order + "I", data, at + 10 + 12 * k)[0]
-            self.tags[tag] = (data[where : where + n],) if code == "s" else struct.unpack_from(f"{self.order}{n * len(code)}{code[0]}", data, where)
-        get = lambda t, d=None: self.tags.get(t, (d,))[0]
-        self.width, self.height, self.bands = get(WIDTH), get(HEIGHT), get(SAMPLES, 1)
-        kind = {1: "u", 2: "i", 3: "f"}.get(get(FORMAT, 1))
-        if not self.width or not self.height or kind is None or get(BITS, 1) % 8:
-            raise InvalidImage("unsupported samples")
-        self.dtype = np.dtype(f"{self.order}{kind}{get(BITS, 8) // 8}")
-        self.compression, self.planar, self.predictor = get(COMPRESSION, 1), get(PLANAR, 1), get(PREDICTOR, 1)
-        if self.predictor not in (1, 2, 3) or (self.predictor == 3 and kind != "f"):
-            raise InvalidImage(f"unsupported predictor: {self.predictor}")
-        self.tiled = TILE_W in self.tags
-        self.block = (get(TILE_H), get(TILE_W)) if self.tiled else (min(get(ROWS, self.height), self.height), self.width)
-
-    def transform(self) -> tuple[float, ...]:
-        """a, b, c, d, e, f."""
-        if TRANSFORM in self.tags:
-            m = self.tags[TRANSFORM]
-            return m[0], m[1], m[3], m[4], m[5], m[7]
-        if SCALE in self.tags and TIEPOINT in self.tags:
-            (sx, sy, *_), (i, j, _, x, y, *_) = self.tags[SCALE], self.tags[TIEPOINT]
-            return sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy
-        return 1.0, 0.0, 0.0, 0.0, 1.0, 0.0
-
-    def crs(self) -> str | None:
-        keys = self.tags.get(GEOKEYS, ())
-        found = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
-        code = found.get(3072) or found.get(2048)
-        return f"EPSG:{code}" if code and code != 32767 else None
-
-    def nodata(self) -> str | None:
-        text = self.tags.get(NODATA, (b"",))[0].split(b"\0")[0].decode("ascii", "replace").strip()
-        return text or None
-
-    def _floats(self, raw: bytes, bands: int) -> np.ndarray:
-        """Undoes the floating point predictor: byte differences along a row, whose bytes lie in planes, the highest first."""
-        n, size = self.block[1] * bands, self.dtype.itemsize
-        rows = len(raw) // (n * size)
-        a = np.frombuffer(raw, np.uint8)[: rows * n * size].reshape(rows, n * size // bands, bands)
-        planes = np.cumsum(a, axis=1, dtype=np.uint8).reshape(rows, size, n)
-        big = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}")
-        return big.reshape(rows, self.block[1], bands).astype(self.dtype)
-
-    def _part(self, index: int) -> np.ndarray:
-        offsets, counts = (self.tags[t] for t in ((TILE_OFFSETS, TILE_COUNTS) if self.tiled else (OFFSETS, COUNTS)))
-        raw = self.data[offsets[index] : offsets[index] + counts[index]]
-        if self.compression == 5:
-            raw = unlzw(raw)
-        elif self.compression in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif self.compression != 1:
-            raise InvalidImage(f"unsupported compression: {self.compression}")
-        bands = self.bands if self.planar == 1 else 1
-        if self.predictor == 3:
-            return self._floats(raw, bands)
-        a = np.frombuffer(raw, self.dtype)
-        a = a[: len(a) // (self.block[1] * bands) * self.block[1] * bands].reshape(-1, self.block[1], bands)
-        return np.cumsum(a, axis=1, dtype=self.dtype) if self.predictor == 2 else a
-
-    def read(self, row: int, col: int, height: int, width: int, bands: list[int] | None = None) -> np.ndarray:
-        """(bands, height, width) of a window; only the parts that it touches are unpacked."""
-        bands = list(range(self.bands)) if bands is None else bands
-        out = np.zeros((len(bands), height, width), self.dtype.newbyteorder("="))
-        bh, bw = self.block
-        across, down = -(-self.width // bw), -(-self.height // bh)
-        for r in range(row // bh, min(down, -(-(row + height) // bh))):
-            for c in range(col // bw, min(across, -(-(col + width) // bw))):
-                y0, x0 = max(row, r * bh), max(col, c * bw)
-                y1, x1 = min(row + height, (r + 1) * bh, self.height), min(col + width, (c + 1) * bw, self.width)
-                parts = {0: self._part(r * across + c)} if self.planar == 1 else {b: self._part((b * down + r) * across + c) for b in bands}
-                for k, b in enumerate(bands):
-                    a = parts[0][:, :, b] if self.planar == 1 else parts[b][:, :, 0]
-                    out[k, y0 - row : y1 - row, x0 - col : x1 - col] = a[y0 - r * bh : y1 - r * bh, x0 - c * bw : x1 - c * bw]
-        return out
-
-
-def geographic(epsg: int) -> bool:
-    """Whether a code is of degrees: the ranges that the register keeps for them; zones in metres lie between."""
-    return 4001 <= epsg <= 4490 or 4555 <= epsg <= 4977 or epsg in (4979,)
-
-
-def encode(a: np.ndarray, transform: tuple[float, ...], crs: str | None, compress: bool = True, rows: int = 64, nodata: str | None = None) -> bytes:
-    """A GeoTIFF of (bands, height, width), pixel-interleaved, in LZW strips."""
-    bands, height, width = a.shape
-    a = np.ascontiguousarray(a.transpose(1, 2, 0)).astype(a.dtype.newbyteorder("<"))
-    pack = lzw if compress else bytes
-    strips = [pack(a[r : r + rows].tobytes()) for r in range(0, height, rows)]
-    ta, tb, tc, td, te, tf = transform
-    epsg = int(crs.split(":")[1]) if crs and crs.upper().startswith("EPSG:") else None
-    degrees = epsg is not None and geographic(epsg)
-    keys = [1, 1, 0, 2 + (epsg is not None), 1024, 0, 1, 2 if degrees else 1, 1025, 0, 1, 1] + ([2048 if degrees else 3072, 0, 1, epsg] if epsg else [])
-    at, offsets = 8, []
-    for s in strips:
-        offsets.append(at)
-        at += len(s)
-    kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    fields = [(WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [a.dtype.itemsize * 8] * bands), (COMPRESSION, 3, [5 if compress else 1]), (PHOTOMETRIC, 3, [2 if bands >= 3 else 1]), (OFFSETS, 4, offsets), (SAMPLES, 3, [bands]), (ROWS, 4, [rows]), (COUNTS, 4, [len(s) for s in strips]), (PLANAR, 3, [1])]
-    if bands > 3:
-        fields.append((338, 3, [0] * (bands - 3)))
-    fields += [(FORMAT, 3, [kind] * bands)]
-    fields += [(SCALE, 12, [ta, -te, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, tc, tf, 0.0])] if not tb and not td else [(TRANSFORM, 12, [ta, tb, 0.0, tc, td, te, 0.0, tf, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
-    fields.append((GEOKEYS, 3, keys))
-    if nodata:
-        fields.append((NODATA, 2, nodata.encode("ascii") + b"\0"))
-    at += at % 2
-    head, tail, end = b"", b"", at + 2 + 12 * len(fields) + 4
-    for tag, t, values in sorted(fields):
-        raw = values if isinstance(values, bytes) else struct.pack(f"<{len(values)}{TYPES[t][0]}", *values)
-        head += struct.pack("<HHI", tag, t, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", end + len(tail)))
-        tail += raw + b"\0" * (len(raw) % 2) if len(raw) > 4 else b""
-    body = b"".join(strips)
-    return b"II*\0" + struct.pack("<I", at) + body + b"\0" * ((8 + len(body)) % 2) + struct.pack("<H", len(fields)) + head + b"\0\0\0\0" + tail
-
-
-CHUNKS = "image_id string, chunk_row int, chunk_col int, row_off int, col_off int, width int, height int, dtype string, bands int, data binary"
-SCENES = "image_id string, width int, height int, band_count int, dtype string, crs string, transform array<double>, rpc array<double>, nodata string"
-
-
-def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "double": pa.float64()}
-    names, types = zip(*(f.split(" ") for f in schema.split(", ")), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, t in enumerate(types)], names=list(names))
-
-
-def _files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+SCENES = "image_id string, width int, height int, band_count int, dtype string, crs string, transform array<double>, rpc array<double>, nodata string, geokeys array<int>"
 
 
 def scenes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """A row for each file: size, bands, type, reference system, transform, embedded camera model."""
+    """A row for each file: size, bands, type, reference system, transform, embedded camera model, no-data value, geographic keys as key and value by turns. Only headers are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), *(pa.int32(),) * 3, pa.string(), pa.string(), *(pa.list_(pa.float64()),) * 2, pa.string(), pa.list_(pa.int32())]
         for batch in batches:
-            for r in batch.to_pylist():
-                t = Tiff(r["content"])
-                yield _rows(SCENES, [(r["path"], t.width, t.height, t.bands, t.dtype.name, t.crs(), list(t.transform()), list(t.tags[RPC_TAG]) if RPC_TAG in t.tags else None, t.nodata())])
-
-    return _files(spark, paths).mapInArrow(run, SCENES)
-
+            rows = []
+            for path in batch.column("path").to_pylist():
+                t = Tiff(Ranges(path))
+                rows.append((path, t.width, t.height, t.bands, t.dtype.name, t.crs(), list(t.transform()), list(t.tags[RPC_TAG]) if RPC_TAG in t.tags else None, t.nodata(), [v for pair in t.geokeys() for v in pair] or None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split(" ")[0] for f in SCENES.split(", ")])
 
-def chunks(spark: SparkSession, paths: list[str] | str, size: int = 512, bands: list[int] | None = None) -> DataFrame:
-    """Windows of size x size, band-major; only the bands asked for are unpacked."""
+    return listed(spark, paths).select("path").mapInArrow(run, SCENES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                t = Tiff(r["content"])
-                for i in range(0, t.height, size):
-                    for j in range(0, t.width, size):
-                        a = t.read(i, j, min(size, t.height - i), min(size, t.width - j), bands)
-                        yield _rows(CHUNKS, [(r["path"], i // size, j // size, i, j, a.shape[2], a.shape[1], a.dtype.name, a.shape[0], a.tobytes())])
 
-    return _files(spark, paths).mapInArrow(run, CHUNKS)
+def chunks(spark: SparkSession, paths: list[str] | str, size: int = 512, bands: list[int] | None = None, area: int = AREA, rows: Span = (None, None), columns: Span = (None, None)) -> DataFrame:
+    """Windows of size x size, band-major; only the bands asked for, and the windows that begin within rows and columns, are read."""
+    return load(spark, paths, Grid(size, size), bands, area=area, rows=rows, columns=columns)
 
 
 def pixels(parts: DataFrame, names: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -272,46 +58,25 @@ def pixels(parts: DataFrame, names: tuple[str, ...] = ("r", "g", "b")) -> DataFr
                 if len(a) < len(names):
                     raise InvalidImage(f"{r['image_id']} has {len(a)} bands, not {len(names)}")
                 y, x = np.indices(a.shape[1:], np.int32)
-                extra = a[len(names) :].reshape(len(a) - len(names), y.size).T
-                cols = [pa.array([r["image_id"]] * y.size), pa.array(y.ravel() + r["row_off"], pa.int32()), pa.array(x.ravel() + r["col_off"], pa.int32()), *(pa.array(a[k].ravel()) for k in range(len(names))), pa.array(list(extra), pa.list_(pa.float64()))]
+                more = len(a) - len(names)
+                extra = pa.ListArray.from_arrays(pa.array(np.arange(y.size + 1) * more, pa.int32()), pa.array(a[len(names) :].reshape(more, y.size).T.ravel()))
+                cols = [pa.array([r["image_id"]] * y.size), pa.array(y.ravel() + r["row_off"], pa.int32()), pa.array(x.ravel() + r["col_off"], pa.int32()), *(pa.array(a[k].ravel()) for k in range(len(names))), extra]
                 yield pa.RecordBatch.from_arrays(cols, names=["image_id", "y", "x", *names, "extra"])
 
     return parts.mapInArrow(run, schema)
 
 
-def windows(spark: SparkSession, paths: list[str] | str, tile: int = TILE, overlap: float = OVERLAP, cover_edges: bool = False) -> DataFrame:
+def windows(spark: SparkSession, paths: list[str] | str, tile: int = TILE, overlap: float = OVERLAP, cover_edges: bool = False, area: int = AREA) -> DataFrame:
     """(image_id, tile_id, row_off, col_off, tile_width, tile_height, data): the windows of operators.tiles.windows(), as detectors take them.
 
-    data is 3 x tile_height x tile_width of uint8; only a window's own parts of the bands it shows are unpacked.
+    data is 3 x tile_height x tile_width of uint8.
     """
     from ..operators.tiles import stride
 
-    step, least = stride(tile, overlap), 0 if cover_edges else LEAST_SIDE * tile
-    schema = "image_id string, tile_id int, row_off int, col_off int, tile_width int, tile_height int, data binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                t = Tiff(r["content"])
-                places = [(i, j) for i in range(0, t.height, step) for j in range(0, t.width, step)]
-                for n, (i, j) in enumerate(places):
-                    h, w = min(tile, t.height - i), min(tile, t.width - j)
-                    if min(h, w) >= least:
-                        yield _rows(schema, [(r["path"], n, i, j, w, h, _bytes(t.read(i, j, h, w, [*range(min(3, t.bands))])).tobytes())])
-
-    return _files(spark, paths).mapInArrow(run, schema)
-
-
-def _bytes(a: np.ndarray) -> np.ndarray:
-    """Three bands of 8 bits from one, two or three: one stands for all, a third is empty; other types are stretched."""
-    if len(a) < 3:
-        a = np.concatenate([a, np.zeros_like(a[:1])]) if len(a) == 2 else np.repeat(a, 3, axis=0)
-    if a.dtype == np.uint8:
-        return a
-    if a.dtype == np.uint16:
-        return (a >> 8).astype(np.uint8)
-    low, high = float(a.min()), float(a.max())
-    return ((a.astype(float) - low) / (high - low) * 255).astype(np.uint8) if high > low else np.zeros(a.shape, np.uint8)
+    step = stride(tile, overlap)
+    read = load(spark, paths, Grid(tile, step, 0 if cover_edges else LEAST_SIDE * tile), as_shown=True, area=area)
+    across = scenes(spark, paths).select("image_id", F.ceil(F.col("width") / step).alias("_n"))
+    return read.join(F.broadcast(across), "image_id").select("image_id", (F.col("chunk_row") * F.col("_n") + F.col("chunk_col")).cast("int").alias("tile_id"), "row_off", "col_off", F.col("width").alias("tile_width"), F.col("height").alias("tile_height"), "data")
 
 
 def assembled(px: DataFrame, info: DataFrame, names: tuple[str, ...] = ("r", "g", "b"), size: int = 512) -> DataFrame:
@@ -319,8 +84,6 @@ def assembled(px: DataFrame, info: DataFrame, names: tuple[str, ...] = ("r", "g"
 
     A group is a window, so of size x size rows at most; places without a pixel are 0.
     """
-    import pandas as pd
-
     extra = "extra" in px.columns
     cell = lambda c: F.floor(F.col(c) / size).cast("int")
     placed = px.select("image_id", cell("y").alias("chunk_row"), cell("x").alias("chunk_col"), "y", "x", *names, *(["extra"] if extra else []))
@@ -343,39 +106,187 @@ def assembled(px: DataFrame, info: DataFrame, names: tuple[str, ...] = ("r", "g"
     return placed.groupBy("image_id", "chunk_row", "chunk_col").applyInPandas(run, CHUNKS)
 
 
-def files(parts: DataFrame, info: DataFrame, compress: bool = True) -> DataFrame:
-    """(image_id, data): a GeoTIFF for each image, from chunks and scenes. A file is one task's, as its size is limited."""
-    import pandas as pd
+# Tiled files. A table of tiles has (image_id, k, n, data): the number of the tile in its image, its packed bytes.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        out = np.zeros((int(first["bands"]), int((pdf["row_off"] + pdf["height"]).max()), int((pdf["col_off"] + pdf["width"]).max())), first["dtype"])
-        for r in pdf.itertuples():
-            out[:, r.row_off : r.row_off + r.height, r.col_off : r.col_off + r.width] = np.frombuffer(r.data, r.dtype).reshape(r.bands, r.height, r.width)
-        return pd.DataFrame({"image_id": [first["image_id"]], "data": [encode(out, tuple(first["transform"]), first["crs"], compress, nodata=first["nodata"])]})
+#: Tiles whose sizes are added up at a time.
+RUN = 1024
 
-    return parts.join(info.select("image_id", "transform", "crs", "nodata"), "image_id").groupBy("image_id").applyInPandas(run, "image_id string, data binary")
 
+def packed(parts: DataFrame, info: DataFrame, side: int, compress: str | None = "lzw") -> DataFrame:
+    """The tiles of chunks that lie on a grid of side x side, packed where the chunks are."""
+    placed = parts.join(info.select("image_id", F.ceil(F.col("width") / side).cast("long").alias("_n")), "image_id")
+    placed = placed.withColumn("k", F.floor(F.col("row_off") / side) * F.col("_n") + F.floor(F.col("col_off") / side))
 
-def write(out: DataFrame, folder: str) -> list[str]:
-    """Write (image_id, data) as files, named by a column name or as the images are; the paths.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a tile at a time: they may be large
+                r = batch.slice(i, 1).to_pylist()[0]
+                out = packed_tile(np.frombuffer(r["data"], r["dtype"]).reshape(r["bands"], r["height"], r["width"]), side, compress)
+                yield _tile(r["image_id"], r["k"], out)
 
-    Each task writes its own files through pyarrow, to a folder that all machines share or to a store that it knows. A
-    file gets its name when it is whole, so that a task that is lost leaves none behind, and one that is run again
-    replaces it.
-    """
-    name = F.col("name") if "name" in out.columns else F.substring_index("image_id", "/", -1)
-    target = F.concat(F.lit(folder.rstrip("/") + "/"), name)
+    return placed.select("image_id", "k", "height", "width", "dtype", "bands", "data").mapInArrow(run, TILES)
+
+
+def missing(tiles: DataFrame, info: DataFrame, side: int, compress: str | None = "lzw") -> DataFrame:
+    """Tiles of zeros where an image has none; only numbers of tiles are exchanged to find them."""
+    count = F.ceil(F.col("width") / side) * F.ceil(F.col("height") / side)
+    every = info.select("image_id", "dtype", "band_count", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                store, path = pa.fs.FileSystem.from_uri(r["target"])
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                with store.open_output_stream(part) as f:
-                    f.write(r["data"])
-                store.move(part, path)
-                yield pa.RecordBatch.from_arrays([pa.array([r["target"]])], names=["target"])
+                yield _tile(r["image_id"], r["k"], packed_tile(np.zeros((r["band_count"], side, side), r["dtype"]), side, compress))
+
+    return every.join(tiles.select("image_id", "k"), ["image_id", "k"], "left_anti").mapInArrow(run, TILES)
+
+
+TILES = "image_id string, k bigint, n bigint, data binary"
+
+
+def _tile(image_id: str, k: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([image_id]), pa.array([k], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=["image_id", "k", "n", "data"])
+
+
+def ahead(tiles: DataFrame, run: int = RUN) -> DataFrame:
+    """(image_id, k, n, at): the bytes before each tile. Runs of tiles are added up first, and runs of their sums, so that no window holds more than a run."""
+    level = [tiles.select("image_id", "k", "n")]
+    top = level[0].agg(F.max("k")).first()[0] or 0
+    while top > 0:  # a thousand runs of a thousand tiles each are an image of a million tiles
+        level.append(level[-1].groupBy("image_id", F.floor(F.col("k") / run).alias("k")).agg(F.sum("n").alias("n")))
+        top //= run
+    placed = level[-1].withColumn("at", F.lit(0).cast("long"))
+    before = Window.partitionBy("image_id", "_run").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    for rows in reversed(level[:-1]):
+        base = placed.select("image_id", F.col("k").alias("_run"), F.col("at").alias("_base"))
+        own = rows.withColumn("_run", F.floor(F.col("k") / run)).join(base, ["image_id", "_run"])
+        placed = own.select("image_id", "k", "n", (F.col("_base") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("at"))
+    return placed
 
-    return sorted(r.target for r in out.select(target.alias("target"), "data").mapInArrow(run, "target string").collect())
+
+JOBS = "image_id string, target string, part string, here boolean, start bigint, offsets bigint, counts bigint, big boolean, opening binary, directory binary, dir_at bigint"
+
+
+def layouts(info: DataFrame, places: DataFrame, folder: str, side: int, compress: str | None, big: bool | None, append: bool = False) -> DataFrame:
+    """A row for each file: its name, the one it has until it is whole, where its parts lie, and the bytes around the tiles."""
+    name = F.col("name") if "name" in info.columns else F.substring_index("image_id", "/", -1)
+    keys = F.col("geokeys") if "geokeys" in info.columns else F.lit(None).cast("array<int>")
+    sizes = places.groupBy("image_id").agg(F.sum("n").alias("total"))
+    rows = info.join(sizes, "image_id").select("image_id", F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("target"), "width", "height", "dtype", "band_count", "crs", "transform", "nodata", keys.alias("geokeys"), "total")
+    token = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                own = r["geokeys"]
+                geo = list(zip(own[::2], own[1::2], strict=True)) if own else geokeys_of(r["crs"])
+                opening, start, offsets, counts, directory, is_big = tiled_layout(r["band_count"], r["height"], r["width"], np.dtype(r["dtype"]), side, r["total"], tuple(r["transform"]), compress, r["nodata"], geo, big)
+                here = not append and isinstance(pa.fs.FileSystem.from_uri(r["target"])[0], pa.fs.LocalFileSystem)
+                out.append((r["image_id"], r["target"], f"{r['target']}.{token}.part", here, start, offsets, counts, is_big, opening, directory, struct.unpack("<Q" if is_big else "<I", opening[-8:] if is_big else opening[-4:])[0]))
+            kinds = (*(pa.string(),) * 3, pa.bool_(), *(pa.int64(),) * 3, pa.bool_(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[f.split(" ")[0] for f in JOBS.split(", ")])
+
+    return rows.mapInArrow(run, JOBS)
+
+
+def _put(path: str, *pieces: tuple[int, bytes]) -> None:
+    """Bytes at their places in a file that others write to as well."""
+    fd = os.open(path, os.O_WRONLY | os.O_CREAT, 0o644)
+    try:
+        for at, data in pieces:
+            while data:
+                n = os.pwrite(fd, data, at)
+                at, data = at + n, data[n:]
+    finally:
+        os.close(fd)
+
+
+def _local(uri: str) -> str:
+    return pa.fs.FileSystem.from_uri(uri)[1]
+
+
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            path = _local(r["part"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            _put(path, (0, r["opening"]), (r["dir_at"], r["directory"]))
+        yield pa.RecordBatch.from_arrays([batch.column("target")], names=["target"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            word = "<Q" if r["big"] else "<I"
+            size, at = struct.calcsize(word), r["start"] + r["at"]
+            _put(_local(r["part"]), (at, r["data"]), (r["offsets"] + size * r["k"], struct.pack(word, at)), (r["counts"] + size * r["k"], struct.pack(word, r["n"])))
+        yield pa.RecordBatch.from_arrays([batch.column("n")], names=["n"])
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files whose tiles come in order, one after the other, for stores that only append."""
+    job, f, at, sizes = None, None, 0, []
+
+    def close() -> None:
+        word = "Q" if job["big"] else "I"
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) + job["start"]
+        lists = struct.pack(f"<{len(sizes)}{word}", *starts.astype(int).tolist()) + struct.pack(f"<{len(sizes)}{word}", *sizes)
+        f.write(b"\0" * (job["offsets"] - at) + lists)
+        f.write(b"\0" * (job["dir_at"] - job["offsets"] - len(lists)) + job["directory"])
+        f.close()
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = batch.slice(i, 1).to_pylist()[0]
+            if job is None or r["image_id"] != job["image_id"]:
+                if f:
+                    close()
+                store, path = pa.fs.FileSystem.from_uri(r["part"])
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                job, f, at, sizes = r, store.open_output_stream(path), r["start"], []
+                f.write(r["opening"])
+            f.write(r["data"])
+            at += r["n"]
+            sizes.append(r["n"])
+        yield pa.RecordBatch.from_arrays([batch.column("n")], names=["n"])
+    if f:
+        close()
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files get their names; one that a lost task has named already is left."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            store, part = pa.fs.FileSystem.from_uri(r["part"])
+            if store.get_file_info(part).type != pa.fs.FileType.NotFound:
+                store.move(part, pa.fs.FileSystem.from_uri(r["target"])[1])
+        yield pa.RecordBatch.from_arrays([batch.column("target")], names=["target"])
+
+
+def written(parts: DataFrame, info: DataFrame, folder: str, side: int = 512, compress: str | None = "lzw", big: bool | None = None, append: bool = False) -> list[str]:
+    """Write each image as a tiled GeoTIFF; the paths. parts: its chunks of side x side, a multiple of 16; info: scenes, with a name for the file if it isn't the image's.
+
+    Packed tiles are written to the shared folder once, so a lost task packs its own again only; sums of their sizes
+    give every tile its place. On a file system with random access each task writes its tiles, and their entries in the
+    two lists of tiles, at their places in a file that has no name yet: what is run again writes the same bytes. On
+    other stores a task streams each file's tiles in order. compress: lzw, deflate or None; big: places of 64 bits, by
+    size if not said; append: take any store for one that only appends.
+    """
+    if side % 16:
+        raise InvalidImage(f"sides of tiles are multiples of 16, not {side}")
+    own = shared.saved(packed(parts, info, side, compress), "tiles")
+    rest = shared.saved(missing(own, info, side, compress), "tiles-of-zeros")
+    tiles = own.unionByName(rest)
+    places = shared.saved(ahead(tiles), "places")
+    jobs = shared.saved(layouts(info, places, folder, side, compress, big, append), "files")
+    here, there = jobs.where("here"), jobs.where("not here")
+    placed = tiles.join(places.select("image_id", "k", "at"), ["image_id", "k"])
+    here.mapInArrow(_begun, "target string").count()
+    placed.join(here.drop("opening", "directory"), "image_id").mapInArrow(_placed, "n bigint").count()
+    if not there.isEmpty():
+        placed.join(there, "image_id").repartition("image_id").sortWithinPartitions("image_id", "k").mapInArrow(_streamed, "n bigint").count()
+    out = sorted(r.target for r in jobs.mapInArrow(_named, "target string").collect())  # a name for each file
+    for table in (own, rest, places, jobs):
+        shared.drop(table)
+    return out

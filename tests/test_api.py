@@ -7,18 +7,18 @@ import pytest
 
 from gridloom import api, errors
 from gridloom.operators import field
-from gridloom.sources import geotiff
+from gridloom.sources import geotiff, tiff
 
 GEO = (0.5, 0.0, 100.0, 0.0, -0.5, 40.0)
 
 
 def put(path, a, transform=GEO, crs="EPSG:4490"):
-    path.write_bytes(geotiff.encode(a, transform, crs))
+    path.write_bytes(tiff.encode(a, transform, crs))
     return str(path)
 
 
 def get(path):
-    t = geotiff.Tiff(open(path, "rb").read())
+    t = tiff.Tiff(open(path, "rb").read())
     return t.read(0, 0, t.height, t.width), t
 
 
@@ -170,15 +170,15 @@ def test_elevation_is_interpolated(spark):
 
 
 def test_no_data_stays(spark, tmp_path):
-    (tmp_path / "n.tif").write_bytes(geotiff.encode(noise(3, 8, 9), GEO, "EPSG:4490", nodata="-9999"))
+    (tmp_path / "n.tif").write_bytes(tiff.encode(noise(3, 8, 9), GEO, "EPSG:4490", nodata="-9999"))
     assert get(api.enhance(spark, str(tmp_path / "n.tif"), str(tmp_path / "out")).first().path)[1].nodata() == "-9999"
     assert get(api.crop(spark, str(tmp_path / "n.tif"), str(tmp_path / "cut"), 4).first().path)[1].nodata() == "-9999"
     assert get(put(tmp_path / "m.tif", noise(1, 4, 4)))[1].nodata() is None
 
 
 def test_codes_of_degrees_and_metres():
-    kinds = {code: geotiff.Tiff(geotiff.encode(noise(1, 4, 4), GEO, f"EPSG:{code}")) for code in (4326, 4490, 4491, 4499, 4513, 4554, 4555, 3857)}
-    model = {code: dict(zip(t.tags[geotiff.GEOKEYS][4::4], t.tags[geotiff.GEOKEYS][7::4], strict=True)) for code, t in kinds.items()}
+    kinds = {code: tiff.Tiff(tiff.encode(noise(1, 4, 4), GEO, f"EPSG:{code}")) for code in (4326, 4490, 4491, 4499, 4513, 4554, 4555, 3857)}
+    model = {code: dict(zip(t.tags[tiff.GEOKEYS][4::4], t.tags[tiff.GEOKEYS][7::4], strict=True)) for code, t in kinds.items()}
     assert {code: m[1024] for code, m in model.items()} == {4326: 2, 4490: 2, 4491: 1, 4499: 1, 4513: 1, 4554: 1, 4555: 2, 3857: 1}
     assert all(t.crs() == f"EPSG:{code}" for code, t in kinds.items())
 
@@ -186,12 +186,12 @@ def test_codes_of_degrees_and_metres():
 @pytest.mark.parametrize(("dtype", "bands"), [(np.float32, 1), (np.float64, 3)])
 def test_floating_point_predictor(dtype, bands):
     a = np.random.default_rng(4).standard_normal((bands, 12, 10)).astype(dtype)
-    t = geotiff.Tiff(geotiff.encode(a, GEO, None, compress=False))
+    t = tiff.Tiff(tiff.encode(a, GEO, None, compress=False))
     size, n = a.itemsize, 10 * bands
     big = np.ascontiguousarray(a.transpose(1, 2, 0)).astype(a.dtype.newbyteorder(">")).view(np.uint8).reshape(12, n, size)
     planes = big.transpose(0, 2, 1).reshape(12, n * size).copy()
     planes[:, bands:] -= planes[:, :-bands].copy()
-    at = t.tags[geotiff.OFFSETS][0]
+    at = t.tags[tiff.OFFSETS][0]
     t.data, t.predictor = t.data[:at] + planes.tobytes() + t.data[at + planes.size :], 3
     assert (t.read(0, 0, 12, 10) == a).all()
 

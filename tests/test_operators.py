@@ -11,7 +11,7 @@ from gridloom import errors
 from gridloom.functions import geodesy, tone
 from gridloom.operators import boxes, detect, field, mosaic, ortho, registration, tiles, tone as tones
 from gridloom.params import Detect, Enhance, EnhanceRegions, Ortho, parse_classes
-from gridloom.sources import files, geojson, geotiff, rpc
+from gridloom.sources import files, geojson, geotiff, rpc, tiff
 from gridloom.streaming import drop
 
 
@@ -275,7 +275,7 @@ def test_ortho(spark):
 @pytest.mark.parametrize("dtype", ["uint8", "uint16", "float32"])
 def test_geotiff_round_trip(spark, tmp_path, dtype):
     a = (np.random.default_rng(2).random((4, 70, 90)) * 200).astype(dtype)
-    (tmp_path / "a.tif").write_bytes(geotiff.encode(a, (0.5, 0.0, 100.0, 0.0, -0.5, 40.0), "EPSG:4490"))
+    (tmp_path / "a.tif").write_bytes(tiff.encode(a, (0.5, 0.0, 100.0, 0.0, -0.5, 40.0), "EPSG:4490"))
     info = geotiff.scenes(spark, str(tmp_path / "a.tif"))
     r = info.first()
     assert (r.width, r.height, r.band_count, r.dtype, r.crs, r.transform) == (90, 70, 4, dtype, "EPSG:4490", [0.5, 0.0, 100.0, 0.0, -0.5, 40.0])
@@ -283,16 +283,16 @@ def test_geotiff_round_trip(spark, tmp_path, dtype):
     assert parts.count() == 9 and geotiff.chunks(spark, str(tmp_path / "a.tif"), 64, [2]).first().bands == 1
     px = geotiff.pixels(parts).where("y = 65 and x = 88").first()
     assert (px.r, px.extra[0]) == (float(a[0, 65, 88]), float(a[3, 65, 88]))
-    out = geotiff.write(geotiff.files(parts, info), str(tmp_path / "out"))
-    assert (geotiff.Tiff(open(out[0], "rb").read()).read(0, 0, 70, 90) == a).all()
+    out = geotiff.written(parts, info, str(tmp_path / "out"), 32)
+    assert (tiff.Tiff(open(out[0], "rb").read()).read(0, 0, 70, 90) == a).all()
 
 
 def test_lzw():
     r = np.random.default_rng(1)
     for data in (b"", b"a", b"ab" * 9000, r.integers(0, 256, 40000, dtype=np.uint8).tobytes()):
-        assert geotiff.unlzw(geotiff.lzw(data)) == data
+        assert tiff.unlzw(tiff.lzw(data)) == data
     with pytest.raises(errors.InvalidImage):
-        geotiff.Tiff(b"no image")
+        tiff.Tiff(b"no image")
 
 
 def test_png():
@@ -314,7 +314,7 @@ def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     for k in range(3):
-        (src / f"{k}.tif").write_bytes(geotiff.encode(np.full((3, 4, 4), k, np.uint8), (1, 0, 0, 0, -1, 0), None))
+        (src / f"{k}.tif").write_bytes(tiff.encode(np.full((3, 4, 4), k, np.uint8), (1, 0, 0, 0, -1, 0), None))
     q = drop.process(drop.arrivals(spark, str(src), 2), lambda b: b.select("path", "length"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
