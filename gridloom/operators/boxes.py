@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..params import GLOBAL_IOU
+from ..sources import shared
 
 #: The fifteen classes of the detector, by id.
 CLASSES = ("plane", "ship", "storage-tank", "baseball-diamond", "tennis-court", "basketball-court", "ground-track-field", "harbor", "bridge", "large-vehicle", "small-vehicle", "helicopter", "roundabout", "soccer-ball-field", "swimming-pool")
@@ -71,6 +72,9 @@ def pairs(dets: DataFrame, cell: float = CELL, over: float | None = None) -> Dat
     boxes = dets.select("image_id", "cls", "det_id", "confidence", *SHAPE, edge(F.least, 0).alias("x0"), edge(F.greatest, 0).alias("x1"), edge(F.least, 1).alias("y0"), edge(F.greatest, 1).alias("y1"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     laid = boxes.select("*", F.explode(span("x0", "x1")).alias("gx")).select("*", F.explode(span("y0", "y1")).alias("gy"))
+    # By a number of partitions of its own: these few rows become many pairs, so tasks are not to be joined by what they
+    # read. Both sides are one exchange.
+    laid = laid.repartition(int(dets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "cls", "gx", "gy")
     keep = ["det_id", "confidence", *SHAPE, "x0", "x1", "y0", "y1"]
     side = lambda p: laid.select("image_id", "cls", "gx", "gy", *(F.col(c).alias(p + c) for c in keep))
     both = side("a_").join(side("b_"), ["image_id", "cls", "gx", "gy"])
@@ -133,9 +137,9 @@ def ring_areas(a: np.ndarray) -> np.ndarray:
     return np.abs((a[..., 0] * nxt[..., 1] - a[..., 1] * nxt[..., 0]).sum(axis=1)) / 2
 
 
-def with_iou(found: DataFrame) -> DataFrame:
-    """pairs() with inter and iou in place of the shapes, whole batches at a time."""
-    keep = ["image_id", "cls", "i", "j"]
+def with_iou(found: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """pairs() with inter and iou in place of the shapes but for more of their columns, whole batches at a time."""
+    keep = ["image_id", "cls", "i", "j", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,52 +155,91 @@ def with_iou(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, kinds + ", inter double, iou double")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Raise unless the session names a shared folder for checkpoints; a local master gets one of its own."""
-    if not spark.sparkContext.getConf().contains("spark.checkpoint.dir") and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+#: Edges that one task settles at most; the side of the tiles that boxes are settled in first, and how they grow.
+SETTLED, FIRST_TILE, GROWTH = 1 << 20, 1024.0, 4
 
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
 
+def settled(i: np.ndarray, j: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, kept): what edges i -> j decide about their ends j, if all edges that lead to these are there.
 
-def suppressed(dets: DataFrame, over: DataFrame, rounds: int = 64) -> DataFrame:
-    """dets without those that a kept one suppresses. over (image_id, cls, i, j): i goes before j and would suppress it.
-
-    A box that nothing left goes before is kept, what it suppresses is not; what is left is asked again. Each round
-    settles a box of every chain at least, all images at once, and no group of boxes is ever gathered. The rounds end
-    when all are settled; the plan is cut at each by a checkpoint, where the session has a folder for it.
+    head: nothing leads to i, which is kept then. A kept box suppresses what it leads to; a box that only suppressed
+    ones lead to is kept. An i that is no head and that nothing here leads to is not decided, nor what hangs on it.
+    """
+    names, ends = np.unique(np.concatenate([i, j]), return_inverse=True)
+    src, dst = ends[: len(i)], ends[len(i) :]
+    order = np.argsort(src, kind="stable")
+    out, first = dst[order].tolist(), np.searchsorted(src[order], np.arange(len(names) + 1)).tolist()
+    left = np.bincount(dst, minlength=len(names))
+    state = np.zeros(len(names), np.int8)  # 1 kept, 2 suppressed
+    todo = np.unique(src[head]).tolist()
+    state[todo] = 1
+    state, left = state.tolist(), left.tolist()
+    while todo:
+        u = todo.pop()
+        for v in out[first[u] : first[u + 1]]:
+            if state[v]:
+                continue
+            left[v] -= 1
+            if state[u] == 1:
+                state[v] = 2
+            elif not left[v]:
+                state[v] = 1
+            else:
+                continue
+            todo.append(v)
+    state, mine = np.array(state), np.zeros(len(names), bool)
+    mine[dst] = True
+    decided = mine & (state > 0)
+    return names[decided], state[decided] == 1
+
+
+def suppressed(dets: DataFrame, over: DataFrame, most: int = SETTLED, tile: float = FIRST_TILE) -> DataFrame:
+    """dets without those that a kept one suppresses. over (image_id, cls, i, j and, if any, b_cx, b_cy, where j is): i goes before j and would suppress it.
+
+    A task has all edges that lead to the boxes of one tile of an image, and settles whatever hangs on boxes of the tile
+    alone; what crosses tiles is asked again in tiles GROWTH times as wide, or half a tile further if those would be too
+    full, and once few edges are left an image and class is one tile. So the rounds follow the logarithm of how far
+    chains reach, not the number of their boxes. Edges and decisions go from round to round as saved tables.
     """
-    with_checkpoints(dets.sparkSession)
-    edges = over.select("i", "j").checkpoint()
-    gone = None
-    while True:
-        heads = edges.select(F.col("i").alias("k")).distinct().join(edges.select(F.col("j").alias("k")).distinct(), "k", "left_anti")
-        lost = edges.join(heads, F.col("i") == F.col("k"), "left_semi").select(F.col("j").alias("k")).distinct()
-        lost = lost.checkpoint()
-        if lost.isEmpty():
-            break
+    if "b_cx" not in over.columns:
+        over = over.join(dets.select("image_id", F.col("det_id").alias("j"), F.col("cx").alias("b_cx"), F.col("cy").alias("b_cy")), ["image_id", "j"])
+    edges, gone, shift = shared.saved(over.select("image_id", "cls", "i", "j", "b_cx", "b_cy"), "edges"), None, 0.0
+    kinds = f"image_id {edges.schema['image_id'].dataType.simpleString()}, k {edges.schema['j'].dataType.simpleString()}, kept boolean"
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, kept = settled(*(rows.column(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "head")))
+        image = rows.column("image_id").take(pa.array(np.zeros(len(ids), np.int64)))
+        return pa.table({"image_id": image, "k": pa.array(ids), "kept": pa.array(kept)})
+
+    def end(df: DataFrame, name: str) -> DataFrame:
+        return df.select("image_id", F.col("k").alias(name))
+
+    def keys(tile: float, shift: float) -> list[Column]:
+        return [F.col("image_id"), F.col("cls"), *(F.floor(F.col(c) / tile + shift).alias(n) for c, n in (("b_cx", "tx"), ("b_cy", "ty")))]
+
+    while n := edges.count():
+        if n > most:
+            full = lambda t: (edges.groupBy(*keys(t, 0.0)).count().agg(F.max("count")).first()[0] or 0) > most
+            if gone is not None and full(tile * GROWTH):
+                shift = 0.5 - shift
+            elif gone is not None:
+                tile, shift = tile * GROWTH, 0.0
+        led = edges.select("image_id", F.col("j").alias("i")).distinct().withColumn("_led", F.lit(True))
+        asked = edges.join(led, ["image_id", "i"], "left").withColumn("head", F.col("_led").isNull())
+        by = keys(tile, shift) if n > most else keys(tile, shift)[:2]
+        found = shared.saved(asked.groupBy(*by).applyInArrow(run, kinds), "settled")
+        lost = found.where("not kept").select("image_id", "k")
         gone = lost if gone is None else gone.unionByName(lost)
-        rest = edges.join(lost, F.col("i") == F.col("k"), "left_anti").join(lost, F.col("j") == F.col("k"), "left_anti")
-        # The heads' own edges lead only to lost ones and went with them.
-        edges = rest.checkpoint()
-    return dets if gone is None else dets.join(gone.select(F.col("k").alias("det_id")), "det_id", "left_anti")
+        rest = edges.join(end(found, "j"), ["image_id", "j"], "left_anti").join(end(lost, "i"), ["image_id", "i"], "left_anti")
+        before, edges = edges, shared.saved(rest.select("image_id", "cls", "i", "j", "b_cx", "b_cy"), "edges")
+        shared.drop(before)
+    shared.drop(edges)
+    return dets if gone is None else dets.join(end(gone, "det_id"), ["image_id", "det_id"], "left_anti")
 
 
 def nms(dets: DataFrame, iou: float = GLOBAL_IOU) -> DataFrame:
-    """Greedy suppression by class; det_id must be unique."""
-    return suppressed(dets, with_iou(pairs(dets, over=iou)).where(F.col("iou") > iou))
-
-
-def nms_small(dets: DataFrame, over: DataFrame) -> DataFrame:
-    """The same by one fold over each image and class, where groups are known to be small."""
-    lists = over.groupBy("image_id", "cls", F.col("j").alias("det_id")).agg(F.collect_list("i").alias("before"))
-    rows = dets.join(lists, ["image_id", "cls", "det_id"], "left").withColumn("before", F.coalesce("before", F.array().cast("array<bigint>")))
-    item = F.struct((-F.col("confidence")).alias("c"), F.col("det_id").alias("i"), F.col("before"))
-    groups = rows.groupBy("image_id", "cls").agg(F.array_sort(F.collect_list(item)).alias("boxes"))
-    kept = F.aggregate("boxes", F.array().cast("array<bigint>"), lambda k, b: F.when(F.arrays_overlap(k, b["before"]), k).otherwise(F.concat(k, F.array(b["i"]))))
-    return dets.join(groups.select(F.explode(kept).alias("det_id")), "det_id", "left_semi")
+    """Greedy suppression by class; det_id must be a number, unique in its image."""
+    return suppressed(dets, with_iou(pairs(dets, over=iou), ("b_cx", "b_cy")).where(F.col("iou") > iou))
 
 
 def merged(dets: DataFrame, iou: float = GLOBAL_IOU) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..errors import DetectionFailed
 from ..params import BATCH, TILE_IOU, Detect
+from ..sources import shared
 from . import boxes, tiles
 
 
@@ -69,7 +70,7 @@ def detect(windows: DataFrame, factory: Factory, p: Detect = Detect()) -> DataFr
     if factory is None:
         raise DetectionFailed("no detector")
     raw = boxes.filtered(detected(tiles.padded(windows, p.tile), factory, p), p.class_ids(), p.confidence)
-    # Written once: the merge reads them several times, and a detector is dear.
-    boxes.with_checkpoints(windows.sparkSession)
-    # Unique over all images, and in an image by window and by place in the window.
-    return boxes.merged(raw.withColumn("det_id", F.struct("tile_id", "k", "image_id")).checkpoint(), p.iou)
+    # Written once: the merge reads them several times, and a detector is dear. Ids are unique in an image: by window and
+    # by place in the window.
+    once = shared.saved(raw.withColumn("det_id", F.col("tile_id").cast("long") * (1 << 32) + F.col("k")), "detections")
+    return boxes.merged(once, p.iou)

@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources import shared
+
 #: Nearest points that count; a point nearer than EXACT to a node gives it its own value; nodes to a side.
 NEAREST, EXACT, EVERY, FEWEST = 8, 0.5, 4, 8
 
@@ -29,9 +31,6 @@ def interpolated(at: DataFrame, points: DataFrame, values: tuple[str, ...], by:
     the nearest points found may not be the nearest of all, it is asked again with wider cells. Nodes of images without
     any point get zeros. A cell is one task's.
     """
-    from .boxes import with_checkpoints
-
-    with_checkpoints(at.sparkSession)
     edge = lambda df, y, x: df.groupBy(*by).agg(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.count("*").alias("n"))
     own = points.select(*by, F.col("y").cast("double").alias("py"), F.col("x").cast("double").alias("px"), *(F.col(v).cast("double").alias(v) for v in values))
     near, far = edge(own, "py", "px"), edge(at, "gy", "gx").drop("n")
@@ -72,7 +71,7 @@ def interpolated(at: DataFrame, points: DataFrame, values: tuple[str, ...], by:
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
         spread = own.select(*by, "py", "px", *values, place("py").alias("cy"), place("px").alias("cx")).select("*", F.explode(around).alias("ry")).select("*", F.explode(around).alias("rx"))
         spread = spread.select(*by, "py", "px", *values, (F.col("cy") + F.col("ry")).alias("cy"), (F.col("cx") + F.col("rx")).alias("cx"))
-        found = nodes.groupBy(*keys).cogroup(spread.join(nodes.select(*keys).distinct(), keys, "left_semi").groupBy(*keys)).applyInArrow(run, kinds).checkpoint()
+        found = shared.saved(nodes.groupBy(*keys).cogroup(spread.join(nodes.select(*keys).distinct(), keys, "left_semi").groupBy(*keys)).applyInArrow(run, kinds), "nodes")
         out = out.unionByName(found.where("sure").select(*by, "i", "j", *values))
         left = found.where("not sure").select(*by, "i", "j", "gy", "gx", "n", (F.col("cell") / wide).alias("cell"))
         if left.isEmpty():

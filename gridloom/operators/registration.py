@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..params import MAX_SHIFT, MIN_OVERLAP, MIN_RESPONSE
+from ..sources import shared
 
 #: A block has from LEAST to MOST pixels a side; one under TINY is not correlated.
 LEAST, MOST, TINY = 32, 64, 16
@@ -26,9 +27,14 @@ def correlate(ref: np.ndarray, src: np.ndarray) -> tuple[float, float, float]:
     if not np.isfinite(size).all() or size.max() == 0:
         return 0.0, 0.0, 0.0
     plane = np.real(np.fft.ifft2(cross / np.where(size > 0, size, 1)))
-    py, px = np.unravel_index(int(plane.argmax()), plane.shape)
+    py, px = (int(i) for i in np.unravel_index(int(plane.argmax()), plane.shape))
+    step = np.arange(-2, 3)
+    return centred(plane[np.ix_((py + step) % h, (px + step) % w)], py, px, h, w)
+
+
+def centred(near: np.ndarray, py: int, px: int, h: int, w: int) -> tuple[float, float, float]:
+    """The peak at (py, px), refined by the centre of mass of its 5 x 5 surround, and that mass; beyond half the plane it is negative."""
     dy, dx = np.meshgrid(np.arange(-2, 3), np.arange(-2, 3), indexing="ij")
-    near = plane[(py + dy) % h, (px + dx) % w]
     mass = near.sum()
     off_y, off_x = ((near * dy).sum() / mass, (near * dx).sum() / mass) if mass else (0.0, 0.0)
     wrap = lambda v, n: v - n if v > n / 2 else v
@@ -48,11 +54,8 @@ def _patch(pdf: pd.DataFrame, bands: list[str], height: int, width: int) -> np.n
     return grey(out)
 
 
-def shifts(patches: DataFrame, bands: list[str]) -> DataFrame:
-    """patches (pair_id, side in ref and src, py, px, height, width, bands) -> (pair_id, d_row, d_col, response).
-
-    A patch is an overlap of two images and goes to one task whole, as a transform needs it.
-    """
+def block_correlations(patches: DataFrame, bands: list[str]) -> DataFrame:
+    """patches (pair_id, side in ref and src, py, px, height, width, bands) -> (pair_id, d_row, d_col, response), of patches that are blocks: a pair is one task's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0])
@@ -63,6 +66,95 @@ def shifts(patches: DataFrame, bands: list[str]) -> DataFrame:
     return patches.select("pair_id", "side", "py", "px", "height", "width", *bands).groupBy("pair_id").applyInPandas(run, f"pair_id {kind}, d_row double, d_col double, response double")
 
 
+# Patches of any size. A two-dimensional transform is one along the rows and one along the columns: bands of rows are
+# transformed, exchanged as bands of columns, and back again.
+
+#: Places of a band of rows or columns that a task holds, about.
+BAND = 1 << 20
+
+
+def thick(length: Column, area: int = BAND) -> Column:
+    """How many rows or columns of this length make a band."""
+    return F.greatest(F.floor(F.lit(area) / length), F.lit(1)).cast("int")
+
+
+def _parts(a: np.ndarray, size: int, axis: int) -> list[tuple[int, bytes]]:
+    """Pieces of a band across the other axis, numbered."""
+    return [(k, np.ascontiguousarray(a[:, k * size : (k + 1) * size] if axis else a[k * size : (k + 1) * size]).tobytes()) for k in range(-(-a.shape[axis] // size))]
+
+
+def shifts(patches: DataFrame, bands: list[str], area: int = BAND) -> DataFrame:
+    """patches (pair_id, side in ref and src, py, px, height, width, bands) -> (pair_id, d_row, d_col, response), as correlate() has them.
+
+    A patch is an overlap of two images of any size: a task holds a band of about area places of it. The correlation
+    plane is written once, as its peak is known only when all of it is there; the surround of the peak is then read from
+    the bands that hold it. Places without a pixel are 0.
+    """
+    kind = patches.schema["pair_id"].dataType.simpleString()
+    light = F.lit(0.299) * F.col(bands[0]) + F.lit(0.587) * F.col(bands[1]) + F.lit(0.114) * F.col(bands[2]) if len(bands) >= 3 else F.col(bands[0])
+    rows = patches.select("pair_id", "side", "py", "px", "height", "width", light.cast("double").alias("v")).withColumn("k", F.floor(F.col("py") / thick(F.col("width"), area)))
+
+    def size(n: int) -> int:
+        return max(1, area // n)
+
+    def along_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        h, w, k = int(first["height"]), int(first["width"]), int(first["k"])
+        top = k * size(w)
+        a = np.zeros((min(size(w), h - top), w))
+        a[pdf["py"].to_numpy() - top, pdf["px"].to_numpy()] = pdf["v"].to_numpy()
+        a = np.fft.fft(a * np.outer(np.hanning(h)[top : top + len(a)], np.hanning(w)), axis=1)
+        return pd.DataFrame([(first["pair_id"], first["side"], h, w, k, c, data) for c, data in _parts(a, size(h), 1)], columns=["pair_id", "side", "height", "width", "k", "c", "data"])
+
+    def along_columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        h, w, c = int(first["height"]), int(first["width"]), int(first["c"])
+        across = min(size(h), w - c * size(h))
+        both = {s: np.zeros((h, across), complex) for s in ("ref", "src")}
+        for r in pdf.itertuples():
+            part = np.frombuffer(r.data, complex).reshape(-1, across)
+            both[r.side][r.k * size(w) : r.k * size(w) + len(part)] = part
+        cross = np.fft.fft(both["ref"], axis=0) * np.conj(np.fft.fft(both["src"], axis=0))
+        length = np.abs(cross)
+        plane = np.fft.ifft(cross / np.where(length > 0, length, 1), axis=0)
+        return pd.DataFrame([(first["pair_id"], h, w, k, c, data) for k, data in _parts(plane, size(w), 0)], columns=["pair_id", "height", "width", "k", "c", "data"])
+
+    def back(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        h, w, k = int(first["height"]), int(first["width"]), int(first["k"])
+        a = np.zeros((min(size(w), h - k * size(w)), w), complex)
+        for r in pdf.itertuples():
+            across = min(size(h), w - r.c * size(h))
+            a[:, r.c * size(h) : r.c * size(h) + across] = np.frombuffer(r.data, complex).reshape(-1, across)
+        plane = np.real(np.fft.ifft(a, axis=1))
+        sound = bool(np.isfinite(plane).all())
+        py, px = np.unravel_index(int(plane.argmax()), plane.shape)
+        return pd.DataFrame([(first["pair_id"], h, w, k, sound, float(plane[py, px]) if sound else 0.0, k * size(w) + int(py), int(px), plane.tobytes())], columns=["pair_id", "height", "width", "k", "sound", "peak", "py", "px", "data"])
+
+    def around(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        h, w, py, px = (int(first[c]) for c in ("height", "width", "top_py", "top_px"))
+        if not bool(first["all_sound"]) or h < 2 or w < 2:
+            return pd.DataFrame([(first["pair_id"], 0.0, 0.0, 0.0)], columns=["pair_id", "d_row", "d_col", "response"])
+        lines = {}
+        for r in pdf.itertuples():
+            plane = np.frombuffer(r.data).reshape(-1, w)
+            lines |= {y: plane[y - r.k * size(w)] for y in {(py + d) % h for d in range(-2, 3)} if 0 <= y - r.k * size(w) < len(plane)}
+        step = np.arange(-2, 3)
+        near = np.stack([lines[(py + d) % h][(px + step) % w] for d in step])
+        return pd.DataFrame([(first["pair_id"], *centred(near, py, px, h, w))], columns=["pair_id", "d_row", "d_col", "response"])
+
+    forth = rows.groupBy("pair_id", "side", "k").applyInPandas(along_rows, f"pair_id {kind}, side string, height int, width int, k int, c int, data binary")
+    crossed = forth.groupBy("pair_id", "c").applyInPandas(along_columns, f"pair_id {kind}, height int, width int, k int, c int, data binary")
+    plane = shared.saved(crossed.groupBy("pair_id", "k").applyInPandas(back, f"pair_id {kind}, height int, width int, k int, sound boolean, peak double, py int, px int, data binary"), "planes")
+    # Of equal peaks the first, row by row.
+    top = plane.groupBy("pair_id").agg(F.max_by(F.struct("py", "px"), F.struct("peak", -F.col("py"), -F.col("px"))).alias("top"), F.min("sound").alias("all_sound"))
+    found = plane.join(top, "pair_id").withColumns({"top_py": F.col("top.py"), "top_px": F.col("top.px")})
+    high = thick(F.col("width"), area)
+    holds = F.exists(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.floor(F.pmod(F.col("top_py") + d, F.col("height")) / high) == F.col("k"))
+    return found.where(holds).select("pair_id", "height", "width", "k", "top_py", "top_px", "all_sound", "data").groupBy("pair_id").applyInPandas(around, f"pair_id {kind}, d_row double, d_col double, response double")
+
+
 def overlap_shift(pixels: DataFrame, before: DataFrame, now: dict, bands: list[str]) -> tuple[int, int]:
     """By how many whole pixels image now is to be moved onto the overlay of the images before it that it overlaps."""
     from .mosaic import overlay, reliable, whole_shift
@@ -108,7 +200,7 @@ def block_shifts(ref: DataFrame, src: DataFrame, height: int, width: int, bands:
 
     if height < n or width < n or n < TINY:
         return ref.sparkSession.createDataFrame([], "y int, x int, d_row double, d_col double, response double")
-    each = shifts(laid(ref, "ref").unionByName(laid(src, "src")), bands)
+    each = block_correlations(laid(ref, "ref").unionByName(laid(src, "src")), bands)
     far = F.hypot("d_row", "d_col") > MAX_SHIFT
     zero = lambda c: F.when(far, 0.0).otherwise(F.col(c)).alias(c)
     return each.select((F.floor(F.col("pair_id") / 1_000_000) + n // 2).cast("int").alias("y"), (F.col("pair_id") % 1_000_000 + n // 2).cast("int").alias("x"), zero("d_row"), zero("d_col"), "response")
