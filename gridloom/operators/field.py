@@ -20,23 +20,25 @@ def node_at(i: Column, nodes: int, size: int) -> Column:
     return i * (size - 1) / F.lit(float(max(nodes - 1, 1)))
 
 
-#: How much wider cells are made for nodes that are asked again; distances taken at once.
-WIDER, AT_ONCE = 4, 1 << 22
+#: How much wider cells are made for nodes that are asked again; distances taken at once; the side of a block of nodes
+#: that are asked together; so few points lie in one cell.
+WIDER, AT_ONCE, BLOCK, FEW = 4, 1 << 22, 64, 256
 
 
 def interpolated(at: DataFrame, points: DataFrame, values: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, i, j, values): inverse squared distances from nodes (by, i, j, gy, gx) to the nearest points (by, y, x, values).
 
     Points lie in cells that hold a few of them on average. A node looks at its own cell and the eight around it; where
-    the nearest points found may not be the nearest of all, it is asked again with wider cells. Nodes of images without
-    any point get zeros. A cell is one task's.
+    the nearest points found may not be the nearest of all, it is asked again with wider cells. Few points lie in one
+    cell, so there is nothing to ask again. Nodes of images without any point get zeros. A block of nodes and the points
+    of the cells that it looks at are one task's.
     """
     edge = lambda df, y, x: df.groupBy(*by).agg(F.min(y).alias("y0"), F.max(y).alias("y1"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.count("*").alias("n"))
     own = points.select(*by, F.col("y").cast("double").alias("py"), F.col("x").cast("double").alias("px"), *(F.col(v).cast("double").alias(v) for v in values))
     near, far = edge(own, "py", "px"), edge(at, "gy", "gx").drop("n")
     both = near.join(far.select(*by, *(F.col(c).alias(c + "_") for c in ("y0", "y1", "x0", "x1"))), [*by]) if by else near.crossJoin(far.select(*(F.col(c).alias(c + "_") for c in ("y0", "y1", "x0", "x1"))))  # one row each
     side = lambda k: F.greatest(f"{k}1", f"{k}1_") - F.least(f"{k}0", f"{k}0_")
-    cells = both.where("n > 0").select(*by, "n", F.greatest(F.lit(1.0), 2 * F.sqrt(side("y") * side("x") / F.col("n")), (side("y") + side("x")) / F.lit(2000.0)).alias("cell"))
+    cells = both.where("n > 0").select(*by, "n", F.when(F.col("n") <= FEW, 2 * F.greatest(*(F.abs(F.col(c + e)) for c in "yx" for e in ("0", "1", "0_", "1_"))) + 1).otherwise(F.greatest(F.lit(1.0), 2 * F.sqrt(side("y") * side("x") / F.col("n")), (side("y") + side("x")) / F.lit(2000.0))).alias("cell"))
     join = lambda df, how: df.join(cells, [*by], how) if by else (df.crossJoin(F.broadcast(cells)) if how == "inner" else df.join(F.broadcast(cells), F.lit(True), how))
     own, asked = join(own, "inner"), join(at.select(*by, "i", "j", "gy", "gx"), "left")
     none = asked.where("n is null").select(*by, "i", "j", *(F.lit(0.0).alias(v) for v in values))
@@ -65,13 +67,15 @@ def interpolated(at: DataFrame, points: DataFrame, values: tuple[str, ...], by:
         return pa.table({c: nodes.column(c) for c in names} | dict(zip(values, map(pa.array, cols), strict=True)) | {"sure": pa.array(sure)})
 
     out, wide, keys = none, 1, [*by, "cy", "cx"]
+    block = (F.floor(F.col("i") / BLOCK) * 1_000_003 + F.floor(F.col("j") / BLOCK)).alias("block")
     while True:
         place = lambda c, w=wide: F.floor(F.col(c) / (F.col("cell") * w))
-        nodes = left.withColumn("cell", F.col("cell") * wide).withColumns({"cy": F.floor(F.col("gy") / F.col("cell")), "cx": F.floor(F.col("gx") / F.col("cell"))})
+        nodes = left.withColumn("cell", F.col("cell") * wide).withColumns({"cy": F.floor(F.col("gy") / F.col("cell")), "cx": F.floor(F.col("gx") / F.col("cell"))}).withColumn("block", block)
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
         spread = own.select(*by, "py", "px", *values, place("py").alias("cy"), place("px").alias("cx")).select("*", F.explode(around).alias("ry")).select("*", F.explode(around).alias("rx"))
         spread = spread.select(*by, "py", "px", *values, (F.col("cy") + F.col("ry")).alias("cy"), (F.col("cx") + F.col("rx")).alias("cx"))
-        found = shared.saved(nodes.groupBy(*keys).cogroup(spread.join(nodes.select(*keys).distinct(), keys, "left_semi").groupBy(*keys)).applyInArrow(run, kinds), "nodes")
+        met = spread.join(nodes.select(*keys, F.col("block").alias("met")).distinct(), keys)
+        found = shared.saved(nodes.groupBy(*keys, "block").cogroup(met.groupBy(*keys, "met")).applyInArrow(run, kinds), "nodes")
         out = out.unionByName(found.where("sure").select(*by, "i", "j", *values))
         left = found.where("not sure").select(*by, "i", "j", "gy", "gx", "n", (F.col("cell") / wide).alias("cell"))
         if left.isEmpty():

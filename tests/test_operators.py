@@ -316,3 +316,18 @@ def test_stream(spark, tmp_path):
     q = drop.process(drop.arrivals(spark, str(src), 2), lambda b: b.select("path", "length"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+@pytest.mark.parametrize(("few", "block"), [(256, 64), (0, 3)])
+def test_nearest_points_by_cells_and_blocks(spark, monkeypatch, few, block):
+    monkeypatch.setattr(field, "FEW", few)
+    monkeypatch.setattr(field, "BLOCK", block)
+    r = np.random.default_rng(8)
+    pts = np.concatenate([r.random((30, 2)) * 5 + 40, r.random((10, 2)) * 90])  # most of them in a corner of one cell
+    v = r.random(40)
+    df = spark.createDataFrame([(float(y), float(x), float(z)) for (y, x), z in zip(pts, v, strict=True)], "y double, x double, dx double")
+    for t in field.idw(df, 90, 90, ("dx",), (9, 9)).collect():
+        d2 = (t.i * 89 / 8 - pts[:, 0]) ** 2 + (t.j * 89 / 8 - pts[:, 1]) ** 2
+        k = np.argsort(d2)[:8]
+        w = 1 / (d2[k] + 1e-10)
+        assert t.dx == pytest.approx(v[k[0]] if d2[k[0]] < 0.25 else (w * v[k]).sum() / w.sum(), abs=1e-9)
