@@ -45,6 +45,8 @@ LEGAL = ("su", "ua", "au")
 
 #: Rows and bytes of texts in a block, about; matrices multiplied at a time.
 BLOCK, BYTES, FAN = 256, 1 << 20, 64
+#: Rows of a pattern that a worker remembers; blocks rendered at a time.
+REPEATED, AT_ONCE = 16, 16
 CONV = ("none", "conv")
 #: Marks of rows: without fault, blank, duplicate, truncated.
 FINE, BLANK, DUPLICATE, SHORT = ".", "b", "d", "t"
@@ -110,6 +112,16 @@ def ending(state: int) -> Weight:
     return min(w for layer in layers(state) for q, w in layer.items() if q in ENDS)
 
 
+@lru_cache(maxsize=1 << 14)
+def _pattern(initials: str, marks: str) -> dict[tuple[int, int], tuple[int, str, str]]:
+    return product([step(a, m) for a, m in zip(initials, marks, strict=True)])
+
+
+def least_paths(initials: str, marks: str) -> dict[tuple[int, int], tuple[int, str, str]]:
+    """The product over rows; short patterns come again and again, and a worker remembers them."""
+    return _pattern(initials, marks) if len(marks) <= REPEATED else _pattern.__wrapped__(initials, marks)
+
+
 def product(matrices: list[Matrix]) -> dict[tuple[int, int], tuple[int, str, str]]:
     """(from, to): cost, labels and the states on the way, of the least paths through matrices one after the other."""
     out = {}
@@ -240,7 +252,7 @@ def matrices(cut: DataFrame) -> DataFrame:
                 first = set(r["first"] or ())
                 marks = "".join(m if m == BLANK or i in first else DUPLICATE for i, m in enumerate(r["marks"]))
                 turns, x = {t for t in r["turns"] if t is not None}, r["initials"]
-                found = product([step(a, m) for a, m in zip(x, marks, strict=True)])
+                found = least_paths(x, marks)
                 out.append({
                     "none": r["none"], "conv": r["conv"], "idx": r["idx"], "alone": r["alone"], "blank": marks.count(BLANK), "duplicate": marks.count(DUPLICATE), "truncated": marks.count(SHORT),
                     "illegal": sum(a + b not in LEGAL for a, b in zip(x, x[1:], strict=False)), "lo": min(turns, default=None), "hi": max(turns, default=None), "turns": len(turns), "head": x[0], "tail": x[-1], "paths": _paths(found),
@@ -350,11 +362,11 @@ def parts(cut: DataFrame, plan: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a block at a time: they may be large
-                one = batch.slice(i, 1)
-                r = one.select(["s", "labels", "roles", "texts"]).to_pylist()[0]
-                text = "\n".join(rendered(r["labels"], r["s"], r["roles"], r["texts"]))
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in (*CONV, "idx", "labels")), pa.array([text])], names=[*CONV, "idx", "labels", "text"])
+            for i in range(0, batch.num_rows, AT_ONCE):  # they may be large
+                some = batch.slice(i, AT_ONCE)
+                columns = (some.column(c).to_pylist() for c in ("labels", "s", "roles", "texts"))
+                texts = ["\n".join(rendered(*r)) for r in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in (*CONV, "idx", "labels")), pa.array(texts, pa.string())], names=[*CONV, "idx", "labels", "text"])
 
     return joined.mapInArrow(run, f"none boolean, conv {kind}, idx bigint, labels string, text string")
 
