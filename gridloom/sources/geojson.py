@@ -34,7 +34,7 @@ def collections(features: DataFrame, counts: DataFrame, scenes: DataFrame | None
 
 def write(docs: DataFrame, folder: str) -> list[str]:
     """An indented .geojson file for each image, named as it is; the paths."""
-    from .geotiff import write as written
+    from .files import write as written
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
