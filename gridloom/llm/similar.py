@@ -5,14 +5,17 @@ radius that balls of 64 bits can afford reaches all pairs of that similarity, wh
 average; what they leave apart is found by prefixes. Two sets as similar as a fraction t share one of their first n - ceil(t n) + 1 shingles, n being a set's own size, in
 any order that all sets keep. Here that order is by hash, with shingles of many sets last, so that few sets meet in one;
 sets that meet in one of those are told of their least by an aggregation, not gathered. What meets is linked to the
-least set of those that met, by an exact check; sets that this leaves in different components are compared with a few
-others, drawn by hash, for some rounds, and only pairs that are then still apart are looked at in full, so that a large
-group of near copies gives no pairs by the square of its size. Of pairs that meet, bitmaps of the first shingles tell most
-that can't be similar, by what one surely has and the other has not; sets are exchanged for the rest only.
+least set of those that met, by an exact check; of these pairs, bitmaps of the first shingles tell most that can't be
+similar, by what one surely has and the other has not, and sets are exchanged for the rest only.
+
+Sets that meet and are still in different components lie in blocks of a bounded number of shingles, those with a shingle
+in common side by side. For each two blocks in which a shingle's sets lie, one task gets these sets, counts what they
+share by products of bit matrices, and returns a forest over their components, so that no pair becomes a row. Work on a
+large group of near copies still goes by the square of its size, in sums of bits, and exchange by its size times the number of its blocks.
 
 Defined cases: words are those of simhash; a text of fewer words than a shingle is one shingle; a null text is an empty
-one, and texts without words are copies of each other; equal sets are one; an empty table gives no rows. Sets are told
-apart by 64 bits of hash, shingles too.
+one, and texts without words are copies of each other; equal sets are one; an empty table gives no rows; a set of more
+shingles than a block holds is a block by itself. Sets are told apart by 64 bits of hash, shingles too.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import simhash
 from .components import components
-from .skew import dealt
 from .store import drop, free, fresh, save
 from .words import encoded, slices
 
@@ -36,12 +38,12 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 #: Shingles that begin more than COMMON sets come last, the LISTED most frequent of them: this orders, and leaves nothing out.
 COMMON, LISTED = 16, 50_000
 
-#: Rounds in which sets that meet in a shingle are compared with drawn ones, and how many are drawn.
-ROUNDS, DRAWN = 1, 4
-
 #: Words of 64 bits in a bitmap; pairs whose sets are exchanged at once.
 WORDS, BATCH = 8, 100_000
 
+#: Shingles in a block, each set counting OWN more; copies of the sets in blocks that are exchanged at once.
+BLOCK, OWN, COPIES = 1 << 18, 64, 4
+
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -179,34 +181,152 @@ def mixed(met: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _pair(a: DataFrame, b: str, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b) of places (key, n, i, root) and those of a struct column b, where roots differ and sets may be similar."""
-    sides = a.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "root", F.col(f"{b}.key").alias("b"), F.col(f"{b}.n").alias("nb"), F.col(f"{b}.i").alias("ib"), F.col(f"{b}.root").alias("other"))
-    return sides.where((F.col("root") != F.col("other")) & _may(similarity)).select("a", "b").distinct()
+def blocks(places: DataFrame) -> DataFrame:
+    """(key, n, root, block), saved: the sets of mixed() places, in blocks of at most BLOCK shingles, by their least shared shingle and size."""
+    sets = places.groupBy("key").agg(F.min("n").alias("n"), F.min("root").alias("root"), F.min("x").alias("label"))
+    ordered = sets.repartitionByRange("label", "n", "key").sortWithinPartitions("label", "n", "key").select("key", "n", "root", F.spark_partition_id().alias("part"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = 0
+        for batch in batches:
+            ends = upto + np.cumsum(batch.column("n").to_numpy() + OWN)
+            yield batch.append_column("end", pa.array(ends, pa.int64()))
+            upto = int(ends[-1]) if len(ends) else upto
 
-def drawn(places: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): sets and DRAWN others of those that they meet in a shingle, by hash, from mixed() places."""
-    picks = [F.min(F.struct(F.xxhash64("key", F.lit(turn * DRAWN + k)).alias("h"), "key", "n", "i", "root")).alias(f"p{k}") for k in range(DRAWN)]
-    both = dealt(places, places.groupBy("x").agg(F.array(*picks).alias("picks")), ["x"], "inner")
-    return _pair(both.withColumn("pick", F.explode("picks")), "pick", similarity)
+    run_of = save(ordered.mapInArrow(run, "key bigint, n bigint, root bigint, part int, end bigint"), "similar-ordered")
+    totals = sorted(run_of.groupBy("part").agg(F.max("end").alias("total")).collect())
+    starts = np.cumsum([0, *(r.total for r in totals)])
+    offsets = run_of.sparkSession.createDataFrame([(r.part, int(s)) for r, s in zip(totals, starts, strict=False)], "part int, offset long")
+    return run_of.join(F.broadcast(offsets), "part").select("key", "n", "root", F.floor((F.col("offset") + F.col("end") - 1) / BLOCK).alias("block"))
 
 
-def apart(places: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): all sets of mixed() places that meet, may be similar and have different roots."""
-    each = places.select("x", "root").distinct()
-    pairs = each.select("x", F.col("root").alias("roota")).join(each.select("x", F.col("root").alias("rootb")), "x").where("roota < rootb")
-    for k in "ab":
-        pairs = pairs.join(places.select("x", *(F.col(c).alias(c + k if c != "key" else k) for c in ("key", "n", "i", "root"))), ["x", f"root{k}"])
-    return pairs.where(_may(similarity)).select("a", "b")
+def touching(placed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(x, a, b): blocks a <= b and a shingle x of placed (x, key, n, i, root, block) in which sets of both meet that may be similar and apart."""
+    t, u = similarity
+    each = placed.groupBy("x", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("i")).alias("rest"), F.min("root").alias("least"), F.max("root").alias("most"))
+    a, b = (each.select("x", *(F.col(c).alias(c + k) for c in each.columns[1:])) for k in "ab")
+    near = (F.col("hia") * u >= F.col("lob") * t) & (F.col("hib") * u >= F.col("loa") * t) & (F.least("resta", "restb") * (t + u) >= t * (F.col("loa") + F.col("lob")))
+    several = F.least("leasta", "leastb") != F.greatest("mosta", "mostb")
+    return a.join(b, "x").where((F.col("blocka") <= F.col("blockb")) & near & several).select("x", F.col("blocka").alias("a"), F.col("blockb").alias("b"))
+
+
+def shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, cols: int, words: int) -> np.ndarray:
+    """How many of the shingles 0 .. words - 1 each of rows sets shares with each of cols sets. A side: (set, shingle) of its entries, by shingle.
+
+    Shingles of many sets are columns of bit matrices, which are multiplied; those of few are paired up.
+    """
+    (i, x), (j, y) = left, right
+    l, r = np.bincount(x, minlength=words), np.bincount(y, minlength=words)
+    out = np.zeros((rows, cols), np.float32)
+    heavy = l * r * 64 > rows * cols
+    for many in np.array_split(np.flatnonzero(heavy), max(1, -(-int(heavy.sum()) // 2048))):
+        col = np.full(words, -1)
+        col[many] = np.arange(len(many))
+        sides = []
+        for which, at, size in ((i, x, rows), (j, y, cols)):
+            bits = np.zeros((size, len(many)), np.float32)
+            on = col[at] >= 0
+            bits[which[on], col[at[on]]] = 1
+            sides.append(bits)
+        out += sides[0] @ sides[1].T
+    light = np.flatnonzero(~heavy[x] & (r[x] > 0))
+    first, each = np.cumsum(r) - r, r[x[light]]
+    for part in np.split(light, np.flatnonzero(np.diff(np.cumsum(each) >> 20)) + 1):
+        n = r[x[part]]
+        at = np.repeat(first[x[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(out.reshape(-1), np.repeat(i[part] * cols, n) + j[at], 1)
+    return out
+
+
+def joined(p: np.ndarray, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The least node of each node's component, by links p, q and by least, which such links gave before."""
+    while len(p):
+        low = np.minimum(least[p], least[q])
+        now = least.copy()
+        for at in (p, q, least[p], least[q]):
+            np.minimum.at(now, at, low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    return least
+
+
+def forest(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
+    """(a, b): roots that similar sets of the two blocks a and b of table (a, b, block, root, n, own) join; at most one row for each root."""
+    t, u = similarity
+    block, root, n = (table.column(c).to_numpy() for c in ("block", "root", "n"))
+    own = table.column("own").combine_chunks()
+    which = np.repeat(np.arange(len(n)), np.diff(own.offsets.to_numpy()))
+    x, at = np.unique(own.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    which, at = which[order], at[order]
+    names, node = np.unique(root, return_inverse=True)
+    sides = [np.flatnonzero(block == table.column(k)[0].as_py()) for k in "ab"]
+    least = np.arange(len(names))
+
+    def entries(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(len(n), -1)
+        place[rows] = np.arange(len(rows))
+        on = place[which] >= 0
+        return place[which[on]], at[on]
+
+    right = entries(sides[1])
+    for start in range(0, len(sides[0]), 1024):
+        rows = sides[0][start : start + 1024]
+        count = shared(entries(rows), right, len(rows), len(sides[1]), len(x)).astype(np.int64)
+        mine, other = least[node[rows]], least[node[sides[1]]]
+        i, j = np.nonzero((count * (t + u) >= t * (n[rows][:, None] + n[sides[1]])) & (mine[:, None] != other))
+        least = joined(mine[i], other[j], least)
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return pa.table({"a": pa.array(names[moved], pa.int64()), "b": pa.array(names[least[moved]], pa.int64())})
+
+
+def apart(places: DataFrame, made, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join all sets of mixed() places that are similar and have different roots. made: gives a saved (key, n, own) of the sets that a table names by key."""
+    spark = places.sparkSession
+    members = save(blocks(places), "similar-blocks")
+    placed = save(places.join(members.select("key", "block"), "key"), "similar-placed")
+    ends = touching(placed, similarity).select("x", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    rows = save(ends.join(placed.select("x", "block", "key"), ["x", "block"]).select("a", "b", "block", "key").distinct(), "similar-sides")
+    drop(placed)
+    free(spark)
+    sets = made(rows.select("key").distinct())
+    held = save(sets.join(members.select("key", "root"), "key"), "similar-held")
+    drop(sets)
+    size = held.agg(F.sum(F.col("n") + OWN)).first()[0] or 0
+    moved = rows.join(held.select("key", "n"), "key").agg(F.sum(F.col("n") + OWN)).first()[0] or 0
+    parts = max(1, -(-moved // max(1, COPIES * size)))
+    links = []
+    for k in range(parts):
+        some = rows.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k).join(held, "key").select("a", "b", "block", "root", "n", "own")
+        links.append(save(some.groupBy("a", "b").applyInArrow(lambda table: forest(table, similarity), "a bigint, b bigint"), "similar-links"))
+        free(spark)
+    for done in (members, rows, held):
+        drop(done)
+    return reduce(DataFrame.unionByName, links)
+
+
+def listed(firsts: DataFrame) -> np.ndarray:
+    """The most frequent first shingles, rarest first: of those that begin more than COMMON sets at most LISTED, down to a count that a histogram tells."""
+    counts = firsts.dropDuplicates(["key"]).select(F.explode("own").alias("x")).groupBy("x").count().where(F.col("count") > COMMON)
+    counts = save(counts.withColumn("level", F.floor(8 * F.log2("count"))), "similar-common")
+    room, least = LISTED, None
+    for level, n in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= n
+        if room < 0:
+            break
+        least = level
+    out = [] if least is None else counts.where(F.col("level") >= least).collect()
+    drop(counts)
+    return np.array([r.x for r in sorted(out, key=lambda r: (r["count"], -r.x))], np.int64)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, digest, key, root) for every row: digest is a hash of the text, key of its set; rows of a component share root."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
-    firsts = _sets(docs, None, "first", length, similarity).dropDuplicates(["key"]).select(F.explode("own").alias("x")).groupBy("x").count()
-    common = [r.x for r in firsts.where(F.col("count") > COMMON).orderBy(F.desc("count"), "x").limit(LISTED).collect()][::-1]
-    whole = save(_sets(docs, np.array(common, np.int64), "first", length, similarity), "similar-firsts")
+    common = listed(_sets(docs, None, "first", length, similarity))
+    whole = save(_sets(docs, common, "first", length, similarity), "similar-firsts")
     free(docs.sparkSession)
     table = save(whole.select("doc_id", "digest", "key", "fp"), "similar-rows")
     distinct = save(whole.dropDuplicates(["key"]).select("key", "n", "rare", "last", "bits", "own"), "similar-distinct")
@@ -219,12 +339,15 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     drop(distinct)
     free(docs.sparkSession)
 
+    def made(keys: DataFrame) -> DataFrame:
+        """(key, n, own), saved: the whole sets of the distinct keys, made again, each from one text."""
+        texts = table.select("key", "digest").join(keys, "key", "left_semi").groupBy("key").agg(F.min("digest").alias("digest")).select("digest").distinct()
+        return save(_sets(docs.join(texts, "digest", "left_semi"), None, "all", length, similarity).dropDuplicates(["key"]).select("key", "n", "own"), "similar-sets")
+
     def compared(pairs: DataFrame) -> DataFrame:
-        """The similar ones of the pairs (a, b). Only the sets that they name are made again, each from one text."""
+        """The similar ones of the pairs (a, b)."""
         pairs = save(_likely(pairs.distinct(), facts, similarity), "similar-pairs")
-        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        texts = table.select("key", "digest").join(keys, "key", "left_semi").groupBy("key").agg(F.min("digest").alias("digest")).select("digest").distinct()
-        sets = save(_sets(docs.join(texts, "digest", "left_semi"), None, "all", length, similarity).dropDuplicates(["key"]).select("key", "n", "own"), "similar-sets")
+        sets = made(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
         free(docs.sparkSession)
         parts = max(1, -(-pairs.count() // BATCH))
         links = []
@@ -237,13 +360,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     sides = met.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("least.key").alias("b"), F.col("least.n").alias("nb"), F.col("least.i").alias("ib"))
     edges = compared(sides.where((F.col("a") != F.col("b")) & _may(similarity)).select("a", "b").unionByName(near))
-    for turn in range(ROUNDS + 1):
-        places = mixed(met, edges)
-        if places.isEmpty():
-            break
-        more = compared(apart(places, similarity) if turn == ROUNDS else drawn(places, turn, similarity))
-        drop(places)
-        edges = edges.unionByName(more)
+    places = mixed(met, edges)
+    if not places.isEmpty():
+        edges = edges.unionByName(apart(places, made, similarity))
+    drop(places)
     out = save(table.select("doc_id", "digest", "key").join(components(edges), F.col("key") == F.col("node"), "left").select("doc_id", "digest", "key", F.coalesce("root", "key").alias("root")), "similar-roots")
     for done in (table, near, met, facts):
         drop(done)

@@ -346,6 +346,26 @@ def test_pipeline_links_by_similarity_of_five_words(spark):
     assert p.near_duplicates(spark, docs(spark, []), SMALL).count() == 0
 
 
+def test_similar_sets_apart_by_blocks(spark, monkeypatch):
+    """A group of near copies around the threshold in many small blocks gives the components of brute force."""
+    monkeypatch.setattr(similar, "BLOCK", 3000)
+    r = np.random.default_rng(3)
+    base = [f"w{x}" for x in range(130)]
+    texts = [[f"v{k}" if i in set(r.choice(130, 3, replace=False)) else w for i, w in enumerate(base)] for k in range(90)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    comp = set(least_of_similar(dict(rows)).values())
+    assert 5 < len(comp) < 85
+    assert {x.doc_id for x in similar.distinct_documents(docs(spark, rows)).collect()} == comp
+
+
+def test_shared_counts_of_tiles():
+    r = np.random.default_rng(5)
+    for rows, cols, words in ((60, 80, 400), (1, 1, 3), (200, 150, 3000)):
+        a, b = r.random((rows, words)) < r.random(words) ** 6, r.random((cols, words)) < r.random(words) ** 6
+        side = lambda m: tuple(np.nonzero(m.T))[::-1]
+        assert (similar.shared(side(a), side(b), rows, cols, words) == a.astype(int) @ b.T.astype(int)).all()
+
+
 def test_similar_documents_by_id_and_text(spark):
     base = [f"w{k}" for k in range(100)]
     texts = [" ".join(base), " ".join([*base, "end"]), "one text", "another text", "without an id", "Without an id"]
