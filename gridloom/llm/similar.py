@@ -6,9 +6,11 @@ average; what they leave apart is found by prefixes. Two sets as similar as a fr
 any order that all sets keep. Here that order is by hash, with shingles of many sets last, so that few sets meet in one;
 sets that meet in one of those are told of their least by an aggregation, not gathered. What meets is linked to the
 least set of those that met, by an exact check; of these pairs, bitmaps of the first shingles tell most that can't be
-similar, by what one surely has and the other has not, and sets are exchanged for the rest only.
+similar, by what one surely has and the other has not, and sets are exchanged for the rest only. Sets that this leaves
+in different components are compared pair by pair where at most COMMON of them meet in a shingle, so that pairs are in
+proportion to places.
 
-Sets that meet and are still in different components lie in blocks of a bounded number of shingles, those with a shingle
+Sets that meet in larger numbers and are still in different components lie in blocks of a bounded number of shingles, those with a shingle
 in common side by side. For each two blocks in which a shingle's sets lie, one task gets these sets, counts what they
 share by products of bit matrices, and returns a forest over their components, so that no pair becomes a row. Work on a
 large group of near copies still goes by the square of its size, in sums of bits, and exchange by its size times the number of its blocks.
@@ -42,7 +44,7 @@ COMMON, LISTED = 16, 50_000
 WORDS, BATCH = 8, 100_000
 
 #: Shingles in a block, each set counting OWN more; copies of the sets in blocks that are exchanged at once.
-BLOCK, OWN, COPIES = 1 << 18, 64, 4
+BLOCK, OWN, COPIES = 1 << 18, 64, 1
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,6 +183,18 @@ def mixed(met: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
+def crowded(places: DataFrame) -> DataFrame:
+    """(x, crowd): whether more than COMMON sets of mixed() places meet in x."""
+    return places.groupBy("x").agg((F.count("*") > COMMON).alias("crowd"))
+
+
+def paired(places: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): sets of mixed() places that meet where few do, may be similar and have different roots."""
+    few = places.join(crowded(places).where("not crowd"), "x", "left_semi")
+    a, b = (few.select("x", F.col("key").alias(k), *(F.col(c).alias(c + k) for c in ("n", "i", "root"))) for k in "ab")
+    return a.join(b, "x").where((F.col("a") < F.col("b")) & (F.col("roota") != F.col("rootb")) & _may(similarity)).select("a", "b")
+
+
 def blocks(places: DataFrame) -> DataFrame:
     """(key, n, root, block), saved: the sets of mixed() places, in blocks of at most BLOCK shingles, by their least shared shingle and size."""
     sets = places.groupBy("key").agg(F.min("n").alias("n"), F.min("root").alias("root"), F.min("x").alias("label"))
@@ -283,13 +297,14 @@ def forest(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
 
 
 def apart(places: DataFrame, made, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): links that join all sets of mixed() places that are similar and have different roots. made: gives a saved (key, n, own) of the sets that a table names by key."""
+    """(a, b): links that join all sets of mixed() places that are similar and have different roots; places are dropped. made: gives a saved (key, n, own) of the sets that a table names by key."""
     spark = places.sparkSession
     members = save(blocks(places), "similar-blocks")
     placed = save(places.join(members.select("key", "block"), "key"), "similar-placed")
     ends = touching(placed, similarity).select("x", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     rows = save(ends.join(placed.select("x", "block", "key"), ["x", "block"]).select("a", "b", "block", "key").distinct(), "similar-sides")
     drop(placed)
+    drop(places)
     free(spark)
     sets = made(rows.select("key").distinct())
     held = save(sets.join(members.select("key", "root"), "key"), "similar-held")
@@ -361,11 +376,17 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     sides = met.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("least.key").alias("b"), F.col("least.n").alias("nb"), F.col("least.i").alias("ib"))
     edges = compared(sides.where((F.col("a") != F.col("b")) & _may(similarity)).select("a", "b").unionByName(near))
     places = mixed(met, edges)
+    drop(met)
     if not places.isEmpty():
-        edges = edges.unionByName(apart(places, made, similarity))
-    drop(places)
+        edges = edges.unionByName(compared(paired(places, similarity)))
+        crowd = places.join(crowded(places).where("crowd"), "x", "left_semi").select("x", "key", "n", "i")
+        left = mixed(crowd, edges)
+        drop(places)
+        drop(facts)
+        if not left.isEmpty():
+            edges = edges.unionByName(apart(left, made, similarity))
     out = save(table.select("doc_id", "digest", "key").join(components(edges), F.col("key") == F.col("node"), "left").select("doc_id", "digest", "key", F.coalesce("root", "key").alias("root")), "similar-roots")
-    for done in (table, near, met, facts):
+    for done in (table, near, facts):
         drop(done)
     return out
 
