@@ -35,3 +35,16 @@ def test_three_bands_are_grey(spark):
     want = registration.correlate(registration.grey(list(a)), registration.grey(list(np.roll(a, (2, -1), (1, 2)))))
     assert (got.d_row, got.d_col, got.response) == pytest.approx(want, abs=1e-9)
     assert registration.shifts(df.limit(0), ["r", "g", "b"]).count() == 0
+
+
+def test_blocks_are_measured_again_on_what_both_show():
+    r = np.random.default_rng(3)
+    ground = r.integers(0, 256, (400, 80)).astype(float)
+    far = {f: 0.0 for f in (registration.correlate, registration.refined)}
+    for y in range(10, 330, 25):
+        ref, src = ground[y : y + 50, 10:60], ground[y - 1 : y + 49, 12:62]
+        for f in far:
+            far[f] = max(far[f], *(abs(a - b) for a, b in zip(f(ref, src)[:2], (-1, 2), strict=True)))
+    assert far[registration.correlate] > 0.03 and far[registration.refined] < 1e-6
+    assert registration.refined(ref, src)[2] == registration.correlate(ref, src)[2]
+    assert registration.refined(np.zeros((40, 40)), np.zeros((40, 40))) == (0.0, 0.0, 0.0)
