@@ -394,7 +394,8 @@ _value = "CAST((image_id * 13 + y * 7 + x * 3) % 256 AS INTEGER)"
 
 
 def _scene_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    s = tables.scenes(spark, sf)
+    # A few bytes of a scene become a thousand pixels, so scenes are dealt before.
+    s = tables.scenes(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
     rows = s.select("image_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     return rows.withColumn("v", ((F.col("image_id") * 13 + F.col("y") * 7 + F.col("x") * 3) % 256).cast("int"))
 
