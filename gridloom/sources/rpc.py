@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import OrthoFailed
+from . import shared
 
 #: The fields of a model.
 SCALARS = ("HEIGHT_OFF", "HEIGHT_SCALE", "LAT_OFF", "LAT_SCALE", "LONG_OFF", "LONG_SCALE", "LINE_OFF", "LINE_SCALE", "SAMP_OFF", "SAMP_SCALE")
@@ -23,16 +24,19 @@ def pairs(lines: DataFrame) -> DataFrame:
 
 def models(found: DataFrame) -> DataFrame:
     """A row for each image from pairs(): ten doubles, four arrays of twenty. A missing or odd value is null here."""
-    numbers = found.withColumn("v", F.expr("try_cast(value as double)"))
     keys = [*SCALARS, *(f"{v}_{i}" for v in VECTORS for i in range(1, 21))]
-    wide = numbers.where(F.col("key").isin(keys)).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "v"))).alias("m"))
-    scalar = [F.try_element_at("m", F.lit(k)).alias(k.lower()) for k in SCALARS]
-    vector = [F.transform(F.sequence(F.lit(1), F.lit(20)), (lambda v: lambda i: F.try_element_at(F.col("m"), F.concat(F.lit(v + "_"), i.cast("string"))))(v)).alias(v.lower()) for v in VECTORS]
-    return wide.select("image_id", *scalar, *vector)
+    # Keys are numbered, and an image's numbers are one array in that order, which is worked out once.
+    number = F.array_position(F.array(*map(F.lit, keys)), F.col("key"))
+    numbers = found.where(F.col("key").isin(keys)).select("image_id", number.cast("int").alias("k"), F.expr("try_cast(value as double)").alias("v"))
+    wide = numbers.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    all_ = wide.select("image_id", F.transform(F.sequence(F.lit(1), F.lit(len(keys))), lambda k: F.try_element_at("m", k)).alias("all"))
+    vector = [F.slice("all", len(SCALARS) + 20 * j + 1, 20).alias(v.lower()) for j, v in enumerate(VECTORS)]
+    return all_.select("image_id", *(F.col("all")[k].alias(s.lower()) for k, s in enumerate(SCALARS)), *vector)
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """The models, or an error that names a field that one lacks."""
+    """The models, worked out once, or an error that names a field that one lacks."""
+    rows = shared.saved(rows, "models")
     gaps = F.array_compact(F.array(*(F.when(F.col(k.lower()).isNull(), k) for k in SCALARS), *(F.when(F.exists(v.lower(), lambda x: x.isNull()) | (F.size(v.lower()) != 20), v) for v in VECTORS)))
     if bad := rows.select("image_id", gaps.alias("gaps")).where("size(gaps) > 0").first():
         raise OrthoFailed(f"{bad.image_id}: the camera model lacks {', '.join(bad.gaps)}")
