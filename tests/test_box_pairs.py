@@ -1,8 +1,12 @@
 """Pairs of boxes by blocks of a cell, and their overlaps by edges."""
 
+import duckdb
 import numpy as np
 
 from gridloom.operators import boxes
+from gridloom.plans.catalog import ORACLES, QUERIES
+
+from .compare import both
 
 
 def some(n, seed):
@@ -35,3 +39,23 @@ def test_pairs_of_a_crowded_cell_are_dealt(spark, monkeypatch):
     ours = {(r.i, r.j): r.iou for r in boxes.met(df, iou=True).collect()}
     assert set(ours) == set(share) == want and all(abs(ours[k] - share[k]) < 1e-8 for k in want)
     assert {(r.i, r.j) for r in boxes.met(df, over=0.3, iou=True, least=0.3).collect()} == {k for k, v in share.items() if v > 0.3}
+
+
+def odd_events(spark, folder, rows):
+    """A folder with a table of events (event_id, user_id, event_type, value)."""
+    df = spark.createDataFrame([(i, None, u, e, v, None) for i, u, e, v in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(str(folder / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return con
+
+
+#: Boxes with edges on one line, of which SQL loses corners by rounding; then shares in the middle of a step of 1e-6.
+ON_A_LINE = [(538124, 7940, "click", 30.91), (67124, 1140, "click", 220.58)]
+MID_STEP = [(541602, 8560, "view", 40.51), (156548, 2360, "view", 181.54), (133591, 2892, "view", 0.23), (4537, 492, "view", 54.85), (414342, 6968, "error", 35.79), (227288, 3768, "error", 0.81)]
+
+
+def test_shares_are_those_of_sql_to_the_last_step(spark, tmp_path):
+    con = odd_events(spark, tmp_path, ON_A_LINE + MID_STEP)
+    ours, theirs = both(spark, con, QUERIES["obb_iou"], ORACLES["obb_iou"], str(tmp_path))
+    assert ours == theirs and len(ours) >= 4
