@@ -357,7 +357,7 @@ fold AS (SELECT image_id, cls, k, [det_id] AS kept FROM ranked WHERE k = 1
   UNION ALL SELECT f.image_id, f.cls, r.k, CASE WHEN list_has_any(f.kept, r.before) THEN f.kept ELSE list_append(f.kept, r.det_id) END FROM fold f JOIN ranked r ON f.image_id = r.image_id AND f.cls = r.cls AND r.k = f.k + 1)
 SELECT image_id, cls, unnest(kept) AS det_id FROM (SELECT image_id, cls, arg_max(kept, k) AS kept FROM fold GROUP BY image_id, cls)""")
 def _(spark, sf):
-    return boxes.nms(tables.detections(spark, sf)).select("image_id", "cls", "det_id")
+    return boxes.nms(tables.detections(spark, sf), by_rings=True).select("image_id", "cls", "det_id")
 
 
 _geo = (0.5, 0.0, 110.0, 0.0, -0.5, 40.0)

@@ -59,3 +59,9 @@ def test_shares_are_those_of_sql_to_the_last_step(spark, tmp_path):
     con = odd_events(spark, tmp_path, ON_A_LINE + MID_STEP)
     ours, theirs = both(spark, con, QUERIES["obb_iou"], ORACLES["obb_iou"], str(tmp_path))
     assert ours == theirs and len(ours) >= 4
+
+
+def test_suppression_is_that_of_sql_where_edges_lie_on_a_line(spark, tmp_path):
+    con = odd_events(spark, tmp_path, ON_A_LINE)
+    ours, theirs = both(spark, con, QUERIES["nms_obb"], ORACLES["nms_obb"], str(tmp_path))
+    assert ours == theirs and len(ours) == 2
