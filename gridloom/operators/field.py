@@ -17,7 +17,8 @@ def nodes_of(n: int) -> int:
 
 
 def node_at(i: Column, nodes: int, size: int) -> Column:
-    return i * (size - 1) / F.lit(float(max(nodes - 1, 1)))
+    """Where a node lies; in doubles, as the product is beyond an int on long images."""
+    return i * F.lit(float(size - 1)) / F.lit(float(max(nodes - 1, 1)))
 
 
 #: How much wider cells are made for nodes that are asked again; distances taken at once; the side of a block of nodes
@@ -188,7 +189,7 @@ def block_warp(ref: DataFrame, src: DataFrame, height: int, width: int, bands: l
     from .registration import block_shifts, block_size, median_shift
 
     n = block_size(height, width)
-    blocks = block_shifts(ref, src, height, width, bands, n, max(step or n // 2, 8))
+    blocks = shared.saved(block_shifts(ref, src, height, width, bands, n, max(step or n // 2, 8)), "blocks")
     points = blocks.where(F.col("response") >= MIN_RESPONSE).select("y", "x", F.col("d_col").alias("dx"), F.col("d_row").alias("dy"), "response")
     image = src.select("y", "x", *bands)
     if points.count() < 4:

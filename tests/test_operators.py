@@ -331,3 +331,9 @@ def test_nearest_points_by_cells_and_blocks(spark, monkeypatch, few, block):
         k = np.argsort(d2)[:8]
         w = 1 / (d2[k] + 1e-10)
         assert t.dx == pytest.approx(v[k[0]] if d2[k[0]] < 0.25 else (w * v[k]).sum() / w.sum(), abs=1e-9)
+
+
+def test_nodes_of_a_long_image(spark):
+    points = spark.createDataFrame([(0, 0, 1.0), (599_999, 7, 3.0)], "y int, x int, dx double")
+    got = {(r.i, r.j): r.dx for r in field.idw(points, 600_000, 8, ("dx",), nodes=(5000, 2)).where("i in (0, 4999)").collect()}
+    assert got == pytest.approx({(0, 0): 1.0, (0, 1): 1.0, (4999, 0): 3.0, (4999, 1): 3.0}, abs=1e-6)
