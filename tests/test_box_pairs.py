@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import GroupedData
 
 from gridloom.operators import boxes
 from gridloom.plans.catalog import ORACLES, QUERIES
@@ -65,3 +66,15 @@ def test_suppression_is_that_of_sql_where_edges_lie_on_a_line(spark, tmp_path):
     con = odd_events(spark, tmp_path, ON_A_LINE)
     ours, theirs = both(spark, con, QUERIES["nms_obb"], ORACLES["nms_obb"], str(tmp_path))
     assert ours == theirs and len(ours) == 2
+
+
+def test_pairs_of_a_crowd_are_returned_in_parts(spark, monkeypatch):
+    n, taken = 2500, []
+    df = spark.range(n).selectExpr("1 image_id", "id det_id", "3 cls", "id / 9999 confidence", "50.0D cx", "50.0D cy", "20.0D width", "10.0D height", "id / 1000 angle")
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, kinds: taken.append((self._df, f)))
+    boxes.met(df)
+    rows, run = taken.pop()
+    rows = rows.toArrow()
+    assert len(rows) == n  # a crowd of one block is exchanged once
+    parts = [len(b) for b in run(iter(rows.to_batches()))]
+    assert sum(parts) == n * (n - 1) // 2 and max(parts) <= boxes.RETURNED + boxes.AT_ONCE
